@@ -1,8 +1,12 @@
 """Registered queries of this subpackage: each operator over its whole table."""
 
+from .bpe import op5_bpe
+from .near_dedup import op8_near_dedup
 from .token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op5_bpe": op5_bpe,
+    "op8_near_dedup": op8_near_dedup,
 }
 ORACLES: dict[str, str] = {}
