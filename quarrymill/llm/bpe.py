@@ -13,6 +13,7 @@ import heapq
 import re
 from collections import Counter
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -287,14 +288,18 @@ def encode_words(new: list[str], m) -> list[bytes]:
     return ids
 
 
-def _remembered(memo: dict, wanted: set, make) -> None:
-    new = wanted.difference(memo)
-    if memo and len(memo) + len(new) > MEMO:
-        memo.clear()
-        new = wanted
+def _remembered(memo: dict, wanted: set, make) -> list[str]:
+    """Puts what is missing into memo; returns what has to go again, as memo is full of what came first (and so is
+    mostly frequent)."""
+    new = list(wanted.difference(memo))
     if new:
-        new = list(new)
         memo.update(zip(new, make(new)))
+    return new[max(0, len(new) - len(memo) + MEMO) :] if len(memo) > MEMO else []
+
+
+def _forget(memo: dict, some: list[str]) -> None:
+    for x in some:
+        del memo[x]
 
 
 def encode_texts(texts: list[str], m, key: str = "") -> list[bytes]:
@@ -303,12 +308,16 @@ def encode_texts(texts: list[str], m, key: str = "") -> list[bytes]:
 
     def make(new: list[str]) -> list[bytes]:
         split = [PATTERN.findall(u) for u in new]
-        _remembered(of_word, {w for x in split for w in x}, lambda words: encode_words(words, m))
-        return [b"".join(map(of_word.__getitem__, x)) for x in split]
+        late = _remembered(of_word, set(chain.from_iterable(split)), lambda words: encode_words(words, m))
+        out = [b"".join(map(of_word.__getitem__, x)) for x in split]
+        _forget(of_word, late)
+        return out
 
     split = [units(t) for t in texts]
-    _remembered(of_unit, {u for x in split for u in x}, make)
-    return [b"".join(map(of_unit.__getitem__, x)) for x in split]
+    late = _remembered(of_unit, set(chain.from_iterable(split)), make)
+    out = [b"".join(map(of_unit.__getitem__, x)) for x in split]
+    _forget(of_unit, late)
+    return out
 
 
 def decode_ids(ids: np.ndarray, m) -> bytes:
@@ -367,7 +376,7 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches, model):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in common.chunks(texts):
+            for a, b in common.chunks(texts, 2 * common.CHUNK):
                 part = texts[a:b]
                 raw = encode_texts([t or "" for t in part], model, model.key)
                 flat = np.frombuffer(b"".join(raw), np.int32)

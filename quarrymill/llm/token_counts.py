@@ -26,7 +26,7 @@ from . import common
 
 UNIT = re.compile(r" *[^ \n]+| +|\n")
 UNK_PENALTY = 10.0
-#: Units a worker remembers; when full it begins anew. Only speed depends on it.
+#: Units a worker remembers; when full it keeps what came first. Only speed depends on it.
 MEMO = 300_000
 
 
@@ -140,12 +140,12 @@ def count_texts(texts: list[str | None], model, key: str = "") -> list[int | Non
     for a, b in common.chunks(texts):
         split = [None if t is None else UNIT.findall(" " + t.replace("▁", " ")) if t else [] for t in texts[a:b]]
         new = list({u for x in split if x for u in x}.difference(memo))
-        if len(memo) + len(new) > MEMO and memo:
-            memo.clear()
-            new = list({u for x in split if x for u in x})
         if new:
             memo.update(zip(new, count_units(new, model).tolist()))
         out += [None if x is None else sum(map(memo.__getitem__, x)) for x in split]
+        if len(memo) > MEMO:
+            for u in new[max(0, len(new) - len(memo) + MEMO) :]:
+                del memo[u]
     return out
 
 
