@@ -1,12 +1,20 @@
 """Registered queries of this subpackage: each operator over its whole table."""
 
 from .bpe import op5_bpe
+from .chat import op4_chat
+from .decontamination import op3_decontaminate
+from .language_id import op7_language_id
 from .near_dedup import op8_near_dedup
+from .quality import op6_quality
 from .token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_chat": op4_chat,
     "op5_bpe": op5_bpe,
+    "op6_quality": op6_quality,
+    "op7_language_id": op7_language_id,
     "op8_near_dedup": op8_near_dedup,
 }
 ORACLES: dict[str, str] = {}
