@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled documents sampled per language, and symbols of them that make its automaton; the rest calibrates.
-SAMPLE, TRAIN_SYMBOLS, STRETCH = 96, 32_768, 256
+#: Labelled documents sampled per language, and symbols of them that make its automaton, at most PIECE of one document;
+#: the rest calibrates.
+SAMPLE, TRAIN_SYMBOLS, PIECE, STRETCH = 96, 32_768, 1024, 256
 #: A document is rejected beyond so many times the bits that held-out text of its language takes in the median ...
 REJECT = 1.35
 #: ... if it has at least so many symbols; shorter ones are only rejected without any letter.
@@ -144,8 +145,9 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int
     for lang in sorted(by):
         texts = np.random.default_rng(7).permutation(np.array(sorted(set(by[lang])), object)).tolist()
         sym, at = symbols(texts)
-        cut = int(np.searchsorted(at[1:], train)) + 1 if len(texts) < 2 else min(int(np.searchsorted(at[1:], train)) + 1, -(-len(texts) * 2 // 3))
-        own = sym[: min(at[min(cut, len(texts))], train)]
+        size = np.minimum(np.diff(at), PIECE)  # a long document must not make the automaton alone
+        cut = min(int(np.searchsorted(np.cumsum(size), train)) + 1, max(1, len(texts) * 2 // 3))
+        own = np.concatenate([sym[a : a + k] for a, k in zip(at[:cut], size[:cut])])[:train]
         if not (own != 0).any():
             continue
         names.append(lang)
