@@ -1,4 +1,345 @@
-"""Registered queries of the search engine and the SQL they must agree with."""
+"""Registered queries of the search engine and the SQL they must agree with.
 
-QUERIES: dict = {}
+Documents serve as chunks, one each, with the vector of the same number where there is one; pages as fetched pages;
+events as a log of visits. All run over whole tables; a limit is a search's pool or a top-k report.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import chunking, content, embedding, html, robots, text, urls
+from .functions.text import Query
+from .operators import fulltext, graph, jobs, knn, maintain
+from .operators.rank import Settings
+from .plans import search
+
+PHRASE, WORD_PAIR, SITE = "of the", "that was", "src1.example"
+SETTINGS = Settings(max_distance=0.95)
+RULES = ["https://ththin.example.com", "ththan.example.net", "http://blog.ththth.example.org:80"]
+ROBOTS = "User-agent: *\nDisallow: /en/\nAllow: /en/1\nDisallow: /*.html$\nDisallow: /de/*?page=\n"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    both = docs.join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    return both.select(F.col("doc_id").alias("id"), F.concat(F.lit("https://"), "source", F.lit(".example/doc/"), "doc_id").alias("url"), "text", F.lit(False).alias("is_heading"), text.plain_tokens(F.col("text")).alias("tokens"), "embedding")
+
+
+def vector_of(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
+    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec_id).select("embedding").first()[0]
+
+
+CHUNKS = r"""chunks AS (SELECT doc_id AS id, 'https://' || source || '.example/doc/' || doc_id AS url, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS tokens, embedding
+  FROM documents LEFT JOIN embeddings ON vec_id = doc_id)"""
+
+
+def _count(words: str) -> str:
+    w = words.split()
+    want = "[" + ", ".join(f"'{x}'" for x in w) + "]"
+    if len(w) == 1:
+        return f"len(list_filter(tokens, t -> t = '{w[0]}'))"
+    return f"len(list_filter(range(1, greatest(len(tokens) - {len(w) - 2}, 1)), i -> tokens[i:i + {len(w) - 1}] = {want}))"
+
+
+def _bm25(name: str, phrases: list[str], pool: int) -> str:
+    tf = ", ".join(f"{_count(p)} AS tf{i}" for i, p in enumerate(phrases))
+    n = ", ".join(f"count(*) FILTER (tf{i} > 0) AS n{i}" for i in range(len(phrases)))
+    idf = [f"CASE WHEN ln((n - n{i} + 0.5::DOUBLE) / (n{i} + 0.5::DOUBLE)) > 0 THEN ln((n - n{i} + 0.5::DOUBLE) / (n{i} + 0.5::DOUBLE)) ELSE 1e-6::DOUBLE END" for i in range(len(phrases))]
+    part = [f"({x}) * (tf{i} * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / length)))" for i, x in enumerate(idf)]
+    hit = " AND ".join(f"tf{i} > 0" for i in range(len(phrases)))
+    return f"""{name}_tf AS (SELECT id, url, text, len(tokens) AS dl, {tf} FROM chunks),
+{name}_n AS (SELECT count(dl) AS n, avg(dl::DOUBLE) AS length, {n} FROM {name}_tf),
+{name} AS (SELECT id, url, text, round(-({' + '.join(part)}), 6) AS rank FROM {name}_tf, {name}_n WHERE {hit} ORDER BY 4, 1 LIMIT {pool})"""
+
+
+Q0 = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
+
+
+@query(f"SELECT vec_id, label, round(1 - list_cosine_similarity(embedding::DOUBLE[], {Q0}), 5) + 0.0 AS distance FROM embeddings ORDER BY 3, 1 LIMIT 500")
+def knn_topk(spark, sf_dir):
+    return knn.top_k(table(spark, sf_dir, "embeddings"), vector_of(spark, sf_dir), 500, "vec_id", digits=5)
+
+
+@query(f"SELECT vec_id, label, distance, round(1 - distance, 5) AS similarity FROM (SELECT vec_id, label, round(1 - list_cosine_similarity(embedding::DOUBLE[], {Q0}), 5) + 0.0 AS distance FROM embeddings ORDER BY 3, 1 LIMIT 500) WHERE distance <= 0.6")
+def knn_threshold(spark, sf_dir):
+    return knn.top_k(table(spark, sf_dir, "embeddings"), vector_of(spark, sf_dir), 500, "vec_id", max_distance=0.6, digits=5).withColumn("similarity", F.round(1 - F.col("distance"), 5))
+
+
+@query("""WITH q AS (SELECT label AS query_id, arg_min(embedding, vec_id)::DOUBLE[] AS q FROM embeddings GROUP BY label)
+SELECT query_id, vec_id, distance, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM (
+  SELECT query_id, vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], q), 5) + 0.0 AS distance FROM embeddings, q)) WHERE place <= 10""")
+def knn_of_queries(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    queries = e.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    return knn.top_k_of_each(e, queries, 10, "vec_id", digits=5)
+
+
+@query(f"WITH {CHUNKS}, {_bm25('hit', [PHRASE], 500)} SELECT id, url, rank FROM hit")
+def fts_phrase_topk(spark, sf_dir):
+    return fulltext.top_k(chunks(spark, sf_dir).drop("embedding"), [PHRASE.split()], 500, digits=6).select("id", "url", "rank")
+
+
+@query(f"WITH {CHUNKS}, {_bm25('hit', PHRASE.split(), 500)} SELECT id, url, rank FROM hit")
+def fts_all_terms_topk(spark, sf_dir):
+    return fulltext.top_k(chunks(spark, sf_dir).drop("embedding"), [[w] for w in PHRASE.split()], 500, digits=6).select("id", "url", "rank")
+
+
+@query(f"WITH {CHUNKS} SELECT id, {_count(WORD_PAIR)} > 0 AS phrase, true AS all_terms FROM chunks WHERE list_contains(tokens, 'that') AND list_contains(tokens, 'was')")
+def fts_phrase_vs_all_terms(spark, sf_dir):
+    c = chunks(spark, sf_dir).select("id", "tokens")
+    both = fulltext.matches(c, [[w] for w in WORD_PAIR.split()])
+    return both.select("id", (fulltext.count_phrase(F.col("tokens"), WORD_PAIR.split()) > 0).alias("phrase"), F.lit(True).alias("all_terms"))
+
+
+@query(f"WITH {CHUNKS} SELECT id, {_count(WORD_PAIR)} AS times FROM chunks WHERE {_count(WORD_PAIR)} > 0")
+def fts_postings_phrase(spark, sf_dir):
+    index = fulltext.postings(chunks(spark, sf_dir).select("id", "tokens"))
+    return fulltext.match_postings(index, [WORD_PAIR.split()]).select("id", F.element_at("tf", 1).alias("times"))
+
+
+@query(f"WITH {CHUNKS} SELECT term, count(*) AS documents, sum(times)::BIGINT AS occurrences FROM (SELECT id, term, count(*) AS times FROM (SELECT id, unnest(tokens) AS term FROM chunks) GROUP BY ALL) GROUP BY term")
+def fts_dictionary(spark, sf_dir):
+    index = fulltext.postings(chunks(spark, sf_dir).select("id", "tokens"))
+    return index.groupBy("term").agg(F.count("*").alias("documents"), F.sum(F.size("positions")).alias("occurrences"))
+
+
+def _hybrid(sites: str) -> str:
+    s = SETTINGS
+    pool = s.pool
+    return f"""WITH {CHUNKS}, {_bm25('p', [WORD_PAIR], pool)}, {_bm25('a', WORD_PAIR.split(), pool)},
+v AS (SELECT id, url, text, round(1 - list_cosine_similarity(embedding::DOUBLE[], {Q0}), 6) + 0.0 AS distance FROM chunks WHERE embedding IS NOT NULL ORDER BY 4, 1 LIMIT {pool}),
+h AS (SELECT url, text, 1 - distance AS sim, false AS exact, false AS terms FROM v WHERE distance <= {s.max_distance}
+  UNION ALL SELECT url, text, 0.0::DOUBLE, true, false FROM p UNION ALL SELECT url, text, 0.0::DOUBLE, false, true FROM a),
+g AS (SELECT url, min(text) AS text, greatest(max(sim), 0.0::DOUBLE) AS similarity, bool_or(exact) AS exact, bool_or(terms) AS terms FROM h {sites} GROUP BY url)
+SELECT url, NULL::VARCHAR AS title, text, round(similarity, 6) AS similarity,
+  round(similarity + CASE WHEN exact THEN {s.exact_phrase}::DOUBLE WHEN terms THEN {s.all_terms}::DOUBLE ELSE 0 END + CASE WHEN contains(lower(text), '{WORD_PAIR}') THEN {s.term_in_text}::DOUBLE ELSE 0 END, 6) AS score FROM g"""
+
+
+@query(_hybrid(""))
+def hybrid_rank(spark, sf_dir):
+    return search.hybrid(chunks(spark, sf_dir), Query(WORD_PAIR, ()), vector_of(spark, sf_dir), SETTINGS, stemmed=False, digits=6)
+
+
+@query(_hybrid(f"WHERE regexp_matches(url, '^https://([^/]*\\.)?{SITE}/')"))
+def hybrid_rank_site(spark, sf_dir):
+    return search.hybrid(chunks(spark, sf_dir), text.parse_query(f"site:{SITE} {WORD_PAIR}"), vector_of(spark, sf_dir), SETTINGS, stemmed=False, digits=6)
+
+
+@query(f"WITH {CHUNKS}, {_bm25('hit', [PHRASE], 50)} SELECT id, url FROM hit WHERE regexp_matches(url, '^https://([^/]*\\.)?{SITE}/')")
+def site_filter_post_pool(spark, sf_dir):
+    pool = fulltext.top_k(chunks(spark, sf_dir).drop("embedding"), [PHRASE.split()], 50, digits=6)
+    return pool.filter(urls.matches_site(F.col("url"), [SITE])).select("id", "url")
+
+
+def _p(n: int) -> str:
+    return f"regexp_extract(url, '{urls.PARTS}', {n})"
+
+
+_PORT = f"CASE WHEN {_p(4)} <> '' THEN {_p(4)}::INT WHEN lower({_p(1)}) = 'http' THEN 80 WHEN lower({_p(1)}) = 'https' THEN 443 END"
+_PATH = f"CASE WHEN {_p(5)} = '' THEN '/' ELSE {_p(5)} END"
+_KEPT = "array_to_string(list_filter(string_split(ltrim({0}, '?'), '&'), p -> p <> '' AND NOT starts_with(lower(string_split(p, '=')[1]), 'utm_') AND lower(string_split(p, '=')[1]) NOT IN ({1})), '&')".format(_p(6), ", ".join(f"'{t}'" for t in urls.TRACKING))
+_NORMAL = f"lower({_p(1)}) || '://' || lower({_p(3)}) || CASE WHEN rtrim({_PATH}, '/') = '' THEN '/' ELSE rtrim({_PATH}, '/') END || CASE WHEN {_KEPT} = '' THEN '' ELSE '?' || {_KEPT} END"
+
+
+@query(f"SELECT page_id, {_NORMAL} AS normal FROM pages")
+def url_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.normalise(F.col("url")).alias("normal"))
+
+
+@query(f"SELECT page_id, lower({_p(1)}) || '://' || lower({_p(3)}) || ':' || ({_PORT}) AS origin, lower({_p(1)}) || '://' || lower({_p(3)}) AS base FROM pages")
+def url_origin(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.origin(F.col("url")).alias("origin"), urls.base(F.col("url")).alias("base"))
+
+
+@query(f"SELECT page_id, {_KEPT} AS kept FROM pages WHERE {_p(6)} <> ''")
+def tracking_params(spark, sf_dir):
+    q = urls.part(F.col("url"), 6)
+    return table(spark, sf_dir, "pages").filter(q != "").select("page_id", urls.strip_tracking(F.regexp_replace(q, r"^\?", "")).alias("kept"))
+
+
+@query(f"""SELECT page_id, (h = 'ththin.example.com' AND s = 'https') OR h = 'ththan.example.net' OR (h = 'blog.ththth.example.org' AND s = 'http' AND p = 80) AS allowed
+FROM (SELECT page_id, lower({_p(1)}) AS s, lower({_p(3)}) AS h, {_PORT} AS p FROM pages)""")
+def allowed_hosts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.in_scope(F.col("url"), [urls.parse_host_rule(r) for r in RULES]).alias("allowed"))
+
+
+@query(f"""SELECT page_id, coalesce(list_max(list_filter([CASE WHEN regexp_matches(q, '^/en/') THEN {{'len': 4, 'allow': false}} END, CASE WHEN regexp_matches(q, '^/en/1') THEN {{'len': 5, 'allow': true}} END,
+  CASE WHEN regexp_matches(q, '^/.*\\.html$') THEN {{'len': 8, 'allow': false}} END, CASE WHEN regexp_matches(q, '^/de/.*\\?page=') THEN {{'len': 11, 'allow': false}} END], x -> x IS NOT NULL)).allow, true) AS allowed
+FROM (SELECT page_id, {_PATH} || {_p(6)} AS q FROM pages)""")
+def robots_allowed(spark, sf_dir):
+    rules = robots.parse(ROBOTS, "quarrymill").rules
+    column = F.array(*(F.struct(F.lit(n).alias("len"), F.lit(a).alias("allow"), F.lit(p).alias("pattern")) for n, a, p in rules))
+    return table(spark, sf_dir, "pages").select("page_id", robots.allowed(urls.path_and_query(F.col("url")), column).alias("allowed"))
+
+
+@query(f"SELECT page_id, contains(lower(translate(regexp_replace(regexp_extract(rtrim({_PATH}, '/'), '([^/]*)$', 1), '\\.[^.]*$', ''), '-_', '  ')), '85') AS hit FROM pages")
+def filename_boost(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.file_name_contains(F.col("url"), F.lit("85")).alias("hit"))
+
+
+@query(f"SELECT page_id, 'of the' AS text, [lower({_p(3)})] AS sites FROM pages")
+def query_parse(spark, sf_dir):
+    q = F.concat(F.lit("  of site:"), F.col("url"), F.lit("  the "))
+    return table(spark, sf_dir, "pages").select("page_id", text.query_text(q).alias("text"), text.query_sites(q).alias("sites"))
+
+
+@query("SELECT doc_id, upper(sha256(text)) AS content_hash, first_id FROM (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents) WHERE doc_id <> first_id")
+def content_hash_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", content.content_hash(F.col("text").cast("binary")).alias("content_hash"))
+    return maintain.first_copies(docs, "content_hash", "doc_id").filter("copy_of IS NOT NULL").select("doc_id", "content_hash", F.col("copy_of").alias("first_id"))
+
+
+@query("""WITH d AS (SELECT doc_id::VARCHAR AS url, upper(sha256(text)) AS content_hash, lang FROM documents)
+SELECT a.url, a.content_hash, min(b.url) AS duplicate_of FROM d a JOIN d b ON a.content_hash = b.content_hash AND a.url <> b.url WHERE b.lang = 'en' GROUP BY ALL""")
+def dup_alias_lookup(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("url"), content.content_hash(F.col("text").cast("binary")).alias("content_hash"), (F.col("lang") == "en").alias("indexed"))
+    return maintain.duplicates_of(d.select("url", "content_hash"), d.select("url", "content_hash"), d.filter("indexed").select("url"))  # only English ones have chunks
+
+
+@query("SELECT page_id, CASE WHEN starts_with(lower(html), '<!doctype html') THEN 'html' ELSE 'unknown' END AS kind FROM pages")
+def content_classify(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", content.classify(F.lit("application/octet-stream"), F.col("html").cast("binary")).alias("kind"))
+
+
+@query("SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '[ \\n\\r\\t]+', ' ', 'g')) AS title FROM pages")
+def html_title(spark, sf_dir):
+    return _analysed(spark, sf_dir).select("page_id", "a.title")
+
+
+def _analysed(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "pages").select("page_id", "url", html.analysis(F.col("html").cast("binary"), F.lit("utf-8"), F.col("url"), none, []).alias("a"))
+
+
+@query()
+def html_analysis(spark, sf_dir):
+    return _analysed(spark, sf_dir).select("page_id", "a.title", "a.headings", "a.text", "a.noindex", "a.nofollow", "a.canonical", F.size("a.outlinks").alias("outlinks"))
+
+
+@query()
+def chunk_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.chunks(F.col("text"))).alias("ord", "chunk"))
+
+
+@query()
+def fts_stemmed(spark, sf_dir):
+    c = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.token_array(F.col("text")).alias("tokens"))
+    return fulltext.top_k(c, [["the"], ["of"]], 500)
+
+
+@query()
+def embed_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", embedding.embed(F.col("text")).alias("embedding"))
+    return knn.top_k(docs, embedding.embed_query("of the"), 50, "doc_id")
+
+
+@query("SELECT doc_id, regexp_replace(text, '(there|those)', '<mark>\\1</mark>', 'gi') AS marked FROM documents")
+def highlight(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.highlight(F.col("text"), "There those a").alias("marked"))
+
+
+def _visits(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    last = e.groupBy("user_id").agg(F.max_by(F.struct("ts", "event_type"), F.struct("ts", "event_id")).alias("v"))
+    return last.select(F.concat(F.lit("https://u/"), "user_id").alias("url"), F.col("v.ts").alias("last_crawled"), F.length("v.event_type").alias("status_code"), (F.col("v.event_type") == "purchase").alias("clear"))
+
+
+_LAST = "SELECT user_id, arg_max(ts, (ts, event_id)) AS ts, arg_max(event_type, (ts, event_id)) AS kind FROM events GROUP BY user_id"
+
+
+@query(f"SELECT 'https://u/' || user_id AS url, ts AS last_crawled, length(kind)::INT AS status_code, kind = 'purchase' AS clear FROM ({_LAST})")
+def latest_visit(spark, sf_dir):
+    return _visits(spark, sf_dir)
+
+
+def _old_state(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_name")
+    return users.select(F.concat(F.lit("https://u/"), "k").alias("url"), F.lit(None).cast("timestamp").alias("last_crawled"), F.lit(200).alias("status_code"), F.concat(F.lit("e"), "k").alias("etag"), none.alias("last_modified"), F.col("c_name").alias("title"), none.alias("content_hash"))
+
+
+@query(f"""SELECT coalesce(s.url, v.url) AS url, v.ts AS last_crawled, coalesce(v.status_code, 200)::INT AS status_code, CASE WHEN v.clear THEN NULL ELSE etag END AS etag, NULL::VARCHAR AS last_modified,
+  CASE WHEN v.clear THEN NULL ELSE title END AS title, NULL::VARCHAR AS content_hash
+FROM (SELECT 'https://u/' || c_custkey AS url, 'e' || c_custkey AS etag, c_name AS title FROM customer) s
+FULL JOIN (SELECT 'https://u/' || user_id AS url, ts, length(kind)::INT AS status_code, kind = 'purchase' AS clear FROM ({_LAST})) v ON s.url = v.url""")
+def record_visits(spark, sf_dir):
+    return maintain.record_visits(_old_state(spark, sf_dir), _visits(spark, sf_dir))
+
+
+@query(f"""WITH n AS (SELECT 'https://u/' || user_id AS url, ts, length(kind)::INT AS code FROM ({_LAST}))
+SELECT url, ts AS last_crawled, code AS status_code, NULL::VARCHAR AS etag, NULL::VARCHAR AS title FROM n
+UNION ALL SELECT 'https://u/' || c_custkey, NULL, 200, 'e' || c_custkey, c_name FROM customer WHERE 'https://u/' || c_custkey NOT IN (SELECT url FROM n)""")
+def upsert_state(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    new = _visits(spark, sf_dir).select("url", "last_crawled", "status_code", *(none.alias(c) for c in maintain.STATE[3:]))
+    return maintain.upsert_state(_old_state(spark, sf_dir), new).select("url", "last_crawled", "status_code", "etag", "title")
+
+
+@query(f"SELECT 'https://u/' || user_id AS url FROM ({_LAST}) WHERE ts IS NULL OR ts < TIMESTAMP '2024-06-01'")
+def stale_urls(spark, sf_dir):
+    return maintain.stale(_visits(spark, sf_dir), F.to_timestamp(F.lit("2024-06-01")))
+
+
+@query("""WITH n AS (SELECT user_id::VARCHAR AS from_url, event_type AS to_url FROM events WHERE value >= 50)
+SELECT DISTINCT * FROM n UNION ALL SELECT DISTINCT user_id::VARCHAR, event_type FROM events WHERE value < 50 AND user_id::VARCHAR NOT IN (SELECT from_url FROM n)""")
+def outlink_replace(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("from_url"), F.col("event_type").alias("to_url"), (F.col("value") >= 50).alias("new"))
+    fresh = e.filter("new").groupBy("from_url").agg(F.collect_set("to_url").alias("to_urls"))
+    return maintain.replace_outlinks(e.filter("NOT new").select("from_url", "to_url").distinct(), fresh)
+
+
+@query(f"SELECT count(DISTINCT url) AS indexed_urls, count(*) AS chunks, (SELECT count(*) FROM ({_LAST})) AS known_urls, (SELECT max(ts) FROM ({_LAST})) AS last_crawled, 0::BIGINT AS bytes FROM (SELECT 'https://' || source AS url FROM documents)")
+def index_stats(spark, sf_dir):
+    c = table(spark, sf_dir, "documents").select(F.concat(F.lit("https://"), "source").alias("url"))
+    return maintain.index_stats(_visits(spark, sf_dir), c)
+
+
+@query(f"SELECT lower({_p(3)}) AS host, count(*) AS pages FROM pages GROUP BY ALL")
+def pages_of_hosts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"))
+
+
+@query(f"SELECT page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY lower({_p(3)}) ORDER BY page_id) AS n FROM pages) WHERE n <= 3")
+def host_cap(spark, sf_dir):
+    w = Window.partitionBy(urls.host(F.col("url"))).orderBy("page_id")
+    return table(spark, sf_dir, "pages").withColumn("n", F.row_number().over(w)).filter("n <= 3").select("page_id", "url")
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_custkey * 7 % 1000 + o_orderkey % 3 AS b FROM orders),
+r(node, level) AS (SELECT 1::BIGINT, 0 UNION SELECT e.b, r.level + 1 FROM r JOIN e ON e.a = r.node WHERE r.level < 12)
+SELECT node, min(level)::INT AS level FROM r GROUP BY node""")
+def frontier_bfs(spark, sf_dir):
+    edges = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("from_node"), (F.col("o_custkey") * 7 % 1000 + F.col("o_orderkey") % 3).alias("to_node")).distinct()
+    return graph.levels(edges, spark.createDataFrame([(1,)], "node bigint"), 12)
+
+
+@query()
+def crawl_jobs(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    fetched = table(spark, sf_dir, "pages").select(
+        urls.normalise(F.col("url")).alias("url"), none.alias("final_url"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), none.alias("charset"), none.alias("etag"),
+        none.alias("last_modified"), none.alias("x_robots_tag"), F.col("html").cast("binary").alias("body"), F.col("page_id").alias("ord"))
+    state = spark.createDataFrame([], "url string, content_hash string")
+    done = jobs.decide(fetched, state, spark.createDataFrame([], "url string"), [])
+    return done.select("ord", "url", "job", "status", "title", "content_hash", "follow")
