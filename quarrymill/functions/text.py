@@ -110,8 +110,13 @@ def _replace(w: str, rules: list[tuple[str, str]]) -> str:
 
 @lru_cache(1 << 17)
 def stem(w: str) -> str:
-    if not 3 <= len(w.encode()) <= 64:
-        return w
+    if not w.isascii():  # the rules see bytes; those beyond ASCII are consonants
+        raw = w.encode("utf-8", "replace")
+        return _stem(raw.decode("latin-1")).encode("latin-1").decode("utf-8", "ignore") if 3 <= len(raw) <= 64 else w
+    return _stem(w) if 3 <= len(w) <= 64 else w
+
+
+def _stem(w: str) -> str:
     if w.endswith("s"):
         w = w[:-2] if w.endswith(("sses", "ies")) else w if w.endswith("ss") else w[:-1]
     if w.endswith("eed"):
