@@ -138,7 +138,7 @@ def extract_docx(body: bytes) -> tuple[str | None, str]:
     return clean_title(title), collapse("".join(out))
 
 
-_SHOW = re.compile(rb"\((?:\\.|[^\\()])*\)\s*(?:Tj|'|\")|\[(?:\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|[^\]()<>])*\]\s*TJ|<([0-9A-Fa-f\s]+)>\s*Tj|\bT[dDm*]\b|\bET\b", re.S)
+_SHOW = re.compile(rb"\((?:\\.|[^\\()])*\)\s*(?:Tj|'|\")|\[(?:\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|[^\]()<>])*\]\s*TJ|<([0-9A-Fa-f\s]+)>\s*Tj|\bT(?:[dDm]\b|\*)|\bET\b", re.S)
 _LITERAL = re.compile(rb"\(((?:\\.|[^\\()])*)\)|<([0-9A-Fa-f\s]*)>", re.S)
 _ESCAPE = re.compile(rb"\\([0-7]{1,3}|\r\n|.)", re.S)
 

@@ -94,8 +94,10 @@ def match_postings(index: DataFrame, phrases: list[list[str]], id_col: str = "id
         return index.select(id_col, F.array().cast("array<int>").alias("tf")).filter(F.lit(False))
     lists = index.filter(F.col("term").isin(wanted)).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at")).filter(F.size("at") == len(wanted))
 
+    def shifted(word: str, by: int) -> Column:
+        return F.transform(F.element_at("at", word), lambda x: x - by)
+
     def times(p: list[str]) -> Column:
-        shifted = [F.transform(F.element_at("at", w), lambda x, j=j: x - j) for j, w in enumerate(p)]
-        return F.size(reduce(F.array_intersect, shifted))
+        return F.size(reduce(F.array_intersect, [shifted(w, j) for j, w in enumerate(p)]))
 
     return lists.select(id_col, F.array(*map(times, phrases)).alias("tf")).filter(F.forall("tf", lambda n: n > 0))

@@ -123,6 +123,6 @@ def changes(jobs: DataFrame, state: DataFrame, now, embedder=None, size: int = 1
     texts = pages.select("url", "text", F.lit(False).alias("is_heading")).union(pages.select("url", F.col("headings"), F.lit(True)))
     rows = maintain.make_chunks(texts.filter(F.length(F.btrim("text")) > 0), size, overlap, embedder)
     meta = decided.select("url", now.alias("last_crawled"), F.col("status").alias("status_code"), "etag", "last_modified", "title", "content_hash")
-    touched = last.filter("job IS NULL").join(state.drop("last_crawled", "status_code"), "url", "left").select("url", now.alias("last_crawled"), F.col("status").alias("status_code"), "etag", "last_modified", "title", "content_hash")
+    touched = last.filter("job IS NULL").select("url", "status").join(state.drop("last_crawled", "status_code"), "url", "left").select("url", now.alias("last_crawled"), F.col("status").alias("status_code"), "etag", "last_modified", "title", "content_hash")
     links = decided.select(F.col("url").alias("from_url"), F.explode(F.array_distinct("outlinks")).alias("to_url"))
     return {"chunks": Change(rows, decided.select("url")), "state": Change(meta.union(touched), last.select("url")), "links": Change(links, decided.select("url"))}

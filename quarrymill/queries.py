@@ -58,8 +58,8 @@ def _count(words: str) -> str:
     w = words.split()
     want = "[" + ", ".join(f"'{x}'" for x in w) + "]"
     if len(w) == 1:
-        return f"len(list_filter(tokens, t -> t = '{w[0]}'))"
-    return f"len(list_filter(range(1, greatest(len(tokens) - {len(w) - 2}, 1)), i -> tokens[i:i + {len(w) - 1}] = {want}))"
+        return f"len(list_filter(tokens, lambda t: t = '{w[0]}'))"
+    return f"len(list_filter(range(1, greatest(len(tokens) - {len(w) - 2}, 1)), lambda i: tokens[i:i + {len(w) - 1}] = {want}))"
 
 
 def _bm25(name: str, phrases: list[str], pool: int) -> str:
@@ -158,7 +158,7 @@ def _p(n: int) -> str:
 
 _PORT = f"CASE WHEN {_p(4)} <> '' THEN {_p(4)}::INT WHEN lower({_p(1)}) = 'http' THEN 80 WHEN lower({_p(1)}) = 'https' THEN 443 END"
 _PATH = f"CASE WHEN {_p(5)} = '' THEN '/' ELSE {_p(5)} END"
-_KEPT = "array_to_string(list_filter(string_split(ltrim({0}, '?'), '&'), p -> p <> '' AND NOT starts_with(lower(string_split(p, '=')[1]), 'utm_') AND lower(string_split(p, '=')[1]) NOT IN ({1})), '&')".format(_p(6), ", ".join(f"'{t}'" for t in urls.TRACKING))
+_KEPT = "array_to_string(list_filter(string_split(ltrim({0}, '?'), '&'), lambda p: p <> '' AND NOT starts_with(lower(string_split(p, '=')[1]), 'utm_') AND lower(string_split(p, '=')[1]) NOT IN ({1})), '&')".format(_p(6), ", ".join(f"'{t}'" for t in urls.TRACKING))
 _NORMAL = f"lower({_p(1)}) || '://' || lower({_p(3)}) || CASE WHEN rtrim({_PATH}, '/') = '' THEN '/' ELSE rtrim({_PATH}, '/') END || CASE WHEN {_KEPT} = '' THEN '' ELSE '?' || {_KEPT} END"
 
 
@@ -185,7 +185,7 @@ def allowed_hosts(spark, sf_dir):
 
 
 @query(f"""SELECT page_id, coalesce(list_max(list_filter([CASE WHEN regexp_matches(q, '^/en/') THEN {{'len': 4, 'allow': false}} END, CASE WHEN regexp_matches(q, '^/en/1') THEN {{'len': 5, 'allow': true}} END,
-  CASE WHEN regexp_matches(q, '^/.*\\.html$') THEN {{'len': 8, 'allow': false}} END, CASE WHEN regexp_matches(q, '^/de/.*\\?page=') THEN {{'len': 11, 'allow': false}} END], x -> x IS NOT NULL)).allow, true) AS allowed
+  CASE WHEN regexp_matches(q, '^/.*\\.html$') THEN {{'len': 8, 'allow': false}} END, CASE WHEN regexp_matches(q, '^/de/.*\\?page=') THEN {{'len': 11, 'allow': false}} END], lambda x: x IS NOT NULL)).allow, true) AS allowed
 FROM (SELECT page_id, {_PATH} || {_p(6)} AS q FROM pages)""")
 def robots_allowed(spark, sf_dir):
     rules = robots.parse(ROBOTS, "quarrymill").rules

@@ -63,7 +63,7 @@ def test_urls(spark):
 
 ROBOTS = [
     ("", "/x", True), ("User-agent: *\nDisallow: /private", "/private/a", False), ("User-agent: *\nDisallow:", "/x", True), ("User-agent: *\nDisallow: /a\nAllow: /a/b", "/a/b/c", True),
-    ("User-agent: *\nDisallow: /a\nAllow: /a", "/a", True), ("User-agent: *\nDisallow: /*.php$", "/x.php?y", False if False else True), ("User-agent: *\nDisallow: /*.pdf", "/d/x.pdf?y", False),
+    ("User-agent: *\nDisallow: /a\nAllow: /a", "/a", True), ("User-agent: *\nDisallow: /*.php$", "/x.php?y", True), ("User-agent: *\nDisallow: /*.pdf", "/d/x.pdf?y", False),
     ("User-agent: bot\nUser-agent: other\nDisallow: /b\n\nUser-agent: *\nDisallow: /c", "/c", True), ("User-agent: bot\nDisallow: /b # why", "/b", False), ("User-agent: *\nDisallow: /", "", False),
     ("user-agent: BOT\nallow: /x\nuser-agent: bot\ndisallow: /y", "/y", False), ("User-agent: *\nDisallow: /a?b", "/a?b=1", False), ("User-agent: *\nDisallow: /a.b", "/axb", True),
 ]
@@ -82,7 +82,7 @@ def test_robots_rest():
     assert r.delay == 3 and r.sitemaps == ("https://e.com/s.xml",)
     assert robots.from_response(503, b"", "b", 9) == (robots.DISALLOW_ALL, True) and not robots.DISALLOW_ALL.allows("/x")
     assert robots.from_response(404, None, "b", 9) == (robots.ALLOW_ALL, False) == robots.from_response(None, None, "b", 9)
-    assert robots.from_response(200, b"User-agent: *\nDisallow: /a", "b", 24)[0].allows("/b") is False  # cut to Disallow: /
+    assert robots.from_response(200, b"User-agent: *\nDisallow: /a", "b", 25)[0].allows("/b") is False  # cut to Disallow: /
 
 
 def _zip(*names):
@@ -137,7 +137,8 @@ def test_html():
     b = html.analyse(PAGE.replace("NoFollow", "x").replace("canonical", "other"), "https://e.com/a/b", rules, "bot", "bot: noindex")
     assert b["outlinks"] == ["https://e.com/d"] and b["noindex"] and b["canonical"] is None
     assert not html.analyse("", "https://e.com/", rules, "bot", "other: noindex")["noindex"]
-    assert html.analyse("", "https://e.com/", rules, "bot", "noindex, other: nofollow")["noindex"]
+    assert not html.analyse("", "https://e.com/", rules, "bot", "noindex, other: nofollow")["noindex"]
+    assert html.analyse("", "https://e.com/", rules, "bot", "none")["nofollow"]
     assert html.analyse("<h1>open <p>text", "https://e.com/", rules)["headings"] == "open text"
     assert html.analyse("<", "", [])["text"] == "<"
 
