@@ -88,12 +88,12 @@ def dense(automata: list[list[dict[int, int]]]) -> dict[str, np.ndarray]:
         roots.append(np.where(t[0] < 0, (base + len(a)) * width, t[0]))
         tables.append(t)
         base += len(a) + 1
-    return {"table": np.concatenate(tables).ravel(), "roots": np.array(roots, np.int32), "starts": np.cumsum([0, *(len(t) for t in tables)])[:-1] * width, "of": of}
+    return {"table": np.concatenate(tables).ravel(), "roots": np.array(roots, np.int32), "of": of}
 
 
 def phrases(sym: np.ndarray, at: np.ndarray, m, stretch: int = STRETCH) -> np.ndarray:
     """(texts, languages): phrases of each text's parse; 0 for a text without symbols."""
-    table, roots, starts = (np.asarray(m[k]) for k in ("table", "roots", "starts"))
+    table, roots = (np.asarray(m[k]) for k in ("table", "roots"))
     n = np.diff(at)
     lanes = -(-n // stretch)
     doc = np.repeat(np.arange(len(n)), lanes)
@@ -110,9 +110,9 @@ def phrases(sym: np.ndarray, at: np.ndarray, m, stretch: int = STRETCH) -> np.nd
     steps = [c[begin[:a] + i] for i, a in enumerate(active)]
     for lang in range(len(roots)):
         root = roots[lang]
-        state = np.full(len(doc), starts[lang], np.int32)
+        state = root[steps[0]]  # the first symbol begins a phrase, known or not
         ends = np.ones(len(doc), np.int32)
-        for a, now in zip(active, steps):
+        for a, now in zip(active[1:], steps[1:]):
             to = table.take(state[:a] + now)
             miss = to < 0
             ends[:a] += miss
