@@ -55,6 +55,19 @@ def matches(chunks: DataFrame, phrases: list[list[str]], tokens_col: str = "toke
     return counted.filter(F.forall("tf", lambda n: n > 0))
 
 
+def _rank(n_phrases: int, length: Column, digits: int | None) -> Column:
+    """BM25 from tf, n, n0…, length (the mean) and a chunk's own length; less is better."""
+
+    def part(i: int) -> Column:
+        v = F.ln((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
+        idf = F.when(v > 0, v).otherwise(F.lit(LEAST_IDF))
+        tf = F.element_at("tf", i + 1).cast("double")
+        return idf * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.col("length"))))
+
+    rank = -reduce(lambda a, b: a + b, [part(i) for i in range(n_phrases)])
+    return rank if digits is None else F.round(rank, digits)
+
+
 def top_k(chunks: DataFrame, phrases: list[list[str]], k: int, id_col: str = "id", tokens_col: str = "tokens", digits: int | None = None) -> DataFrame:
     """The k best of matches() by `rank` (less is better), then id; without tokens and tf.
 
@@ -65,39 +78,49 @@ def top_k(chunks: DataFrame, phrases: list[list[str]], k: int, id_col: str = "id
     toks = F.col(tokens_col)
     has = [F.count_if(count_phrase(toks, p) > 0).alias(f"n{i}") for i, p in enumerate(phrases)]
     stats = chunks.agg(F.count(toks).alias("n"), F.avg(F.size(toks).cast("double")).alias("length"), *has)
+    scored = matches(chunks, phrases, tokens_col).crossJoin(F.broadcast(stats)).withColumn("rank", _rank(len(phrases), F.size(toks), digits))
+    return scored.select(*(c for c in chunks.columns if c != tokens_col), "rank").orderBy("rank", id_col).limit(k)
 
-    def idf(i: int) -> Column:
-        v = F.ln((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
-        return F.when(v > 0, v).otherwise(F.lit(LEAST_IDF))
 
-    def part(i: int) -> Column:
-        tf = F.element_at("tf", i + 1).cast("double")
-        return idf(i) * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size(toks) / F.col("length"))))
+def postings(chunks: DataFrame, id_col: str = "id", tokens_col: str = "tokens", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(term, id, keep…, positions ARRAY<INT>, n_tokens): the inverted index, positions from 0; keep: columns that the id
+    determines."""
+    each = chunks.select(id_col, *keep, F.size(tokens_col).alias("n_tokens"), F.posexplode(tokens_col).alias("pos", "term"))
+    grouped = each.groupBy("term", id_col).agg(*(F.first(c).alias(c) for c in keep), F.first("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    return grouped.select("term", id_col, *keep, "positions", "n_tokens")
+
+
+def _lists(index: DataFrame, words: list[str], id_col: str) -> DataFrame:
+    """(id, n_tokens, at MAP<term, positions>) of what has any of the words; the filter reaches the scan."""
+    return index.filter(F.col("term").isin(words)).groupBy(id_col).agg(F.first("n_tokens").alias("n_tokens"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
 
-    rank = -reduce(lambda a, b: a + b, [part(i) for i in range(len(phrases))])
-    if digits is not None:
-        rank = F.round(rank, digits)
-    scored = matches(chunks, phrases, tokens_col).crossJoin(F.broadcast(stats)).withColumn("rank", rank)
-    return scored.select(*(c for c in chunks.columns if c != tokens_col), "rank").orderBy("rank", id_col).limit(k)
 
+def _times(phrase: list[str]) -> Column:
+    def shifted(word: str, by: int) -> Column:
+        return F.transform(F.element_at("at", word), lambda x: x - by)
 
-def postings(chunks: DataFrame, id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:
-    """(term, id, positions ARRAY<INT>): the inverted index, positions from 0."""
-    each = chunks.select(id_col, F.posexplode(tokens_col).alias("pos", "term"))
-    return each.groupBy("term", id_col).agg(F.array_sort(F.collect_list("pos")).alias("positions")).select("term", id_col, "positions")
+    every = reduce(lambda a, b: a & b, [F.map_contains_key("at", w) for w in dict.fromkeys(phrase)])
+    return F.when(every, F.size(reduce(F.array_intersect, [shifted(w, j) for j, w in enumerate(phrase)]))).otherwise(F.lit(0))
 
 
 def match_postings(index: DataFrame, phrases: list[list[str]], id_col: str = "id") -> DataFrame:
-    """(id, tf): matches() by the postings alone; the terms' filter reaches the scan."""
+    """(id, tf): matches() by the postings alone."""
     wanted = list(dict.fromkeys(w for p in phrases for w in p))
     if not wanted:
         return index.select(id_col, F.array().cast("array<int>").alias("tf")).filter(F.lit(False))
-    lists = index.filter(F.col("term").isin(wanted)).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at")).filter(F.size("at") == len(wanted))
+    hit = _lists(index, wanted, id_col).filter(F.size("at") == len(wanted))
+    return hit.select(id_col, F.array(*map(_times, phrases)).alias("tf")).filter(F.forall("tf", lambda n: n > 0))
 
-    def shifted(word: str, by: int) -> Column:
-        return F.transform(F.element_at("at", word), lambda x: x - by)
-
-    def times(p: list[str]) -> Column:
-        return F.size(reduce(F.array_intersect, [shifted(w, j) for j, w in enumerate(p)]))
 
-    return lists.select(id_col, F.array(*map(times, phrases)).alias("tf")).filter(F.forall("tf", lambda n: n > 0))
+def top_k_postings(index: DataFrame, lengths: DataFrame, phrases: list[list[str]], k: int, id_col: str = "id", digits: int | None = None) -> DataFrame:
+    """(id, rank): top_k() by the postings. lengths: (n_tokens), a row for each chunk; of the postings only the query's
+    terms are read."""
+    wanted = list(dict.fromkeys(w for p in phrases for w in p))
+    if not wanted:
+        return index.select(id_col, F.lit(0.0).alias("rank")).filter(F.lit(False))
+    counted = _lists(index, wanted, id_col).select(id_col, "n_tokens", F.array(*map(_times, phrases)).alias("tf"))
+    stats = lengths.agg(F.count("n_tokens").alias("n"), F.avg(F.col("n_tokens").cast("double")).alias("length")).crossJoin(
+        counted.agg(*(F.count_if(F.element_at("tf", i + 1) > 0).alias(f"n{i}") for i in range(len(phrases))))
+    )
+    hit = counted.filter(F.forall("tf", lambda n: n > 0)).crossJoin(F.broadcast(stats))
+    return hit.select(id_col, _rank(len(phrases), F.col("n_tokens"), digits).alias("rank")).orderBy("rank", id_col).limit(k)

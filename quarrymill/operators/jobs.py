@@ -105,7 +105,7 @@ def decide(fetches: DataFrame, state: DataFrame, chunks: DataFrame, rules: list[
 
 
 def changes(jobs: DataFrame, state: DataFrame, now, embedder=None, size: int = 150, overlap: int = 30) -> dict[str, Change]:
-    """What jobs(…, ord) do to the three tables, as one commit. Of a URL's jobs the last that isn't a touch decides content
+    """What jobs do to the tables, as one commit. Of a URL's jobs the last that isn't a touch decides content
     and metadata, the last of any kind time and status: as if they had been applied in turn. Redirect sources lose
     everything and are stamped 302. state is the table before."""
     now = now if isinstance(now, Column) else F.lit(now)
@@ -121,8 +121,9 @@ def changes(jobs: DataFrame, state: DataFrame, now, embedder=None, size: int = 1
     decided = last.filter("job IS NOT NULL")
     pages = decided.filter("job = 'index'")
     texts = pages.select("url", "text", F.lit(False).alias("is_heading")).union(pages.select("url", F.col("headings"), F.lit(True)))
-    rows = maintain.make_chunks(texts.filter(F.length(F.btrim("text")) > 0), size, overlap, embedder)
+    gone = decided.select("url")
+    indexed = maintain.index_changes(maintain.make_chunks(texts.filter(F.length(F.btrim("text")) > 0), size, overlap, embedder), gone)
     meta = decided.select("url", now.alias("last_crawled"), F.col("status").alias("status_code"), "etag", "last_modified", "title", "content_hash")
     touched = last.filter("job IS NULL").select("url", "status").join(state.drop("last_crawled", "status_code"), "url", "left").select("url", now.alias("last_crawled"), F.col("status").alias("status_code"), "etag", "last_modified", "title", "content_hash")
     links = decided.select(F.col("url").alias("from_url"), F.explode(F.array_distinct("outlinks")).alias("to_url"))
-    return {"chunks": Change(rows, decided.select("url")), "state": Change(meta.union(touched), last.select("url")), "links": Change(links, decided.select("url"))}
+    return indexed | {"state": Change(meta.union(touched), last.select("url")), "links": Change(links, gone)}

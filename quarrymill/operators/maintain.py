@@ -7,18 +7,25 @@ from pyspark.sql import functions as F
 
 from ..functions import embedding, text
 from ..functions.chunking import chunks as chunk_column
+from ..sources.store import Change
+from . import fulltext
 
 STATE = ("url", "last_crawled", "status_code", "etag", "last_modified", "title", "content_hash")
 
 
 def make_chunks(pages: DataFrame, size: int = 150, overlap: int = 30, embedder: embedding.Embedder | None = embedding.hash_embed) -> DataFrame:
-    """Rows of the chunks table for (url, text, is_heading). Ids are hashes of place, so a task that runs again makes the
+    """(id, url, ord, text, is_heading, tokens, embedding) for (url, text, is_heading). Ids are hashes of place, so a task that runs again makes the
     same. Blank texts have no chunk. embedder None: no vectors."""
     each = pages.select("url", "is_heading", F.posexplode(chunk_column(F.col("text"), size, overlap)).alias("ord", "text"))
     ready = each.select(F.sha2(F.concat_ws("\0", "url", F.col("is_heading").cast("string"), F.col("ord").cast("string")), 256).alias("id"), "url", "ord", "text", "is_heading", text.token_array(F.col("text")).alias("tokens"))
     return ready.withColumn("embedding", F.lit(None).cast("array<float>") if embedder is None else embedding.embed(F.col("text"), embedder))
 
 
+def index_changes(chunks: DataFrame, gone: DataFrame) -> dict[str, Change]:
+    """Changes of the chunks and postings tables for rows of make_chunks() that replace what gone(url) had."""
+    return {"chunks": Change(chunks.withColumn("n_tokens", F.size("tokens")), gone), "postings": Change(fulltext.postings(chunks, keep=("url",)), gone)}
+
+
 def upsert_state(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of new replace those of the same URL as a whole: a null replaces a value too."""
     return old.join(new.select("url"), "url", "left_anti").unionByName(new).select(*STATE)

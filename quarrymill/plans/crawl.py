@@ -12,7 +12,7 @@ from ..functions import embedding, robots, urls
 from ..operators import jobs, maintain
 from ..sources.shared import shared_dir
 from ..sources.sitemaps import sitemap_urls
-from ..sources.store import Change, Store
+from ..sources.store import TABLES, Change, Store
 
 #: A fetched web: what each URL answers. A URL that isn't there answers 404.
 WEB = "url string, final_url string, status int, content_type string, charset string, etag string, last_modified string, x_robots_tag string, body binary"
@@ -145,5 +145,5 @@ def prune(store: Store, before, rules: list[urls.HostRule], unavailable: DataFra
     old = old.select("url").checkpoint()
     n = old.count()
     if n:
-        store.commit({t: Change(None, old) for t in ("chunks", "state", "links")})
+        store.commit({t: Change(None, old) for t in TABLES})
     return n

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import embedding, urls
 from ..functions.text import Query, parse_query
 from ..operators import fulltext, knn
-from ..operators.maintain import index_stats, make_chunks
+from ..operators.maintain import index_changes, index_stats, make_chunks
 from ..operators.rank import Settings, rank
-from ..sources.store import Change, Store
+from ..sources.store import TABLES, Change, Store
 
 RESULT = "url string, title string, text string, similarity double, score double"
 
@@ -40,13 +40,24 @@ def vector_hits(chunks: DataFrame, vector: list[float], pool: int, digits: int |
     return _ordered(knn.top_k(some, vector, pool, digits=digits), "distance", "id").select("url", "text", "is_heading", "distance", "ord")
 
 
-def hybrid(chunks: DataFrame, query: Query, vector: list[float] | None, settings: Settings = Settings(), titles: DataFrame | None = None, stemmed: bool = True, digits: int | None = None) -> DataFrame:
-    """Ranked rows for chunks(id, url, text, is_heading, tokens, embedding). The sites filter what the pools hold, so
+def indexed_hits(chunks: DataFrame, postings: DataFrame, query: str, pool: int, digits: int | None = None) -> DataFrame:
+    """keyword_hits() by the postings; chunks are read for the pools' rows, at most two pools of them."""
+    out = None
+    for at, (exact, phrases) in enumerate(((True, fulltext.phrase_of(query)), (False, fulltext.terms_of(query)))):
+        if exact or phrases:
+            hits = _ordered(fulltext.top_k_postings(postings, chunks.select("n_tokens"), phrases, pool, digits=digits), "rank", "id").select("id", F.lit(exact).alias("exact_phrase"), (F.col("ord") + at * pool).alias("ord"))
+            out = hits if out is None else out.unionByName(hits)
+    return chunks.select("id", "url", "text", "is_heading").join(F.broadcast(out), "id").select("url", "text", "is_heading", "exact_phrase", "ord")
+
+
+def hybrid(chunks: DataFrame, query: Query, vector: list[float] | None, settings: Settings = Settings(), titles: DataFrame | None = None, stemmed: bool = True, digits: int | None = None, postings: DataFrame | None = None) -> DataFrame:
+    """Ranked rows for chunks(id, url, text, is_heading, tokens, embedding); with postings, tokens aren't
+    needed, but n_tokens are. The sites filter what the pools hold, so
     other hosts' chunks take their places too. A query without text finds nothing; without a vector only keywords count.
     """
     if not query.text:
         return chunks.sparkSession.createDataFrame([], RESULT)
-    words = keyword_hits(chunks, query.text, settings.pool, stemmed, digits)
+    words = keyword_hits(chunks, query.text, settings.pool, stemmed, digits) if postings is None else indexed_hits(chunks, postings, query.text, settings.pool, digits)
     near = vector_hits(chunks, vector, settings.pool, digits) if vector is not None else words.select("url", "text", "is_heading", F.lit(0.0).alias("distance"), "ord").filter(F.lit(False))
     sites = list(query.sites)
     return rank(near.filter(urls.matches_site(F.col("url"), sites)), words.filter(urls.matches_site(F.col("url"), sites)), query.text, settings, titles, digits)
@@ -60,7 +71,7 @@ def search(store: Store, query: str, settings: Settings = Settings(), embedder:
         raise IndexNotBuilt(store.root)
     parsed = parse_query(query)
     vector = embedding.embed_query(parsed.text, embedder, prefix) if parsed.text else None
-    return hybrid(store.read("chunks"), parsed, vector, settings, store.read("state").select("url", "title"))
+    return hybrid(store.read("chunks"), parsed, vector, settings, store.read("state").select("url", "title"), postings=store.read("postings"))
 
 
 def total_matches(results: DataFrame) -> int:
@@ -75,9 +86,9 @@ def stats(store: Store) -> DataFrame:
 
 def index_documents(store: Store, pages: DataFrame, size: int = 150, overlap: int = 30, embedder: embedding.Embedder = embedding.hash_embed) -> int:
     """Replaces the chunks of pages(url, text, is_heading)."""
-    return store.commit({"chunks": Change(make_chunks(pages, size, overlap, embedder), pages.select("url"))})
+    return store.commit(index_changes(make_chunks(pages, size, overlap, embedder), pages.select("url")))
 
 
 def delete_urls(store: Store, gone: DataFrame) -> int:
     """Removes (url) from all tables."""
-    return store.commit({t: Change(None, gone) for t in ("chunks", "state", "links")})
+    return store.commit({t: Change(None, gone) for t in TABLES})

@@ -81,9 +81,9 @@ def knn_topk(spark, sf_dir):
     return knn.top_k(table(spark, sf_dir, "embeddings"), vector_of(spark, sf_dir), 500, "vec_id", digits=5)
 
 
-@query(f"SELECT vec_id, label, distance, round(1 - distance, 5) AS similarity FROM (SELECT vec_id, label, round(1 - list_cosine_similarity(embedding::DOUBLE[], {Q0}), 5) + 0.0 AS distance FROM embeddings ORDER BY 3, 1 LIMIT 500) WHERE distance <= 0.6")
+@query(f"SELECT vec_id, label, distance, round(1 - distance, 5) AS similarity FROM (SELECT vec_id, label, round(1 - list_cosine_similarity(embedding::DOUBLE[], {Q0}), 5) + 0.0 AS distance FROM embeddings ORDER BY 3, 1 LIMIT 500) WHERE distance <= 0.9")
 def knn_threshold(spark, sf_dir):
-    return knn.top_k(table(spark, sf_dir, "embeddings"), vector_of(spark, sf_dir), 500, "vec_id", max_distance=0.6, digits=5).withColumn("similarity", F.round(1 - F.col("distance"), 5))
+    return knn.top_k(table(spark, sf_dir, "embeddings"), vector_of(spark, sf_dir), 500, "vec_id", max_distance=0.9, digits=5).withColumn("similarity", F.round(1 - F.col("distance"), 5))
 
 
 @query("""WITH q AS (SELECT label AS query_id, arg_min(embedding, vec_id)::DOUBLE[] AS q FROM embeddings GROUP BY label)

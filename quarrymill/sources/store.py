@@ -14,9 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Tables whose files are ranges of a column, so that a filter on it skips most of them.
+SORTED = {"postings": "term"}
 #: Table -> (schema, the column that names the URL a row belongs to).
 TABLES: dict[str, tuple[str, str]] = {
-    "chunks": ("id string, url string, ord int, text string, is_heading boolean, tokens array<string>, embedding array<float>", "url"),
+    "chunks": ("id string, url string, ord int, text string, is_heading boolean, n_tokens int, embedding array<float>", "url"),
+    "postings": ("term string, id string, url string, positions array<int>, n_tokens int", "url"),
     "state": ("url string, last_crawled timestamp, status_code int, etag string, last_modified string, title string, content_hash string", "url"),
     "links": ("from_url string, to_url string", "from_url"),
 }
@@ -111,23 +114,27 @@ class Store:
             entry = {"number": number, "rows": change.rows is not None, "touched": change.touched is not None}
             if change.rows is not None:
                 columns = StructType.fromDDL(schema).fieldNames()
-                change.rows.select(*columns).write.mode("overwrite").parquet(f"{folder}/rows")
+                self._arrange(table, change.rows.select(*columns)).write.mode("overwrite").parquet(f"{folder}/rows")
             if change.touched is not None:
                 change.touched.select("url").distinct().write.mode("overwrite").parquet(f"{folder}/touched")
             tables[table].append(entry)
         self._publish({"number": number, "tables": tables})
         return number
 
+    @staticmethod
+    def _arrange(table: str, rows: DataFrame, by: str | None = None) -> DataFrame:
+        by = SORTED.get(table, by)
+        return rows if by is None else rows.repartitionByRange(F.col(by)).sortWithinPartitions(by)
+
     def compact(self, force: bool = False) -> bool:
-        """Writes each table of many versions as one, sorted by URL within files."""
+        """Writes each table of many versions as one, its files ranges of the URL, or of the column in SORTED."""
         now = self.manifest()
         big = [t for t, v in now["tables"].items() if len(v) > (1 if force else self.most_versions)]
         if not big:
             return False
         number = now["number"] + 1
         for table in big:
-            key = TABLES[table][1]
-            self.read(table).repartitionByRange(F.col(key)).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{self.root}/{table}/{number:012d}/rows")
+            self._arrange(table, self.read(table), TABLES[table][1]).write.mode("overwrite").parquet(f"{self.root}/{table}/{number:012d}/rows")
         self._publish({"number": number, "tables": now["tables"] | {t: [{"number": number, "rows": True, "touched": False}] for t in big}})
         return True
 

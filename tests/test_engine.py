@@ -75,6 +75,7 @@ def test_bm25_is_that_of_a_full_text_index(spark):
             got = rows(fulltext.top_k(df, phrases, 10, digits=9))
             assert sorted(r[0] for r in got) == sorted(r[0] for r in want), (query, match)
             assert {i: pytest.approx(r, abs=1e-6) for i, r in want} == dict(got)
+            assert dict(rows(fulltext.top_k_postings(index, df.select(F.size("tokens").alias("n_tokens")), phrases, 10, digits=9))) == dict(got)
             assert sorted(r[0] for r in rows(fulltext.match_postings(index, phrases))) == sorted(r[0] for r in want)
     assert rows(fulltext.top_k(df, fulltext.phrase_of("?!"), 5)) == []
     assert fulltext.terms_of("one") == [] and fulltext.terms_of("a _") == []
