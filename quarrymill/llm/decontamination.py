@@ -4,8 +4,9 @@ Every passage of every training text is a query; the index holds the test items,
 passage is BACK words long or more (twice the longest item) and passages overlap by half, so that a copied item
 lies whole in one. Scores are BM25 as a share of what the item scores against itself. Retrieved is every item of
 a share of at least LEAST_SCORE: block-max WAND skips blocks of postings whose maxima can't reach it. What no
-pivot can exist for is found for whole chunks first: the sum of the rare terms' maxima over a passage, plus the most
-that frequent terms together give any item, is below the threshold. Both bounds are exact, so nothing is lost.
+pivot can exist for is found for whole chunks first: frequent terms together give an item so much at most, so the
+rare terms of a passage must give that same item the rest, and their short postings are summed by passage and item for
+all passages at once. Both bounds are exact, so nothing is lost.
 
 A retrieved item counts as leaked if enough of its question's and of its answer's word n-grams are in the passage.
 """
@@ -13,6 +14,7 @@ A retrieved item counts as leaked if enough of its question's and of its answer'
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import partial
 
 import numpy as np
@@ -98,27 +100,27 @@ def build_index(items: list[tuple[int, str]], least: float = LEAST_SCORE) -> dic
     small = np.zeros(1 << 16, bool)
     small[(vocab & np.uint64(0xFFFF)).astype(np.int64)] = True
     return {"ids": np.array([i for i, _ in items], np.int64), "vocab": vocab, "small": small, "begin": begin, "item": d.astype(np.int64), "impact": impact, "top": top,
-            "bound": np.where(rare, top, 0.0), "frequent": np.array([given.max()]), "block_at": np.concatenate([[0], np.cumsum(-(-df // BLOCK))]), "block_max": np.array([impact[x:y].max() for x, y in blocks]),
+            "rare": rare, "given": given, "block_at": np.concatenate([[0], np.cumsum(-(-df // BLOCK))]), "block_max": np.array([impact[x:y].max() for x, y in blocks]),
             "q": q, "q_at": q_at, "a": a, "a_at": a_at, "half": np.array([max(BACK, int(length.max()))])}
 
 
 def block_max_wand(terms: np.ndarray, m, least: float) -> list[tuple[int, float]]:
     """Every (item, score) of at least `least` for the distinct terms, in order of the items."""
-    begin, item, impact, top, block_at, block_max = (m[k] for k in ("begin", "item", "impact", "top", "block_at", "block_max"))
+    # Views of the mapped arrays, whose single numbers cost less to read than numpy's.
+    begin, item, impact, top, block_at, block_max = (memoryview(np.asarray(m[k])) for k in ("begin", "item", "impact", "top", "block_at", "block_max"))
     eps = 1e-9
     lists = []
     for t in terms.tolist():
-        lo, hi = int(begin[t]), int(begin[t + 1])
-        lists.append([int(item[lo]), lo, hi, float(top[t]), int(block_at[t]), lo])
+        lo, hi = begin[t], begin[t + 1]
+        lists.append([item[lo], lo, hi, top[t], block_at[t], lo])
     found = []
 
     def seek(x: list, to: int) -> None:
-        p = x[1] + int(np.searchsorted(item[x[1] : x[2]], to))
-        x[1] = p
-        x[0] = int(item[p]) if p < x[2] else -1
+        p = x[1] = bisect_left(item, to, x[1], x[2])
+        x[0] = item[p] if p < x[2] else -1
 
     while lists:
-        lists.sort(key=lambda x: x[0])
+        lists.sort()
         bound, pivot = 0.0, -1
         for k, x in enumerate(lists):
             bound += x[3]
@@ -132,17 +134,17 @@ def block_max_wand(terms: np.ndarray, m, least: float) -> list[tuple[int, float]
             pivot += 1
         bound, far = 0.0, lists[pivot + 1][0] if pivot + 1 < len(lists) else 1 << 62
         for x in lists[: pivot + 1]:
-            p = x[1] + int(np.searchsorted(item[x[1] : x[2]], doc))  # shallow: only which block
+            p = bisect_left(item, doc, x[1], x[2])  # shallow: only which block
             if p < x[2]:
                 block = (p - x[5]) // BLOCK
-                bound += float(block_max[x[4] + block])
-                far = min(far, int(item[min(x[5] + (block + 1) * BLOCK, x[2]) - 1]) + 1)
+                bound += block_max[x[4] + block]
+                far = min(far, item[min(x[5] + (block + 1) * BLOCK, x[2]) - 1] + 1)
         if bound < least - eps:
             to = max(doc + 1, far)
             for x in lists[: pivot + 1]:
                 seek(x, to)
         elif lists[0][0] == doc:
-            score = sum(float(impact[x[1]]) for x in lists[: pivot + 1])
+            score = sum(impact[x[1]] for x in lists[: pivot + 1])
             if score >= least - eps:
                 found.append((doc, score))
             for x in lists[: pivot + 1]:
@@ -155,6 +157,50 @@ def block_max_wand(terms: np.ndarray, m, least: float) -> list[tuple[int, float]
     return found
 
 
+def reachable(term: np.ndarray, start: np.ndarray, doc: np.ndarray, k: np.ndarray, m, least: float) -> np.ndarray:
+    """Passages that some item may reach the threshold in. A passage is named by its first piece."""
+    begin, items, impact, given = (np.asarray(m[x]) for x in ("begin", "item", "impact", "given"))
+    use = np.flatnonzero(term >= 0)
+    use = use[np.asarray(m["rare"])[term[use]]]
+    if not len(use):
+        return np.zeros(0, np.int64)
+    piece, t = np.searchsorted(start, use, "right") - 1, term[use]
+    paired = np.zeros(len(doc), bool)  # with the piece behind it
+    paired[:-1] = doc[1:] == doc[:-1]
+    own, back = paired[piece] | (k[piece] == 0), k[piece] > 0
+    passage, t = np.divmod(np.unique(np.concatenate([piece[own], piece[back] - 1]) * (len(begin) - 1) + np.concatenate([t[own], t[back]])), len(begin) - 1)
+    size = begin[t + 1] - begin[t]
+    ends = np.cumsum(size)
+    at = np.arange(ends[-1]) + np.repeat(begin[t] - ends + size, size)
+    key, value = np.repeat(passage, size) * len(given) + items[at], impact[at]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    passage, item = np.divmod(key[first], len(given))
+    return np.unique(passage[np.add.reduceat(value[order], first) + given[item] >= least - 1e-9])
+
+
+_memo: dict[tuple, list] = {}
+
+
+def _passage(h: np.ndarray, term: np.ndarray, m, least: float, least_overlap: float) -> list[tuple[int, tuple[float, float, float]]]:
+    """The leaked items of one passage. Copies of texts have the same passages, so that results are remembered."""
+    key = (getattr(m, "key", id(m)), least, least_overlap, h.tobytes())
+    if key in _memo:
+        return _memo[key]
+    out = []
+    terms = np.unique(term)
+    for item, score in block_max_wand(terms[terms >= 0], m, least):
+        q = overlap(np.asarray(m["q"][m["q_at"][item] : m["q_at"][item + 1]]), h)
+        a = overlap(np.asarray(m["a"][m["a_at"][item] : m["a_at"][item + 1]]), h)
+        if q >= least_overlap and a >= least_overlap:
+            out.append((item, (score, q, a)))
+    if len(_memo) > 20_000:
+        _memo.clear()
+    _memo[key] = out
+    return out
+
+
 def find_leaks(texts: list[str | None], m, least: float = LEAST_SCORE, least_overlap: float = LEAST_OVERLAP) -> list[tuple[int, int, float, float, float]]:
     """(text, item, score, question's overlap, answer's overlap) of each text's leaked items; the best passage counts."""
     if not len(m["ids"]):
@@ -168,27 +214,17 @@ def find_leaks(texts: list[str | None], m, least: float = LEAST_SCORE, least_ove
     where = np.minimum(np.searchsorted(vocab, h[maybe]), len(vocab) - 1)
     hit = vocab[where] == h[maybe]
     term[maybe[hit]] = where[hit]
-    bound = np.where(term >= 0, np.asarray(m["bound"])[term], 0.0)
     n = np.diff(at)
     pieces = -(-n // half)  # a passage is two pieces in a row, or a short text's only one
     doc = np.repeat(np.arange(len(n)), pieces)
     k = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     start = at[doc] + k * half
-    total = np.add.reduceat(bound, start)
-    paired = np.zeros(len(doc), bool)
-    paired[:-1] = doc[1:] == doc[:-1]
-    total[:-1] += np.where(paired[:-1], total[1:], 0.0)
-    reach = np.flatnonzero((total + float(m["frequent"][0]) >= least - 1e-9) & (paired | (k == 0)))
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for p in reach.tolist():
+    for p in reachable(term, start, doc, k, m, least).tolist():
         lo, hi = int(start[p]), int(min(start[p] + 2 * half, at[doc[p] + 1]))
-        terms = np.unique(term[lo:hi])
-        for item, score in block_max_wand(terms[terms >= 0], m, least):
-            q = overlap(np.asarray(m["q"][m["q_at"][item] : m["q_at"][item + 1]]), h[lo:hi])
-            a = overlap(np.asarray(m["a"][m["a_at"][item] : m["a_at"][item + 1]]), h[lo:hi])
-            if q >= least_overlap and a >= least_overlap:
-                key = (int(doc[p]), item)
-                best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, q, a))
+        for item, x in _passage(h[lo:hi], term[lo:hi], m, least, least_overlap):
+            key = (int(doc[p]), item)
+            best[key] = max(best.get(key, (0.0, 0.0, 0.0)), x)
     ids = m["ids"]
     return [(d, int(ids[i]), *x) for (d, i), x in sorted(best.items())]
 
