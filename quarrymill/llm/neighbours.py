@@ -6,9 +6,11 @@ a priority queue of nodes by the distance of their centroid yields leaves, neare
 is calibrated: for PROBES vectors the true neighbours are found by brute force over all vectors, and visits widen until
 these queries find RECALL of them; all queries then visit that many.
 
-A search has two turns. In the first, a query meets the vectors of its first leaf, which bounds its k-th distance; in
-the second it meets those of its other leaves, and only what is within the bound goes on to be merged. Each turn is one
-shuffle by leaf. What the driver and the workers hold of the tree is one centroid for each LEAF / 2 vectors or more.
+Leaves in a row of the tree make cells of about CELL vectors; a query goes once to each cell that has any leaf it visits,
+with the list of these. A search has two turns. In the first, a query meets its leaves of the cell that it is in, which
+bounds its k-th distance; in the second those of other cells, and only what is within the bound goes on to be merged.
+Each turn is one shuffle by cell. A cell that many queries come to is shared by several tasks. What the driver and the
+workers hold of the tree is one centroid for each LEAF / 2 vectors or more.
 
 Distances are cosine distances rounded to six places, so that copies tie; the lesser id wins a tie. Equal vectors are
 searched once; a leaf holds each vector with its k + 1 least ids, which is all that a list of k neighbours can take.
@@ -17,6 +19,7 @@ searched once; a leaf holds each vector with its k + 1 least ids, which is all t
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -27,7 +30,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-K, LEAF, BRANCH, PER_CHILD, PROBES, RECALL = 10, 256, 32, 32, 192, 0.96
+K, LEAF, BRANCH, PER_CHILD, PROBES, RECALL, CELL = 10, 256, 32, 32, 192, 0.96, 8192
+#: Queries that one task takes to a cell, about.
+ASKED = 50_000
 
 
 def rows_of(column: pa.Array, dim: int) -> np.ndarray:
@@ -169,12 +174,12 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.round(1 - (q @ x.T).astype(np.float64), 6) + 0.0
 
 
-def calibrate(points: DataFrame, tree: dict[str, np.ndarray], dim: int, k: int, probes: int, recall: float) -> int:
-    """Leaves to visit for the wanted recall; points: (h, vec, id, leaf). Truth is by brute force over all points."""
-    total = points.select("h").distinct().count()
+def calibrate(points: DataFrame, tree: dict[str, np.ndarray], cell: np.ndarray, total: int, dim: int, k: int, probes: int, recall: float) -> tuple[int, float]:
+    """Leaves to visit for the wanted recall, and how many cells they are in, in the mean; points: (h, vec, id, leaf) of
+    `total` vectors. Truth is by brute force over all points."""
     asked = points.filter(common.share(F.col("h"), probes, total)).select("h", "vec").distinct().orderBy("h").collect()
     if not asked:
-        return 1
+        return 1, 1.0
     q = np.frombuffer(b"".join(bytes(r.vec) for r in asked), np.float32).reshape(-1, dim)
     own = np.array([r.h for r in asked])
     sent = common.Model(points.sparkSession, "probes", {"q": q, "own": own})
@@ -200,52 +205,98 @@ def calibrate(points: DataFrame, tree: dict[str, np.ndarray], dim: int, k: int,
     missing = [{} for _ in asked]
     for r in truth:
         missing[r.probe][r.leaf] = missing[r.probe].get(r.leaf, 0) + 1
-    found, visits, walks = 0, 0, [t.leaves(x) for x in q]
+    found, visits, walks, cells = 0, 0, [t.leaves(x) for x in q], [set() for _ in asked]
     while found < recall * len(truth) or not visits:
         visits += 1
         for i, walk in enumerate(walks):
-            found += missing[i].get(next(walk, -1), 0)
-    return visits
-
-
-def visit(vectors: DataFrame, model: common.Model, dim: int, start: int, stop: int) -> DataFrame:
-    """vectors: (h, vec, bound); a row for each leaf from the start-th to the one before the stop-th."""
+            if (leaf := next(walk, -1)) >= 0:
+                found += missing[i].get(leaf, 0)
+                cells[i].add(int(cell[leaf]))
+    return visits, float(np.mean([len(c) for c in cells]))
+
+
+def cells_of(tree: dict[str, np.ndarray], sizes: dict[int, int], most: int) -> np.ndarray:
+    """The cell of each leaf (-1 for other nodes): leaves in the tree's order, as many as make about `most` points."""
+    out, todo, held = np.full(len(tree["begin"]), -1, np.int64), [0], 0
+    total = 0
+    while todo:
+        node = todo.pop()
+        a, b = int(tree["begin"][node]), int(tree["end"][node])
+        if a < b:
+            todo += range(b - 1, a - 1, -1)
+            continue
+        if held and held + sizes.get(node, 0) > most:
+            total, held = total + 1, 0
+        out[node] = total
+        held += sizes.get(node, 0)
+    return out
+
+
+def route(vectors: DataFrame, model: common.Model, dim: int, visits: int, home: bool, shares: int) -> DataFrame:
+    """(cell, share, h, vec, bound, leaves) of vectors(h, vec, bound): for the cell that a query's first leaf is in, or for
+    every other one that it has to visit."""
 
     def walk(batches):
-        t = Tree(model)
+        t, cell = Tree(model), np.asarray(model["cell"])
         for batch in batches:
-            where = [t.first(x, stop)[start:] for x in rows_of(batch.column(1), dim)] if batch.num_rows else []
-            take = pa.array(np.repeat(np.arange(len(where)), [len(w) for w in where]))
-            yield pa.RecordBatch.from_arrays([pa.array([n for w in where for n in w], pa.int64()), *(batch.column(i).take(take) for i in range(3))], names=["leaf", "h", "vec", "bound"])
+            row, at, lists = [], [], []
+            for i, x in enumerate(rows_of(batch.column(1), dim) if batch.num_rows else []):
+                leaves = np.array(t.first(x, visits), np.int32)
+                where = cell[leaves]
+                for c in [where[0]] if home else [c for c in np.unique(where) if c != where[0]]:
+                    row.append(i)
+                    at.append(int(c))
+                    lists.append(leaves[where == c].tobytes())
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(batch.column(i).take(take) for i in range(3)), pa.array(lists, pa.binary())], names=["cell", "h", "vec", "bound", "leaves"])
 
-    return vectors.select("h", "vec", "bound").mapInArrow(walk, "leaf bigint, h bigint, vec binary, bound double")
+    sent = vectors.select("h", "vec", "bound").mapInArrow(walk, "cell bigint, h bigint, vec binary, bound bigint, leaves binary")
+    return sent.withColumn("share", F.pmod("h", F.lit(shares)))
 
 
-def meet(points: DataFrame, queries: DataFrame, dim: int, k: int, ids: str) -> DataFrame:
-    """(h, near): for each visit the up to k points of its leaf that are within the bound, nearest first."""
+FAR = np.iinfo(np.int64).max
+
+
+def meet(points: DataFrame, queries: DataFrame, dim: int, k: int, ids: str, shares: int) -> DataFrame:
+    """(h, near): for each query and cell the up to k points of the leaves visited that are within the bound, nearest
+    first. A point and its distance are one number here, so that numpy's partition also settles ties by id."""
     near = pa.struct([("d", pa.float64()), ("id", pa.int64() if ids != "string" else pa.string())])
 
     def solve(data: pa.Table, asked: pa.Table) -> pa.Table:
-        hs, lists = asked.column("h").to_pylist(), []
-        if data.num_rows and asked.num_rows:
-            x = rows_of(data.column("vec").combine_chunks(), dim)
-            name = np.array(data.column("id").to_pylist())
-            bound = asked.column("bound").to_numpy()
-            step = max(1, (1 << 22) // len(x))
-            for a in range(0, asked.num_rows, step):
-                d = distances(rows_of(asked.column("vec").slice(a, step).combine_chunks(), dim), x)
-                for i in range(len(d)):
-                    inside = np.flatnonzero(d[i] <= bound[a + i])
-                    at = inside[best(d[i][inside], name[inside], k)]
-                    lists.append([{"d": u, "id": v} for u, v in zip(d[i][at].tolist(), name[at].tolist())])
-        else:
-            lists = [[] for _ in hs]
-        return pa.table({"h": pa.array(hs, pa.int64()), "near": pa.array(lists, pa.list_(near))})
-
-    return points.groupBy("leaf").cogroup(queries.groupBy("leaf")).applyInArrow(solve, f"h bigint, near array<struct<d: double, id: {ids}>>")
-
-
-def nearest_neighbours(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, leaf: int = LEAF, branch: int = BRANCH, per_child: int = PER_CHILD, probes: int = PROBES, recall: float = RECALL) -> DataFrame:
+        n = asked.num_rows
+        top = np.full((n, k), FAR)
+        name = np.array(data.column("id").to_pylist())
+        if data.num_rows and n:
+            x, leaf = rows_of(data.column("vec").combine_chunks(), dim), data.column("leaf").to_numpy()
+            rank = np.empty(len(name), np.int64)
+            rank[np.argsort(name, kind="stable")] = np.arange(len(name))
+            lists = asked.column("leaves").to_pylist()
+            visited = np.frombuffer(b"".join(lists), np.int32)
+            who = np.repeat(np.arange(n), [len(v) // 4 for v in lists])
+            order = np.argsort(visited, kind="stable")
+            visited, who = visited[order], who[order]
+            q = rows_of(asked.column("vec").combine_chunks(), dim)
+            for one in np.unique(leaf):
+                own = np.flatnonzero(leaf == one)
+                a, b = np.searchsorted(visited, [one, one + 1])
+                for lo in range(a, b, 4096):
+                    w = who[lo : min(b, lo + 4096)]
+                    far = np.rint((1 - (q[w] @ x[own].T).astype(np.float64)) * 1e6).astype(np.int64) << 32 | rank[own]
+                    both = np.concatenate([top[w], far], 1)
+                    top[w] = np.partition(both, k - 1, 1)[:, :k]
+            top.sort(1)
+        good = (top < FAR) & (top >> 32 <= asked.column("bound").to_numpy()[:, None])
+        flat = top[good]
+        back = np.argsort(name, kind="stable")
+        values = pa.StructArray.from_arrays([pa.array((flat >> 32) / 1e6), pa.array(name[back[flat & 0xFFFFFFFF]] if len(flat) else [], near.field("id").type)], fields=list(near))
+        ends = np.concatenate([[0], np.cumsum(good.sum(1))]).astype(np.int32)
+        return pa.table({"h": asked.column("h"), "near": pa.ListArray.from_arrays(pa.array(ends), values)})
+
+    held = points.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    return held.groupBy("cell", "share").cogroup(queries.groupBy("cell", "share")).applyInArrow(solve, f"h bigint, near array<struct<d: double, id: {ids}>>")
+
+
+def nearest_neighbours(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, leaf: int = LEAF, branch: int = BRANCH, per_child: int = PER_CHILD, probes: int = PROBES, recall: float = RECALL, cell: int = CELL) -> DataFrame:
     """(id_col, rank INT, neighbour, distance DOUBLE): for every row its k nearest others by cosine distance.
 
     A row whose id or vector is null, whose vector holds a null, NaN or infinity, has no direction (all zeros) or not
@@ -271,13 +322,19 @@ def nearest_neighbours(rows: DataFrame, id_col: str = "vec_id", vector_col: str
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(at)], names=["h", "vec", "id", "leaf"])
 
     points = held.select("h", "vec", "id").mapInArrow(place, f"h bigint, vec binary, id {ids}, leaf bigint").checkpoint()
-    visits = calibrate(points, tree, dim, k, probes, recall)
-    ask = vectors.withColumn("bound", F.lit(float("inf")))
-    one = meet(points, visit(ask, model, dim, 0, 1), dim, k + 1, ids).checkpoint()
+    sizes = {r.leaf: r["count"] for r in points.groupBy("leaf").count().collect()}
+    tree["cell"] = cells_of(tree, sizes, cell)
+    total = vectors.count()
+    visits, cells = calibrate(points, tree, tree["cell"], total, dim, k, probes, recall)
+    model = common.Model(spark, "cells", tree)
+    shares = max(1, math.ceil(cells * total / (tree["cell"].max() + 1) / ASKED))
+    found = points.join(spark.createDataFrame([(n, int(tree["cell"][n])) for n in sizes], "leaf bigint, cell bigint"), "leaf")
+    none = F.lit((1 << 31) - 1).cast("long")
+    one = meet(found, route(vectors.withColumn("bound", none), model, dim, visits, True, shares), dim, k + 1, ids, shares).checkpoint()
     lists = one
-    if visits > 1:
-        bound = one.select("h", F.when(F.size("near") > k, F.element_at("near", k + 1)["d"]).otherwise(F.lit(float("inf"))).alias("bound"))
-        lists = one.union(meet(points, visit(vectors.join(bound, "h"), model, dim, 1, visits), dim, k + 1, ids).filter(F.size("near") > 0))
+    if tree["cell"].max() > 0 and visits > 1:
+        bound = one.select("h", F.when(F.size("near") > k, F.round(F.element_at("near", k + 1)["d"] * 1e6).cast("long")).otherwise(none).alias("bound"))
+        lists = one.union(meet(found, route(vectors.join(bound, "h"), model, dim, visits, False, shares), dim, k + 1, ids, shares).filter(F.size("near") > 0))
     merged = lists.groupBy("h").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near")).select("h", F.slice("near", 1, k + 1).alias("near"))
     own = every.select("id", "h").distinct().join(merged, "h").select("id", F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k).alias("near"))
     flat = own.select(F.col("id").alias(id_col), F.posexplode("near").alias("rank", "x"))
