@@ -24,7 +24,7 @@ from . import common
 #: the rest calibrates.
 SAMPLE, TRAIN_SYMBOLS, PIECE, STRETCH = 96, 32_768, 1024, 256
 #: A document is rejected beyond so many times the bits that held-out text of its language takes in the median ...
-REJECT = 1.35
+REJECT = 1.9
 #: ... if it has at least so many symbols; shorter ones are only rejected without any letter.
 LEAST_SYMBOLS = 200
 
