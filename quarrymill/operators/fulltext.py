@@ -36,10 +36,15 @@ def count_phrase(toks: Column, phrase: list[str]) -> Column:
     """How often the tokens stand in a row."""
     if len(phrase) == 1:
         return F.size(F.filter(toks, lambda t: t == phrase[0]))
-    places = F.sequence(F.lit(1), F.size(toks) - (len(phrase) - 1))
-    want = F.array(*map(F.lit, phrase))
-    # Only chunks that have all the tokens are looked at closely.
-    return F.when(has_all(toks, phrase) & (F.size(toks) >= len(phrase)), F.size(F.filter(places, lambda i: F.slice(toks, i, len(phrase)) == want))).otherwise(F.lit(0))
+    # The lambdas see elements alone: an expression for the tokens that stood in one would be evaluated for each element.
+    hits = F.transform(toks, lambda t: t == phrase[0])
+    for j, word in enumerate(phrase[1:], 2):
+        hits = F.zip_with(hits, F.slice(toks, j, F.size(toks)), _and(word))
+    return F.size(F.filter(hits, lambda h: h))
+
+
+def _and(word: str):
+    return lambda h, t: h & (t == word)
 
 
 def has_all(toks: Column, words: list[str]) -> Column:
