@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -342,6 +343,49 @@ def test_near_duplicates_by_brute_force(spark):
     assert all(family[i] == family[g] for i, g in group.items()) and all((i == g) == k for i, g, k in got)
 
 
+def test_large_regions_by_all_pairs():
+    rng = np.random.default_rng(10)
+    least = near_dedup.needed(near_dedup.THRESHOLD)
+    keys = rng.integers(0, 256, (3000, near_dedup.VALUES), np.uint8)
+    for i in range(1, 3000, 2):  # each has one near copy with just enough equal bytes, elsewhere in the order
+        same = rng.permutation(near_dedup.VALUES)[: least + i // 2 % 6 - 1]
+        keys[i, same] = keys[i - 1, same]
+    keys[:, :3] = 7  # all in one region
+    keys = keys[np.lexsort(keys.T[::-1])]
+    want = {(i, j) for i in range(3000) for j in (np.flatnonzero((keys[i + 1 :] == keys[i]).sum(1) >= least) + i + 1).tolist()}
+    got = near_dedup.region_edges(keys, least)
+    assert len(want) > 1200 and {(min(e), max(e)) for e in got} == want
+    keys[:, 50:] = 9  # and all alike: a tree
+    assert len(near_dedup.region_edges(keys, least)) == 2999
+
+
+def test_regions_over_batches():
+    rng = np.random.default_rng(12)
+    region, sig = np.sort(rng.integers(0, 40, 400)), rng.integers(0, 2, (400, near_dedup.VALUES), np.uint8)
+    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(region[a:b]), pa.array([x.tobytes() for x in sig[a:b]]), pa.array(np.arange(a, b))], names=["region", "sig", "rid"])
+    pairs = lambda batches: sorted(p for x in near_dedup.edges_of_regions(iter(batches), 70) for p in zip(*(c.to_pylist() for c in x.columns)))
+    whole = pairs([batch(0, 400)])
+    assert len(whole) > 50 and all(pairs([batch(i, min(i + n, 400)) for i in range(0, 400, n)]) == whole for n in (1, 3, 7, 150))
+
+
+def test_near_duplicate_recall_at_the_threshold(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(20_000)]
+    texts = []
+    for _ in range(1500):
+        t = rng.choices(words, k=150)
+        texts.append(" ".join(t))
+        for i in rng.sample(range(150), rng.randint(15, 20)):
+            t[i] = rng.choice(words)
+        texts.append(" ".join(t))
+    sig = near_dedup.signatures(texts)[0]
+    same = (sig[::2] == sig[1::2]).sum(1)
+    near = np.flatnonzero((same >= near_dedup.needed(near_dedup.THRESHOLD)) & (same <= 0.7 * near_dedup.VALUES)) * 2
+    group = {i: g for i, g, _ in rows(near_dedup.near_duplicates(docs(spark, list(enumerate(texts)))))}
+    found = sum(group.get(i, -1) == group.get(i + 1, -2) for i in near.tolist())
+    assert len(near) > 400 and found / len(near) >= 0.99, (found, len(near))
+
+
 def test_near_duplicate_edges(spark):
     d = docs(spark, [*EDGES, (11, "One TWO three four"), (10, "one two, three four!"), (12, "one"), (13, "One."), (14, LONG + "x")])
     got = rows(near_dedup.near_duplicates(d))
