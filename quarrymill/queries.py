@@ -331,7 +331,7 @@ r(node, level) AS (SELECT 1::BIGINT, 0 UNION SELECT e.b, r.level + 1 FROM r JOIN
 SELECT node, min(level)::INT AS level FROM r GROUP BY node""")
 def frontier_bfs(spark, sf_dir):
     edges = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("from_node"), (F.col("o_custkey") * 7 % 1000 + F.col("o_orderkey") % 3).alias("to_node")).distinct()
-    return graph.levels(edges, spark.createDataFrame([(1,)], "node bigint"), 12)
+    return graph.levels(edges, spark.createDataFrame([(1,)], "node bigint"), None)
 
 
 @query()

@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from quarrymill import queries
 from quarrymill.functions import text, urls
 from quarrymill.functions.text import Query
 from quarrymill.operators import fulltext, graph, jobs, knn, maintain
@@ -100,6 +101,15 @@ def test_maintenance(spark):
     assert sorted(rows(graph.levels(edges, spark.createDataFrame([("a",)], "node string")))) == [("a", 0), ("b", 1), ("c", 2)]
 
 
+def test_levels_of_any_depth(spark, tmp_path):
+    chain = [7**i % 1000 for i in range(20)]
+    spark.createDataFrame([(3, k) for k in chain], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    assert sorted(rows(queries.QUERIES["frontier_bfs"](spark, str(tmp_path)))) == sorted((k, i) for i, k in enumerate(chain))
+    line = spark.createDataFrame([(i, i + 1) for i in range(40)], "from_node bigint, to_node bigint")
+    assert sorted(rows(graph.levels(line, spark.createDataFrame([(0,)], "node bigint"), None))) == [(i, i) for i in range(41)]
+    assert graph.levels(line, spark.createDataFrame([(0,)], "node bigint"), 3).count() == 4
+
+
 def test_store(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/index")
     with pytest.raises(search.IndexNotBuilt):
