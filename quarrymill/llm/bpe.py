@@ -32,8 +32,9 @@ RUN = re.compile(f"[{_SPACE}]{{2}}")
 UNIT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: A word is frequent if it makes one in so many of all words; so there are at most so many of them.
 LEAST_SHARE = 1 << 20
-#: Words a worker remembers, and distinct words it counts before passing them on. Only speed depends on them.
-MEMO = 250_000
+#: Bytes of units, and of words, that a worker remembers; bytes of distinct units that it counts before passing them on.
+#: Only speed depends on them.
+MEMO, COUNTED = 32 << 20, 24 << 20
 INF = np.iinfo(np.int32).max
 LONG = 256
 
@@ -266,9 +267,6 @@ def look_up(raw: list[bytes], m) -> list[bytes | None]:
     return out
 
 
-_memo: dict[str, dict[str, bytes]] = {}
-
-
 def units(text: str) -> list[str]:
     """Parts of a text whose words are the text's words: a space belongs to what follows it, and white space in a row
     to itself. The pattern has to split each distinct part only once. (Parts of a text without white space in a row
@@ -288,35 +286,26 @@ def encode_words(new: list[str], m) -> list[bytes]:
     return ids
 
 
-def _remembered(memo: dict, wanted: set, make) -> list[str]:
-    """Puts what is missing into memo; returns what has to go again, as memo is full of what came first (and so is
-    mostly frequent)."""
-    new = list(wanted.difference(memo))
-    if new:
-        memo.update(zip(new, make(new)))
-    return new[max(0, len(new) - len(memo) + MEMO) :] if len(memo) > MEMO else []
-
-
-def _forget(memo: dict, some: list[str]) -> None:
-    for x in some:
-        del memo[x]
+def _bytes(word: str, ids: bytes) -> int:
+    """What a remembered word takes, with its share of the table: two to four bytes a character if not ASCII."""
+    return 240 + len(word) * (1 if word.isascii() else 4) + len(ids)
 
 
 def encode_texts(texts: list[str], m, key: str = "") -> list[bytes]:
     """Ids of each text, as int32 bytes."""
-    of_unit, of_word = _memo.setdefault(key, {}), _memo.setdefault(key + "/words", {})
+    of_unit, of_word = common.memo(key, "units", MEMO), common.memo(key, "words", MEMO)
 
     def make(new: list[str]) -> list[bytes]:
         split = [PATTERN.findall(u) for u in new]
-        late = _remembered(of_word, set(chain.from_iterable(split)), lambda words: encode_words(words, m))
+        late = of_word.learn(set(chain.from_iterable(split)), lambda words: encode_words(words, m), _bytes)
         out = [b"".join(map(of_word.__getitem__, x)) for x in split]
-        _forget(of_word, late)
+        of_word.forget(late)
         return out
 
     split = [units(t) for t in texts]
-    late = _remembered(of_unit, set(chain.from_iterable(split)), make)
+    late = of_unit.learn(set(chain.from_iterable(split)), make, _bytes)
     out = [b"".join(map(of_unit.__getitem__, x)) for x in split]
-    _forget(of_unit, late)
+    of_unit.forget(late)
     return out
 
 
@@ -342,14 +331,19 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             counter.clear()
             return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
 
+        held = 0
         for batch in batches:
             for text in batch.column(0):
-                counter.update(units(text.as_py() or ""))
-                if len(counter) > MEMO:
+                before, found = len(counter), units(text.as_py() or "")
+                counter.update(found)
+                if (new := len(counter) - before):  # of a text with new units all its length counts: an upper bound
+                    held += 160 * new + sum(map(len, found))
+                if held > COUNTED:
                     yield flush()
+                    held = 0
         yield flush()
 
-    return docs.select(text_col).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return common.pick(docs, text=text_col).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def lexicon(docs: DataFrame, text_col: str, m, least_share: int = LEAST_SHARE) -> dict[bytes, bytes]:
@@ -366,17 +360,17 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     lossless: the ids were decoded again and gave the text's bytes. A null text has nulls; an empty one has 0,
     an empty array and true. Null and repeated ids are passed on with their own rows. Texts are encoded whole,
-    whatever their length. Other columns are not read. An empty table gives none.
+    whatever their length. Other columns are not read, whatever their names; where id_col is called as one of the
+    results is, that one gets an underscore. An empty table gives none.
     """
     spark = docs.sparkSession
     tables = merge_tables(read_ranks(vocab))
     model = common.Model(spark, "bpe", tables | transducer(lexicon(docs, text_col, tables, least_share)))
-    ids = docs.schema[id_col].dataType.simpleString()
 
     def run(batches, model):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in common.chunks(texts, 2 * common.CHUNK):
+            for a, b in common.chunks(texts):
                 part = texts[a:b]
                 raw = encode_texts([t or "" for t in part], model, model.key)
                 flat = np.frombuffer(b"".join(raw), np.int32)
@@ -387,10 +381,11 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 same = [same or decode_ids(flat[at[i] : at[i + 1]], model) == (t or "").encode("utf-8", "replace") for i, t in enumerate(part)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(size, mask=null), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat), mask=pa.array(null)), pa.array(same, mask=null)],
-                    names=[id_col, "n_tokens", "tokens", "lossless"],
+                    names=["id", "n", "tokens", "lossless"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(partial(run, model=model), f"`{id_col}` {ids}, n_tokens bigint, tokens array<int>, lossless boolean")
+    done = common.pick(docs, id=id_col, text=text_col).mapInArrow(partial(run, model=model), f"id {common.kind(docs, id_col)}, n bigint, tokens array<int>, lossless boolean")
+    return common.named(done, id_col, "n_tokens", "tokens", "lossless")
 
 
 def bpe_decode(encoded: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens", vocab: str = VOCAB) -> DataFrame:
@@ -398,14 +393,14 @@ def bpe_decode(encoded: DataFrame, id_col: str = "doc_id", tokens_col: str = "to
     UTF-8, as after cutting an array, become replacement characters; an id outside the vocabulary is an error."""
     spark = encoded.sparkSession
     model = common.Model(spark, "bpe-decoder", {k: v for k, v in merge_tables(read_ranks(vocab)).items() if k.startswith("blob")})
-    ids = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches, model):
         for batch in batches:
             texts = [None if x is None else decode_ids(np.array(x, np.int64), model).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
-    return encoded.select(id_col, tokens_col).mapInArrow(partial(run, model=model), f"`{id_col}` {ids}, text string")
+    done = common.pick(encoded, id=id_col, tokens=tokens_col).mapInArrow(partial(run, model=model), f"id {common.kind(encoded, id_col)}, text string")
+    return common.named(done, id_col, "text")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,7 +22,8 @@ CHUNK = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, that all executors share; one of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir, that all executors share; one of our own only where it is unset, as in tests.
+    It is given with its file system: a path without a scheme belongs to the default one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or ""
     jsc = spark.sparkContext._jsc.sc()
     if not folder:
@@ -26,7 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
         folder = now.get() if now.isDefined() else "file://" + tempfile.mkdtemp(prefix="quarrymill-")
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of the shared one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _loaded: dict[str, dict[str, np.ndarray]] = {}
@@ -37,7 +49,8 @@ class Model:
 
     In a shared folder of the file system they are .npy files that workers memory-map, so all workers of
     a machine share the pages; in any other kind of shared folder they travel as one broadcast. Models
-    have a size fixed by parameters, not by the input.
+    have a size fixed by parameters, not by the input. Plans that use them run later, so the files stay until the
+    driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str, arrays: dict[str, np.ndarray]):
@@ -49,6 +62,7 @@ class Model:
             os.makedirs(self.folder)
             for k, v in arrays.items():
                 np.save(os.path.join(self.folder, f"{k}.npy"), v)
+            atexit.register(shutil.rmtree, self.folder, ignore_errors=True)
         else:
             self.sent = spark.sparkContext.broadcast(arrays)
 
@@ -62,6 +76,88 @@ class Model:
         return _loaded[self.key][name]
 
 
+class Memo(dict):
+    """What a worker remembers of one kind: results by text, up to `room` bytes in all. When it is full it keeps what came
+    first, which is mostly what is frequent. Only speed depends on it."""
+
+    def __init__(self, room: int):
+        super().__init__()
+        self.room, self.held = room, 0
+
+    def learn(self, wanted: set, make, size) -> list:
+        """Holds the results of all of `wanted`: make(list) gives those of what is new, size(key, value) their bytes. The
+        keys that are returned are beyond the room and go again by forget()."""
+        new = list(wanted.difference(self))
+        late = []
+        for k, v in zip(new, make(new) if new else ()):
+            self[k] = v
+            need = size(k, v)
+            if self.held + need > self.room:
+                late.append(k)
+            else:
+                self.held += need
+        return late
+
+    def forget(self, late: list) -> None:
+        for k in late:
+            del self[k]
+
+
+_memos: dict[str, Memo] = {}
+_memo_key = ""
+
+
+def memo(key: str, kind: str, room: int) -> Memo:
+    """The memo of one model. A worker has those of one model at a time: another key drops all that was remembered, so
+    that what a worker holds doesn't grow with the queries that it has served."""
+    global _memo_key
+    if key != _memo_key:
+        _memos.clear()
+        _memo_key = key
+        with contextlib.suppress(OSError, AttributeError):  # gives freed memory back, where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+    if kind not in _memos:
+        _memos[kind] = Memo(room)
+    return _memos[kind]
+
+
+def place(df: DataFrame, name: str) -> int:
+    """Where a column stands. Of names that differ by case alone the exact one is meant."""
+    if name in df.columns:
+        return df.columns.index(name)
+    like = [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if not like:
+        raise ValueError(f"no column {name}; there are {', '.join(df.columns)}")
+    return like[0]
+
+
+def pick(df: DataFrame, **columns: str) -> DataFrame:
+    """df's columns under new names alone, whatever other columns are called."""
+    flat = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return flat.select(*(F.col(f"c{place(df, c)}").alias(new) for new, c in columns.items()))
+
+
+def kind(df: DataFrame, name: str) -> str:
+    """A column's type as DDL."""
+    return df.schema[place(df, name)].dataType.simpleString()
+
+
+def free(name: str, taken: list[str]) -> str:
+    """The name, with underscores behind it while it is taken (without case)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def named(df: DataFrame, id_col: str, *names: str) -> DataFrame:
+    """df with its first column called id_col and the others `names`; one that id_col has already gets an underscore."""
+    out = [id_col]
+    for n in names:
+        out.append(free(n, out))
+    return df.toDF(*out)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,8 +26,8 @@ from . import common
 
 UNIT = re.compile(r" *[^ \n]+| +|\n")
 UNK_PENALTY = 10.0
-#: Units a worker remembers; when full it keeps what came first. Only speed depends on it.
-MEMO = 300_000
+#: Bytes of units that a worker remembers. Only speed depends on it.
+MEMO = 48 << 20
 
 
 def vocabulary(path: str = f"{common.TOKENIZERS}/piece_bpe_32k.model") -> list[tuple[str, float]]:
@@ -131,21 +131,18 @@ def count_units(units: list[str], m) -> np.ndarray:
     return out
 
 
-_memo: dict[str, dict[str, int]] = {}
+def _bytes(unit: str, _: int) -> int:
+    return 200 + len(unit) * (1 if unit.isascii() else 4)
 
 
 def count_texts(texts: list[str | None], model, key: str = "") -> list[int | None]:
-    memo = _memo.setdefault(key, {})
+    memo = common.memo(key, "counts", MEMO)
     out: list[int | None] = []
     for a, b in common.chunks(texts):
         split = [None if t is None else UNIT.findall(" " + t.replace("▁", " ")) if t else [] for t in texts[a:b]]
-        new = list({u for x in split if x for u in x}.difference(memo))
-        if new:
-            memo.update(zip(new, count_units(new, model).tolist()))
+        late = memo.learn({u for x in split if x for u in x}, lambda new: count_units(new, model).tolist(), _bytes)
         out += [None if x is None else sum(map(memo.__getitem__, x)) for x in split]
-        if len(memo) > MEMO:
-            for u in new[max(0, len(new) - len(memo) + MEMO) :]:
-                del memo[u]
+        memo.forget(late)
     return out
 
 
@@ -153,18 +150,19 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id_col, n_tokens BIGINT), one row for each row of docs, in one pass without a shuffle.
 
     A null text has null tokens, an empty one 0; texts of any length are counted whole. A null or repeated
-    id is passed on with its own row. Columns other than the two are not read. An empty table gives none.
+    id is passed on with its own row. Columns other than the two are not read, whatever their names; an id column
+    called n_tokens makes the counts n_tokens_. An empty table gives none.
     """
     spark = docs.sparkSession
     model = common.Model(spark, "unigram", automaton(vocabulary(vocab)))
-    ids = docs.schema[id_col].dataType.simpleString()
 
     def run(batches, model):
         for batch in batches:
             counts = count_texts(batch.column(1).to_pylist(), model, model.key)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=[id_col, "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["id", "n"])
 
-    return docs.select(id_col, text_col).mapInArrow(partial(run, model=model), f"`{id_col}` {ids}, n_tokens bigint")
+    done = common.pick(docs, id=id_col, text=text_col).mapInArrow(partial(run, model=model), f"id {common.kind(docs, id_col)}, n bigint")
+    return common.named(done, id_col, "n_tokens")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
