@@ -1,19 +1,17 @@
-"""Operator 2: approximate nearest neighbours of every row, by a hierarchical k-means tree.
+"""Operator 2: approximate nearest neighbours of a set of query vectors, by a hierarchical k-means tree over all vectors.
 
-The tree grows level by level until its leaves hold about LEAF vectors: each level clusters, in one task per node, a
-sample of that node's vectors whose size depends on the node's children alone. A query walks the tree best bin first:
-a priority queue of nodes by the distance of their centroid yields leaves, nearest first. How many leaves are visited
-is calibrated: for PROBES vectors the true neighbours are found by brute force over all vectors, and visits widen until
-these queries find RECALL of them; all queries then visit that many.
+The tree grows level by level until its leaves hold about LEAF vectors, or more where there would be over MOST_LEAVES of
+them otherwise: so what the driver and the workers hold of the tree is bounded. Each level clusters, in one task per node,
+a sample of that node's vectors whose size depends on the node's children alone; every vector is then put into its leaf. A
+query walks the tree best bin first: a priority queue of nodes by the distance of their centroid yields leaves, nearest
+first. How many leaves are visited is calibrated: for PROBES of the queries the true neighbours are found by brute force
+over all vectors, and visits widen until these queries find RECALL of them; all queries then visit that many.
 
 Leaves in a row of the tree make cells of about CELL vectors; a query goes once to each cell that has any leaf it visits,
-with the list of these. A search has two turns. In the first, a query meets its leaves of the cell that it is in, which
-bounds its k-th distance; in the second those of other cells, and only what is within the bound goes on to be merged.
-Each turn is one shuffle by cell. A cell that many queries come to is shared by several tasks. What the driver and the
-workers hold of the tree is one centroid for each LEAF / 2 vectors or more.
+with the list of these, in one shuffle by cell. A cell that many queries come to is shared by several tasks.
 
 Distances are cosine distances rounded to six places, so that copies tie; the lesser id wins a tie. Equal vectors are
-searched once; a leaf holds each vector with its k + 1 least ids, which is all that a list of k neighbours can take.
+held once; a leaf holds each vector with its k + 1 least ids, which is all that a list of k neighbours can take.
 """
 
 from __future__ import annotations
@@ -33,6 +31,8 @@ from . import common
 K, LEAF, BRANCH, PER_CHILD, PROBES, RECALL, CELL = 10, 256, 32, 32, 192, 0.96, 8192
 #: Queries that one task takes to a cell, about.
 ASKED = 50_000
+#: Leaves of the largest tree, about.
+MOST_LEAVES = 1 << 16
 
 
 def rows_of(column: pa.Array, dim: int) -> np.ndarray:
@@ -94,11 +94,15 @@ class Tree:
         return [leaf for leaf, _ in zip(self.leaves(q), range(visits))]
 
 
-def prepare(rows: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
+def length(rows: DataFrame, vector_col: str) -> int:
+    """The vectors' most frequent length, of equals the least."""
+    v = common.pick(rows, v=vector_col).filter("v IS NOT NULL")
+    size = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return size[0] if size and size[0] > 0 else 1
+
+
+def prepare(rows: DataFrame, id_col: str, vector_col: str, dim: int, ids: str) -> DataFrame:
     """(id, h, vec): unit vectors as bytes, h their hash. Rows without an id or a direction are left out."""
-    size = rows.filter(F.col(vector_col).isNotNull()).groupBy(F.size(vector_col).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dim = size[0] if size and size[0] > 0 else 1
-    ids = rows.schema[id_col].dataType.simpleString()
 
     def unit(batches):
         for batch in batches:
@@ -109,13 +113,13 @@ def prepare(rows: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, i
             vec = (x[good] / norm[good, None]).astype(np.float32) + np.float32(0)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), pa.array([r.tobytes() for r in vec], pa.binary())], names=["id", "vec"])
 
-    fit = rows.filter(F.col(id_col).isNotNull() & (F.size(vector_col) == dim) & ~F.exists(vector_col, lambda v: v.isNull()))
-    return fit.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>")).mapInArrow(unit, f"id {ids}, vec binary").select("id", F.xxhash64("vec").alias("h"), "vec"), dim
+    own = common.pick(rows, id=id_col, v=vector_col).select(F.col("id").cast(ids).alias("id"), "v")
+    fit = own.filter(F.col("id").isNotNull() & (F.size("v") == dim) & ~F.exists("v", lambda v: v.isNull()))
+    return fit.select("id", F.col("v").cast("array<double>")).mapInArrow(unit, f"id {ids}, vec binary").select("id", F.xxhash64("vec").alias("h"), "vec")
 
 
-def grow(vectors: DataFrame, dim: int, leaf: int, branch: int, per_child: int) -> dict[str, np.ndarray]:
-    """vectors: (h, vec), distinct and cut from their lineage."""
-    total = vectors.count()
+def grow(vectors: DataFrame, total: int, dim: int, leaf: int, branch: int, per_child: int) -> dict[str, np.ndarray]:
+    """vectors: (h, vec), `total` distinct ones, cut from their lineage."""
     centre, begin, end, size = [np.zeros((1, dim), np.float32)], [0], [0], {0: total}
     spark = vectors.sparkSession
     while size := {n: s for n, s in size.items() if s > leaf}:
@@ -174,10 +178,10 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.round(1 - (q @ x.T).astype(np.float64), 6) + 0.0
 
 
-def calibrate(points: DataFrame, tree: dict[str, np.ndarray], cell: np.ndarray, total: int, dim: int, k: int, probes: int, recall: float) -> tuple[int, float]:
-    """Leaves to visit for the wanted recall, and how many cells they are in, in the mean; points: (h, vec, id, leaf) of
-    `total` vectors. Truth is by brute force over all points."""
-    asked = points.filter(common.share(F.col("h"), probes, total)).select("h", "vec").distinct().orderBy("h").collect()
+def calibrate(points: DataFrame, queries: DataFrame, tree: dict[str, np.ndarray], cell: np.ndarray, total: int, dim: int, k: int, probes: int, recall: float) -> tuple[int, float]:
+    """Leaves to visit for the wanted recall, and how many cells they are in, in the mean; points: (h, vec, id, leaf);
+    queries: (h, vec), `total` distinct ones. Truth is by brute force over all points."""
+    asked = queries.filter(common.share(F.col("h"), probes, total)).orderBy("h").collect()
     if not asked:
         return 1, 1.0
     q = np.frombuffer(b"".join(bytes(r.vec) for r in asked), np.float32).reshape(-1, dim)
@@ -232,9 +236,8 @@ def cells_of(tree: dict[str, np.ndarray], sizes: dict[int, int], most: int) -> n
     return out
 
 
-def route(vectors: DataFrame, model: common.Model, dim: int, visits: int, home: bool, shares: int) -> DataFrame:
-    """(cell, share, h, vec, bound, leaves) of vectors(h, vec, bound): for the cell that a query's first leaf is in, or for
-    every other one that it has to visit."""
+def route(queries: DataFrame, model: common.Model, dim: int, visits: int, shares: int) -> DataFrame:
+    """(cell, share, h, vec, leaves): every cell that a query of queries(h, vec) has to visit leaves of, and which."""
 
     def walk(batches):
         t, cell = Tree(model), np.asarray(model["cell"])
@@ -243,14 +246,14 @@ def route(vectors: DataFrame, model: common.Model, dim: int, visits: int, home:
             for i, x in enumerate(rows_of(batch.column(1), dim) if batch.num_rows else []):
                 leaves = np.array(t.first(x, visits), np.int32)
                 where = cell[leaves]
-                for c in [where[0]] if home else [c for c in np.unique(where) if c != where[0]]:
+                for c in np.unique(where):
                     row.append(i)
                     at.append(int(c))
                     lists.append(leaves[where == c].tobytes())
             take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(batch.column(i).take(take) for i in range(3)), pa.array(lists, pa.binary())], names=["cell", "h", "vec", "bound", "leaves"])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(lists, pa.binary())], names=["cell", "h", "vec", "leaves"])
 
-    sent = vectors.select("h", "vec", "bound").mapInArrow(walk, "cell bigint, h bigint, vec binary, bound bigint, leaves binary")
+    sent = queries.mapInArrow(walk, "cell bigint, h bigint, vec binary, leaves binary")
     return sent.withColumn("share", F.pmod("h", F.lit(shares)))
 
 
@@ -258,8 +261,8 @@ FAR = np.iinfo(np.int64).max
 
 
 def meet(points: DataFrame, queries: DataFrame, dim: int, k: int, ids: str, shares: int) -> DataFrame:
-    """(h, near): for each query and cell the up to k points of the leaves visited that are within the bound, nearest
-    first. A point and its distance are one number here, so that numpy's partition also settles ties by id."""
+    """(h, near): for each query and cell the up to k nearest points of the leaves visited, nearest first. A point and its
+    distance are one number here, so that numpy's partition also settles ties by id."""
     near = pa.struct([("d", pa.float64()), ("id", pa.int64() if ids != "string" else pa.string())])
 
     def solve(data: pa.Table, asked: pa.Table) -> pa.Table:
@@ -285,7 +288,7 @@ def meet(points: DataFrame, queries: DataFrame, dim: int, k: int, ids: str, shar
                     both = np.concatenate([top[w], far], 1)
                     top[w] = np.partition(both, k - 1, 1)[:, :k]
             top.sort(1)
-        good = (top < FAR) & (top >> 32 <= asked.column("bound").to_numpy()[:, None])
+        good = top < FAR
         flat = top[good]
         back = np.argsort(name, kind="stable")
         values = pa.StructArray.from_arrays([pa.array((flat >> 32) / 1e6), pa.array(name[back[flat & 0xFFFFFFFF]] if len(flat) else [], near.field("id").type)], fields=list(near))
@@ -296,23 +299,26 @@ def meet(points: DataFrame, queries: DataFrame, dim: int, k: int, ids: str, shar
     return held.groupBy("cell", "share").cogroup(queries.groupBy("cell", "share")).applyInArrow(solve, f"h bigint, near array<struct<d: double, id: {ids}>>")
 
 
-def nearest_neighbours(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, leaf: int = LEAF, branch: int = BRANCH, per_child: int = PER_CHILD, probes: int = PROBES, recall: float = RECALL, cell: int = CELL) -> DataFrame:
-    """(id_col, rank INT, neighbour, distance DOUBLE): for every row its k nearest others by cosine distance.
+def nearest_neighbours(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", queries: DataFrame | None = None, k: int = K, leaf: int = LEAF, branch: int = BRANCH, per_child: int = PER_CHILD, probes: int = PROBES, recall: float = RECALL, cell: int = CELL) -> DataFrame:
+    """(id_col, rank INT, neighbour, distance DOUBLE): for every row of queries, which has the same two columns (all rows
+    if it is None), its k nearest others of rows by cosine distance.
 
     A row whose id or vector is null, whose vector holds a null, NaN or infinity, has no direction (all zeros) or not
-    the most frequent length, has no neighbours and is nobody's. A row that occurs twice is searched once; rows that
-    share an id are one point each but aren't neighbours of each other. With fewer than k others all are listed. Ids are
-    whole numbers or strings. Other columns are not read. An empty table gives none.
+    the most frequent length of rows, has no neighbours and is nobody's. A query that occurs twice is answered once; rows
+    that share an id are one point each but aren't neighbours of each other. With fewer than k others all are listed. Ids
+    are whole numbers or strings. Other columns are not read, whatever their names; where id_col is called as one of the
+    results is, that one gets an underscore. An empty table on either side gives none.
     """
     spark = rows.sparkSession
     common.shared_dir(spark)
-    ids = "string" if rows.schema[id_col].dataType.simpleString() == "string" else "bigint"
-    ready, dim = prepare(rows.withColumn(id_col, F.col(id_col).cast(ids)), id_col, vector_col)
-    every = ready.distinct().checkpoint()
+    ids = "string" if common.kind(rows, id_col) == "string" else "bigint"
+    dim = length(rows, vector_col)
+    every = prepare(rows, id_col, vector_col, dim, ids).distinct()
     least = Window.partitionBy("h").orderBy("id")
     held = every.withColumn("place", F.row_number().over(least)).filter(F.col("place") <= k + 1).checkpoint()
     vectors = held.filter("place = 1").select("h", "vec")
-    tree = grow(vectors, dim, leaf, branch, per_child)
+    total = vectors.count()
+    tree = grow(vectors, total, dim, max(leaf, 2 * total // MOST_LEAVES), branch, per_child)
     model = common.Model(spark, "tree", tree)
 
     def place(batches):
@@ -322,24 +328,23 @@ def nearest_neighbours(rows: DataFrame, id_col: str = "vec_id", vector_col: str
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(at)], names=["h", "vec", "id", "leaf"])
 
     points = held.select("h", "vec", "id").mapInArrow(place, f"h bigint, vec binary, id {ids}, leaf bigint").checkpoint()
-    sizes = {r.leaf: r["count"] for r in points.groupBy("leaf").count().collect()}
+    sizes = {r.leaf: r["count"] for r in points.groupBy("leaf").count().collect()}  # a row for each leaf
     tree["cell"] = cells_of(tree, sizes, cell)
-    total = vectors.count()
-    visits, cells = calibrate(points, tree, tree["cell"], total, dim, k, probes, recall)
+    asking = (every if queries is None else prepare(queries, id_col, vector_col, dim, ids).distinct()).checkpoint()
+    asked = asking.select("h", "vec").distinct().checkpoint()
+    n = asked.count()
+    visits, cells = calibrate(points, asked, tree, tree["cell"], n, dim, k, probes, recall)
     model = common.Model(spark, "cells", tree)
-    shares = max(1, math.ceil(cells * total / (tree["cell"].max() + 1) / ASKED))
-    found = points.join(spark.createDataFrame([(n, int(tree["cell"][n])) for n in sizes], "leaf bigint, cell bigint"), "leaf")
-    none = F.lit((1 << 31) - 1).cast("long")
-    one = meet(found, route(vectors.withColumn("bound", none), model, dim, visits, True, shares), dim, k + 1, ids, shares).checkpoint()
-    lists = one
-    if tree["cell"].max() > 0 and visits > 1:
-        bound = one.select("h", F.when(F.size("near") > k, F.round(F.element_at("near", k + 1)["d"] * 1e6).cast("long")).otherwise(none).alias("bound"))
-        lists = one.union(meet(found, route(vectors.join(bound, "h"), model, dim, visits, False, shares), dim, k + 1, ids, shares).filter(F.size("near") > 0))
+    shares = max(1, math.ceil(cells * n / (tree["cell"].max() + 1) / ASKED))
+    found = points.join(spark.createDataFrame([(x, int(tree["cell"][x])) for x in sizes], "leaf bigint, cell bigint"), "leaf")
+    lists = meet(found, route(asked, model, dim, visits, shares), dim, k + 1, ids, shares)
     merged = lists.groupBy("h").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near")).select("h", F.slice("near", 1, k + 1).alias("near"))
-    own = every.select("id", "h").distinct().join(merged, "h").select("id", F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k).alias("near"))
-    flat = own.select(F.col("id").alias(id_col), F.posexplode("near").alias("rank", "x"))
-    return flat.select(id_col, (F.col("rank") + 1).alias("rank"), F.col("x.id").alias("neighbour"), F.col("x.d").alias("distance"))
+    own = asking.select("id", "h").join(merged, "h").select("id", F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k).alias("near"))
+    flat = own.select("id", F.posexplode("near").alias("rank", "x"))
+    return common.named(flat.select("id", (F.col("rank") + 1).alias("rank"), F.col("x.id").alias("neighbour"), F.col("x.d").alias("distance")), id_col, "rank", "neighbour", "distance")
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest_neighbours(common.table(spark, sf_dir, "embeddings"))
+    """Queries are the rows whose id is divisible by 50; they are searched for among all rows."""
+    rows = common.table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(rows, queries=rows.filter(F.col("vec_id") % 50 == 0))
