@@ -1,15 +1,23 @@
-"""Operator 8: near duplicates by regions of equal MinHash values.
-
-Each text gets VALUES MinHash values over its shingles of SHINGLE words, one byte of each. It stands in TREES regions,
-one for each hash of DEPTH values; no value is in two of them. Places alone are shuffled at first, signatures follow
-for the places that are not alone in their region. Every pair of a region counts as compared, whatever the region's
-size: only rows that are already joined are spared. So whether two rows are found alike doesn't depend on how many
-others there are. Equal signatures are joined before, whatever their number. Compared pairs count when the estimate of
-their Jaccard similarity reaches THRESHOLD; groups are connected components of these pairs.
+"""Operator 8: near duplicates by an LSH forest over MinHash signatures.
+
+Each text gets VALUES MinHash values over its shingles of SHINGLE words. The forest has TREES orders of the texts: a tree's
+key is the signature, a byte of each value, begun at another place. What shares a tree's first DEPTH values (of two bytes
+each) is a region; a region's rows come sorted by the key, so that those next to each other share the longest prefixes.
+A region of up to REGION rows has all its pairs compared. In a larger one depth follows density: it is split a value
+deeper, as often as need be, until the parts are that small, and rows next to each other across a split are compared too.
+All other pairs of such a region are then settled by the parts' groups: a group stands behind a pivot and a radius,
+and by the triangle inequality (bytes that differ are a metric) most pairs of groups are surely not alike; those that may
+be are compared row by row. So every pair of a region counts as compared, whatever the region's size, and whether two rows
+are found alike doesn't depend on how many others there are.
+
+Texts with the same values are held once, by a hash of 128 bits. Places alone are shuffled at first; signatures follow for
+those that are not alone in their region. A region of more than HOT rows goes to several tasks, each with two of its
+blocks, so that all its pairs still meet. Compared pairs count when the estimate of their Jaccard similarity reaches
+THRESHOLD; classes are connected components of these pairs.
 
 What can be missed is a pair that shares no region: 1-(1-s^DEPTH)^TREES of the pairs of similarity s share one, by the
-formula 0.9996 at 0.6 and more above; thresholds under 0.6 find less (0.985 at 0.5). A region of n rows
-that are not alike costs n^2/2 comparisons in one task.
+formula 0.9996 at 0.6 and more above; thresholds under 0.6 find less (0.985 at 0.5). A region of n rows that are alike costs
+about n comparisons, one of n rows that are not about n^2/2, by tasks of HOT^2.
 """
 
 from __future__ import annotations
@@ -18,13 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 SHINGLE, VALUES, TREES, DEPTH, THRESHOLD = 2, 128, 32, 3, 0.6
-
+#: Rows of a region whose pairs are compared without going deeper; rows of a region from which it is shared by tasks.
+REGION, HOT = 64, 1 << 16
 #: Rows compared at a time; it bounds memory, not what is compared.
 STEP = 4096
 
@@ -71,21 +81,16 @@ def minhashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, doc[begin]
 
 
-def low_bytes(values: np.ndarray) -> np.ndarray:
-    """One byte of each value."""
-    return ((values * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+def mixed(values: np.ndarray) -> np.ndarray:
+    """The rows' signatures of 2 * VALUES bytes: one byte of each value, which are compared, then a second one of each."""
+    x = values * np.uint32(0x9E3779B1)
+    return np.concatenate([(x >> np.uint32(24)).astype(np.uint8), (x >> np.uint32(16)).astype(np.uint8)], 1)
 
 
 def signatures(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(rows of VALUES bytes, indices of the texts that they belong to); texts without a word have none."""
     values, doc = minhashes(texts)
-    return low_bytes(values), doc
-
-
-def regions(values: np.ndarray) -> np.ndarray:
-    """TREES hashes of each row, of DEPTH values each."""
-    own = values.reshape(-1, TREES, VALUES // TREES)[:, :, :DEPTH].astype(np.uint64)
-    return common.mix((own * _C[:DEPTH]).sum(2, dtype=np.uint64) + np.arange(TREES, dtype=np.uint64) * _C[DEPTH]).view(np.int64)
+    return mixed(values)[:, :VALUES], doc
 
 
 def estimate(matches):
@@ -97,25 +102,97 @@ def needed(threshold: float) -> int:
     return int(np.ceil(VALUES * (threshold * (1 - 1 / 256) + 1 / 256) - 1e-9))
 
 
-def region_edges(keys: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """A spanning forest of all pairs of rows with at least `least` equal bytes; keys: rows of any number."""
+def equal_bytes(rest: np.ndarray, row: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int32), *((rest[i : i + STEP] == row).sum(1, dtype=np.int32) for i in range(0, len(rest), STEP))])
+
+
+def spanning(keys: np.ndarray, least: int) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
+    """A spanning forest of all pairs of rows with at least `least` equal bytes, and its trees' rows."""
     edges: list[tuple[int, int]] = []
+    trees: list[list[int]] = []
     left, rest, todo = np.arange(len(keys)), keys, []  # rows that no edge has reached yet, and their keys
     while len(left):
         if not todo:
             todo, left, rest = [int(left[0])], left[1:], rest[1:]
+            trees.append(list(todo))
         a = todo.pop()
-        near = np.concatenate([np.zeros(0, bool), *((rest[i : i + STEP] == keys[a]).sum(1, dtype=np.int32) >= least for i in range(0, len(rest), STEP))])
+        near = equal_bytes(rest, keys[a]) >= least
         if near.any():
             found = left[near].tolist()
             edges += [(a, b) for b in found]
             todo += found
+            trees[-1] += found
             left, rest = left[~near], rest[~near]
+    return edges, [np.array(t) for t in trees]
+
+
+def any_pair(a: np.ndarray, b: np.ndarray, keys: np.ndarray, least: int, radius: int) -> tuple[int, int] | None:
+    """A pair of rows of the groups a and b with `least` equal bytes, if there is one. radius: a's, around its first row."""
+    far = VALUES - equal_bytes(keys[b], keys[a[0]])
+    for y in b[np.argsort(far, kind="stable")][: int((far <= VALUES - least + radius).sum())].tolist():
+        hit = np.flatnonzero(equal_bytes(keys[a], keys[y]) >= least)
+        if len(hit):
+            return int(a[hit[0]]), y
+    return None
+
+
+def region_edges(keys: np.ndarray, least: int, region: int = REGION) -> list[tuple[int, int]]:
+    """Pairs with at least `least` equal bytes that join all rows that such pairs join; keys: sorted rows, of any number."""
+    if len(keys) <= region:
+        return spanning(keys, least)[0]
+    edges: list[tuple[int, int]] = []
+    groups: list[np.ndarray] = []
+    todo = [(0, len(keys), 0)]
+    while todo:
+        lo, hi, depth = todo.pop()
+        if hi - lo <= region or depth == VALUES:
+            e, trees = spanning(keys[lo:hi], least)
+            edges += [(a + lo, b + lo) for a, b in e]
+            groups += [t + lo for t in trees]
+        else:
+            cut = (np.flatnonzero(np.diff(keys[lo:hi, depth])) + lo + 1).tolist()
+            todo += [(a, b, depth + 1) for a, b in zip([lo, *cut], [*cut, hi])]
+    of = np.empty(len(keys), np.int64)
+    for g, rows in enumerate(groups):
+        of[rows] = g
+    # Rows next to each other: what they join needs no comparison of groups.
+    close = np.flatnonzero(((keys[1:] == keys[:-1]).sum(1, dtype=np.int32) >= least) & (of[1:] != of[:-1]))
+    beside: dict[int, list[int]] = {}
+    for i in close.tolist():
+        a, b = int(of[i]), int(of[i + 1])
+        edges.append((i, i + 1))
+        beside.setdefault(a, []).append(b)
+        beside.setdefault(b, []).append(a)
+    pivot = keys[[int(g[0]) for g in groups]]
+    radius = np.array([0 if len(g) == 1 else int((VALUES - equal_bytes(keys[g], keys[g[0]])).max()) for g in groups])
+    left, waiting = np.arange(len(groups)), np.ones(len(groups), bool)  # groups that the present class hasn't reached
+    queue: list[int] = []
+    while len(left) or queue:
+        if not queue:
+            queue = [int(left[0])]
+            waiting[queue[0]] = False
+        a = queue.pop()
+        for b in beside.get(a, ()):
+            if waiting[b]:
+                waiting[b] = False
+                queue.append(b)
+        left = left[waiting[left]]
+        far = VALUES - equal_bytes(pivot[left], pivot[a])
+        sure = far <= VALUES - least
+        for b in left[sure].tolist():
+            edges.append((int(groups[a][0]), int(groups[b][0])))
+            waiting[b] = False
+            queue.append(b)
+        for b in left[~sure & (far <= VALUES - least + radius[a] + radius[left])].tolist():
+            if e := any_pair(groups[a], groups[b], keys, least, int(radius[a])):
+                edges.append(e)
+                waiting[b] = False
+                queue.append(b)
     return edges
 
 
 def edges_of_regions(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Batches of (region, sig, id) in order of the region -> (a, b). Holds back the region that is not complete."""
+    """Batches of (region, key, id) in order of region and key -> (a, b). Holds back the region that is not complete."""
     held: list[tuple[np.ndarray, ...]] = []
 
     def solve(region, sig, ids):
@@ -127,7 +204,7 @@ def edges_of_regions(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[
         for b, n in zip(begin[size > 2].tolist(), size[size > 2].tolist()):
             if e := region_edges(sig[b : b + n], least):
                 pairs.append(np.array(e) + b)
-        p = np.concatenate(pairs)
+        p = np.concatenate(pairs).astype(np.int64)
         a, b = ids[p[:, 0]], ids[p[:, 1]]
         a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
         if len(a):
@@ -148,12 +225,12 @@ def edges_of_regions(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[
         yield from solve(*map(np.concatenate, zip(*held)))
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+def row_key(id_col: Column, text_col: Column) -> Column:
+    return F.xxhash64(id_col, text_col)
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rid, id_col, sig, regions) of every text that has a word."""
+    """(rid, id, k1, k2, sig) of every text that has a word; k1 and k2 are the hash of its values."""
 
     def run(batches):
         for batch in batches:
@@ -161,18 +238,22 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for a, b in common.chunks(texts):
                 values, at = minhashes(texts[a:b])
                 take = pa.array(at + a)
-                own = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * TREES + 1, TREES, dtype=np.int32)), pa.array(regions(values).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array([r.tobytes() for r in low_bytes(values)], pa.binary()), own], names=["rid", id_col, "sig", "regions"])
+                own = np.frombuffer(b"".join(xxhash.xxh3_128_digest(v.tobytes()) for v in values), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array([r.tobytes() for r in mixed(values)], pa.binary())], names=["rid", "id", "k1", "k2", "sig"])
 
-    ids = docs.schema[id_col].dataType.simpleString()
-    return docs.select(row_key(id_col, text_col).alias("rid"), id_col, text_col).mapInArrow(run, f"rid bigint, `{id_col}` {ids}, sig binary, regions array<bigint>")
+    some = common.pick(docs, id=id_col, text=text_col)
+    return some.select(row_key(F.col("id"), F.col("text")).alias("rid"), "id", "text").mapInArrow(run, f"rid bigint, id {common.kind(docs, id_col)}, k1 bigint, k2 bigint, sig binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, root): every vertex of edges (a, b), a <> b, but the least of its component, and that least one. By turns of
-    large stars and small stars, each a window over one key; written to the shared folder in every turn."""
+    large stars and small stars, written to the shared folder in every turn. A vertex's least neighbour is found by an
+    aggregation with partial sums and joined to its edges, so that a vertex of very many edges is no task of its own."""
     common.shared_dir(edges.sparkSession)
-    near = Window.partitionBy("a")
+
+    def with_least(e: DataFrame) -> DataFrame:
+        return e.join(e.groupBy("a").agg(F.min("b").alias("m")), "a")
+
     now, was = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint(), None
     while True:
         state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
@@ -180,48 +261,67 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("v"), F.col("b").alias("root"))
         was = state
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.select("a", "b", F.least("a", F.min("b").over(near)).alias("m")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = large.select("a", "b", F.min("b").over(near).alias("m"))
+        large = with_least(both).select("a", "b", F.least("a", "m").alias("m")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct().checkpoint()
+        low = with_least(large)
         now = low.select("a", F.col("m").alias("b")).union(low.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct().checkpoint()
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(rid, id_col, comp, size, place): for every row with a word its group, the group's rows, and its place in it by id."""
+def forest_edges(texts: DataFrame, least: int, hot: int = HOT) -> DataFrame:
+    """(a, b): pairs of rids of texts(rid, sig), each with another signature, that join all that the forest's pairs join."""
+    step, low = VALUES // TREES, F.substring("sig", 1, VALUES)
+    part = lambda begin, n: F.expr(f"substring(sig, {begin} + t * {step}, {n})")
+    places = texts.select("rid", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")).select("rid", "t", F.xxhash64("t", part(1, DEPTH), part(VALUES + 1, DEPTH)).alias("region"))
+    shared = places.join(places.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1"), "region")
+    blocks = F.ceil(F.col("n") / hot)
+    own = F.pmod(F.xxhash64("rid"), blocks)
+    spread = shared.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    task = F.when(F.col("n") <= hot, F.col("region")).otherwise(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")))
+    turned = F.concat(F.expr(f"substring(low, 1 + t * {step})"), F.expr(f"substring(low, 1, t * {step})"))
+    rows = spread.select("rid", "t", task.alias("task")).join(texts.select("rid", low.alias("low")), "rid").select("task", turned.alias("key"), "rid")
+    ordered = rows.repartition("task").sortWithinPartitions("task", "key", "rid")
+    return ordered.mapInArrow(lambda x: edges_of_regions(x, least), "a bigint, b bigint")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
+    """(rid, id, times, size, first): for every row with a word that is alike to another, how often it occurs, its class'
+    rows, and the id and rid of the row to keep: the least id, nulls last."""
     common.shared_dir(docs.sparkSession)
     sketch = sketches(docs, id_col, text_col).checkpoint()
-    least = needed(threshold)
-    equal = sketch.select("rid", "sig", "regions", F.min("rid").over(Window.partitionBy("sig")).alias("rep"))
-    one = equal.filter("rid = rep").dropDuplicates(["sig", "rid"])
-    places = one.select("rid", F.explode("regions").alias("region")).withColumn("n", F.count("*").over(Window.partitionBy("region"))).filter("n > 1")
-    ordered = places.join(one.select("rid", "sig"), "rid").select("region", "sig", "rid").repartition("region").sortWithinPartitions("region", "rid")
-    edges = ordered.mapInArrow(lambda x: edges_of_regions(x, least), "a bigint, b bigint").union(equal.filter("rid <> rep").select("rid", "rep"))
-    star = components(edges)
-    row = sketch.drop("sig", "regions").join(star, F.col("rid") == F.col("v"), "left").withColumn("comp", F.coalesce("root", "rid")).drop("v", "root")
-    own = Window.partitionBy("comp")
-    return row.select("*", F.count("*").over(own).alias("size"), F.row_number().over(own.orderBy(F.col(id_col).asc_nulls_last(), "rid")).alias("place"))
+    rows = sketch.groupBy("rid", "id", "k1", "k2").agg(F.count("*").alias("times"))
+    reps = rows.groupBy("k1", "k2").agg(F.min("rid").alias("rep")).checkpoint()
+    texts = sketch.select("rid", "sig").join(reps.select(F.col("rep").alias("rid")), "rid", "left_semi").distinct()
+    star = components(forest_edges(texts, needed(threshold), hot))
+    found = rows.join(reps, ["k1", "k2"]).join(star, F.col("rep") == F.col("v"), "left").select("rid", "id", "times", F.coalesce("root", "rep").alias("comp"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "rid")
+    whole = found.groupBy("comp").agg(F.sum("times").alias("size"), F.min(order).alias("first")).filter("size > 1")
+    return found.join(whole, "comp").select("rid", "id", "times", "size", "first.id", "first.rid").toDF("rid", "id", "times", "size", "first", "first_rid")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id_col, group_id, kept BOOLEAN): every row that has a near copy; group_id is the least id of its group, and the
-    row that has it is the one to keep. Rows that are alike to none are not in the result.
+    """(id_col, group_id, links BIGINT, kept BOOLEAN): every row that has a near copy; group_id names its class by the least
+    id in it, links is the number of the class' other rows, and the row that has the least id is the one to keep. Rows
+    that are alike to none are not in the result: they are classes of their own, without a link.
 
-    Whole texts are read. Null texts and texts without a word are alike to none. A row that occurs twice makes a group
-    of itself, of which one is kept. Null ids come last in their group. Other columns are not read. An empty table
-    gives none.
+    Whole texts are read. Null texts and texts without a word are alike to none. A row that occurs twice makes a class
+    of itself, of which one is kept. Null ids come last in their class. Other columns are not read, whatever their names;
+    where id_col is called as one of the results is, that one gets an underscore. An empty table gives none.
     """
-    own = Window.partitionBy("comp")
-    return groups(docs, id_col, text_col, threshold).filter("size > 1").select(id_col, F.min(id_col).over(own).alias("group_id"), (F.col("place") == 1).alias("kept"))
+    found = classes(docs, id_col, text_col, threshold).withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return common.named(found.select("id", "first", F.col("size") - 1, (F.col("rid") == F.col("first_rid")) & (F.col("turn") == 1)), id_col, "group_id", "links", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs, all columns, without the rows that near_duplicates() doesn't keep; of a repeated row one stays."""
-    rid = "__quarrymill_rid"
-    verdict = groups(docs, id_col, text_col, threshold).filter("size > 1").groupBy("rid").agg(F.min("place").alias("__quarrymill_place"), F.count("*").alias("__quarrymill_n")).withColumnRenamed("rid", rid).checkpoint()
-    left = docs.withColumn(rid, row_key(id_col, text_col)).join(verdict, rid, "left").filter(F.coalesce("__quarrymill_place", F.lit(1)) == 1)
-    if verdict.filter("__quarrymill_place = 1 AND __quarrymill_n > 1").isEmpty():
-        return left.select(docs.columns)
-    twice = F.coalesce("__quarrymill_n", F.lit(1)) > 1
-    return left.filter(~twice).select(docs.columns).union(left.filter(twice).dropDuplicates([rid]).select(docs.columns))
+    """docs, all columns, without the rows that near_duplicates() doesn't keep; of a repeated row one stays. Null texts,
+    texts without a word and rows alike to none stay; an empty table stays empty. Columns may have any names."""
+    found = classes(docs, id_col, text_col, threshold)
+    verdict = found.select("rid", (F.col("rid") == F.col("first_rid")).alias("keep"), "times").checkpoint()
+    flat = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    own = row_key(*(F.col(f"c{common.place(docs, c)}") for c in (id_col, text_col)))
+    left = flat.withColumn("rid", own).join(verdict, "rid", "left").filter(F.coalesce("keep", F.lit(True)))
+    if verdict.filter("keep AND times > 1").isEmpty():
+        return left.select(flat.columns).toDF(*docs.columns)
+    twice = F.coalesce("times", F.lit(1)) > 1
+    return left.filter(~twice).select(flat.columns).union(left.filter(twice).dropDuplicates(["rid"]).select(flat.columns)).toDF(*docs.columns)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

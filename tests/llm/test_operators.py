@@ -335,12 +335,16 @@ def test_near_duplicates_by_brute_force(spark):
             texts.append(" ".join(t))
             family.append(f)
     got = rows(near_dedup.near_duplicates(docs(spark, list(enumerate(texts)))))
-    group = {i: g for i, g, _ in got}
+    group = {i: g for i, g, *_ in got}
     shingle = [{tuple(w[i : i + 2]) for i in range(len(w) - 1)} for w in map(str.split, texts)]
     near = [(i, j) for i in range(len(texts)) for j in range(i) if len(shingle[i] & shingle[j]) / len(shingle[i] | shingle[j]) >= 0.8]
     found = sum(group.get(i, -1) == group.get(j, -2) for i, j in near)
     assert found / len(near) >= 0.98
-    assert all(family[i] == family[g] for i, g in group.items()) and all((i == g) == k for i, g, k in got)
+    assert all(family[i] == family[g] for i, g in group.items()) and all((i == g) == k for i, g, _, k in got)
+    size = {g: sum(x == g for x in group.values()) for g in set(group.values())}
+    assert all(n == size[g] - 1 for _, g, n, _ in got)
+    hot = near_dedup.classes(docs(spark, list(enumerate(texts))), hot=8)  # regions shared by tasks of two blocks each
+    assert {(r["id"], r["first"]) for r in hot.collect()} == set(group.items())
 
 
 def test_large_regions_by_all_pairs():
@@ -355,8 +359,45 @@ def test_large_regions_by_all_pairs():
     want = {(i, j) for i in range(3000) for j in (np.flatnonzero((keys[i + 1 :] == keys[i]).sum(1) >= least) + i + 1).tolist()}
     got = near_dedup.region_edges(keys, least)
     assert len(want) > 1200 and {(min(e), max(e)) for e in got} == want
-    keys[:, 50:] = 9  # and all alike: a tree
-    assert len(near_dedup.region_edges(keys, least)) == 2999
+    keys[:, 50:] = 9  # and all alike
+    edges = near_dedup.region_edges(keys, least)
+    assert len(edges) >= 2999 and set(parts(3000, edges)) == {0}
+
+
+def parts(n, edges):
+    """The least row that edges join each one to."""
+    at = list(range(n))
+
+    def top(x):
+        while at[x] != x:
+            at[x] = at[at[x]]
+            x = at[x]
+        return x
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        at[max(a, b)] = min(a, b)
+    return [top(x) for x in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_regions_of_classes_by_all_pairs(seed):
+    """Classes of many rows that drift away from each other, so that pivots alone don't tell."""
+    rng = np.random.default_rng(seed)
+    least, out = near_dedup.needed(near_dedup.THRESHOLD), []
+    for _ in range(30):
+        row = rng.integers(0, 256, near_dedup.VALUES, np.uint8)
+        for _ in range(int(rng.integers(1, 60))):
+            row = row.copy()
+            row[rng.integers(3, near_dedup.VALUES, int(rng.integers(1, 60)))] = rng.integers(0, 256)
+            out.append(row)
+    keys = np.array(out)
+    keys[:, :3] = 7
+    keys[:, rng.permutation(np.arange(3, near_dedup.VALUES))[:30]] = 5  # all have a common part, as by a shared passage
+    keys = np.unique(keys, axis=0)
+    near = [(i, j) for i in range(len(keys)) for j in (np.flatnonzero((keys[i + 1 :] == keys[i]).sum(1) >= least) + i + 1).tolist()]
+    got = near_dedup.region_edges(keys, least, region=16)
+    assert {(min(e), max(e)) for e in got} <= set(near) and parts(len(keys), got) == parts(len(keys), near)
 
 
 def test_regions_over_batches():
@@ -381,7 +422,7 @@ def test_near_duplicate_recall_at_the_threshold(spark):
     sig = near_dedup.signatures(texts)[0]
     same = (sig[::2] == sig[1::2]).sum(1)
     near = np.flatnonzero((same >= near_dedup.needed(near_dedup.THRESHOLD)) & (same <= 0.7 * near_dedup.VALUES)) * 2
-    group = {i: g for i, g, _ in rows(near_dedup.near_duplicates(docs(spark, list(enumerate(texts)))))}
+    group = {i: g for i, g, *_ in rows(near_dedup.near_duplicates(docs(spark, list(enumerate(texts)))))}
     found = sum(group.get(i, -1) == group.get(i + 1, -2) for i in near.tolist())
     assert len(near) > 400 and found / len(near) >= 0.99, (found, len(near))
 
@@ -390,7 +431,7 @@ def test_near_duplicate_edges(spark):
     d = docs(spark, [*EDGES, (11, "One TWO three four"), (10, "one two, three four!"), (12, "one"), (13, "One."), (14, LONG + "x")])
     got = rows(near_dedup.near_duplicates(d))
     groups = {}
-    for i, g, k in got:
+    for i, g, _, k in got:
         groups.setdefault(g, []).append((i, k))
     assert sorted((g, sorted(v)) for g, v in groups.items()) == [(4, [(4, False), (4, True)]), (6, [(6, True), (14, False)]), (10, [(10, True), (11, False)]), (12, [(12, True), (13, False)])]
     left = near_dedup.drop_near_duplicates(d)
