@@ -279,26 +279,26 @@ def test_quality_edges(spark):
 # 7
 
 
-def slow_phrases(text, train, stretch):
-    n = 0
-    for a in range(0, len(text), stretch):
-        part, i = text[a : a + stretch], 0
-        while i < len(part):
-            j = i + 1
-            while j < len(part) and part[i : j + 1] in train:
-                j += 1
-            n, i = n + 1, j
+def slow_phrases(text, train):
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i : j + 1] in train:
+            j += 1
+        n, i = n + 1, j
     return n
 
 
 def test_phrases_by_brute_force():
     rng = random.Random(7)
-    trains = [bytes(rng.choices(range(1, 5), k=400)), bytes(rng.choices(range(1, 4), [5, 2, 1], k=300))]
+    trains = [bytes(rng.choices(range(1, 5), k=400)), bytes(rng.choices(range(1, 4), [5, 2, 1], k=300)), b"\1\1\1\1\1\2\2"]
     m = language_id.dense([language_id.suffix_automaton(list(t)) for t in trains])
-    texts = [bytes(rng.choices(range(1, 6), k=rng.choice([0, 1, 5, 50, 90]))) for _ in range(60)]
+    texts = [bytes(rng.choices(range(1, 6), k=rng.choice([0, 1, 5, 50, 90, 700]))) for _ in range(60)]
+    texts += [b"\1" * 1000, b"\1" * 31 + b"\2" * 64 + b"\1" * 500, trains[0][100:] + trains[0][:300]]  # parses from other places never meet
     at = np.cumsum([0, *map(len, texts)])
-    got = language_id.phrases(np.frombuffer(b"".join(texts), np.uint8), at, m, stretch=32)
-    assert got.tolist() == [[slow_phrases(t, tr, 32) for tr in trains] for t in texts]
+    for stretch in (32, 7, 1, 5000):
+        got = language_id.phrases(np.frombuffer(b"".join(texts), np.uint8), at, m, stretch)
+        assert got.tolist() == [[slow_phrases(t, tr) for tr in trains] for t in texts]
 
 
 def test_language_of_documents(spark):
@@ -308,6 +308,24 @@ def test_language_of_documents(spark):
     assert share[0] > 0.98 and share[1] > 0.98
 
 
+@pytest.mark.parametrize("lang", ["de", "en", "es", "fr"])
+def test_unknown_languages_are_rejected(spark, lang):
+    """Each language is left out in turn: its documents are rejected, those of others are not. Odd ids only; the limit was
+    chosen on even ones."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id % 10 = 1")
+    got = language_id.identify_language(d.withColumn("lang", F.when(F.col("lang") != lang, F.col("lang"))))
+    known, unknown = got.join(d.select("doc_id", (F.col("lang") == lang).alias("own"), F.length("text").alias("n")), "doc_id").filter("n > 100").agg(
+        F.avg(F.when(~F.col("own"), F.col("keep").cast("int"))), F.avg(F.when(F.col("own"), F.col("keep").cast("int")))).first()
+    assert known > 0.99 and unknown < 0.05, (known, unknown)
+
+
+def test_short_texts_of_no_language(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(-1, "привет как дела сегодня у тебя все хорошо", None), (-2, "q x z q w v k j x z w q k v x j z " * 3, None), (-3, "of the that was in the", None)]
+    got = {r.doc_id: r.keep for r in language_id.identify_language(d.union(spark.createDataFrame(odd, d.schema))).filter("doc_id < 0").collect()}
+    assert got == {-1: False, -2: False, -3: True}
+
+
 def test_language_edges(spark):
     d = docs(spark, [(*r, None) for r in EDGES] + [(100 + i, f"the cat sat on mat number {'abcdefgh'[i]} again", "en") for i in range(8)] + [(200 + i, f"le chat est sur la table {'abcdefgh'[i]} encore", "fr") for i in range(8)], "doc_id bigint, text string, lang string")
     got = {r.doc_id: r for r in language_id.identify_language(d).collect()}
