@@ -1,11 +1,12 @@
 """Operator 6: a quality classifier by co-training of two views.
 
 One classifier sees a text's content: frequencies of hashed byte pairs and rates of repetition, case and symbols.
-The other sees only metadata: source, language, declared length. In each round either hands the documents without
-a label that it is surest of, by calibrated probability, to the other as pseudo-labels. At last a logistic model of
-both calibrated scores, fitted on labelled documents that neither was trained on, scores every document.
+The other sees only metadata: source, language, declared length. In each round both score every document without a
+label, and each hands documents that it is sure of, by calibrated probability, to the other as pseudo-labels. At last a
+logistic model of both calibrated scores, fitted on labelled documents that neither was trained on, scores every document.
 
-Fitting uses bounded samples chosen by hash: at most about LABELLED labelled and POOL other documents. Scoring
+Labelled rows are a sample of bounded size: about LABELLED labelled documents, and in each round for each view and
+class a share of HAND_OVER of all documents that the other view is sure of, those whose hashes are least. Scoring
 reads all documents whole, in one pass: the content score is a mean of weights over a text's byte pairs.
 """
 
@@ -15,17 +16,18 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-LABELLED, POOL, ROUNDS, SURE, HAND_OVER = 4000, 3000, 3, 0.97, 200
+LABELLED, ROUNDS, SURE, HAND_OVER = 4000, 3, 0.97, 400
 #: Ridge penalty of both views' models.
 DECAY = 1e-3
 #: A document is kept if it is of good quality with at least this probability.
 LEAST = 0.5
-PAIRS, RATES, SOURCES, LANGS, SIZES = 1024, 14, 64, 16, 24
+PAIRS, RATES, SOURCES, LANGS, SIZES = 1024, 14, 256, 64, 24
 
 _UPPER, _DIGIT, _MARK, _WIDE = (np.zeros(256, np.float32) for _ in range(4))
 _UPPER[65:91] = _DIGIT[48:58] = _WIDE[128:] = 1
@@ -88,7 +90,7 @@ def metadata_rows(source: list, lang: list, n_chars: list) -> np.ndarray:
     def column(values, width):
         out = np.zeros((len(values), width + 1), np.float32)
         for i, v in enumerate(values):
-            out[i, width if v is None else int.from_bytes(str(v).encode("utf-8", "replace")[-8:], "big") * 2654435761 % (1 << 32) * width >> 32] = 1
+            out[i, width if v is None else xxhash.xxh64_intdigest(str(v).encode("utf-8", "replace")) % width] = 1
         return out
 
     sizes = np.zeros((len(n_chars), SIZES + 1), np.float32)
@@ -133,64 +135,109 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> dict[str, np.ndarray]:
-    """Weights of both views and of their combination. One in four labelled rows calibrates and trains neither view."""
-    hold = np.arange(len(y)) % 4 == 3
-    views = [[text[~hold], y[~hold]], [meta[~hold], y[~hold]]]
-    held, pools = (text[hold], meta[hold]), (pool_text, pool_meta)
-    free = [np.ones(len(pool_text), bool) for _ in range(2)]  # what a view hasn't been handed yet
-    truth = y[hold]
-    w, cal = [np.zeros(0)] * 2, [np.zeros(0)] * 2
-
-    def fit(k):
-        w[k] = logistic(views[k][0], views[k][1])
-        cal[k] = logistic((held[k] @ w[k][:-1] + w[k][-1])[:, None], truth, 1e-2)
-
-    fit(0), fit(1)
-    for _ in range(ROUNDS):
-        if not len(pool_text):
-            break
-        handed = []
+class Views:
+    """Both views' training rows, weights and calibrations. One in four labelled rows calibrates and trains neither view."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray):
+        hold = np.arange(len(y)) % 4 == 3
+        self.rows = [[text[~hold], y[~hold]], [meta[~hold], y[~hold]]]
+        self.held, self.truth = (text[hold], meta[hold]), y[hold]
+        self.w, self.cal = [np.zeros(0)] * 2, [np.zeros(0)] * 2
+        self.refit()
+
+    def refit(self) -> None:
         for k in range(2):
-            p = _sigmoid(cal[k][0] * (pools[k] @ w[k][:-1] + w[k][-1]) + cal[k][1])
-            base = truth.mean()
-            for label, sure, most in ((1, p, base), (0, 1 - p, 1 - base)):
-                order = np.argsort(-sure, kind="stable")
-                handed.append((1 - k, label, [i for i in order if free[1 - k][i] and sure[i] >= SURE][: max(1, int(HAND_OVER * most))]))
-        for to, label, rows in handed:
-            free[to][rows] = False
-            views[to] = [np.concatenate([views[to][0], pools[to][rows]]), np.concatenate([views[to][1], np.full(len(rows), label)])]
-        fit(0), fit(1)
-    z = [cal[k][0] * (held[k] @ w[k][:-1] + w[k][-1]) + cal[k][1] for k in range(2)]
-    return {"text": w[0], "meta": w[1], "text_cal": cal[0], "meta_cal": cal[1], "both": logistic(np.stack(z, 1), truth, 1e-2)}
-
-
-def fit(docs: DataFrame, labels: DataFrame, cols: dict[str, str], label_col: str, labelled: int = LABELLED, pool: int = POOL) -> dict[str, np.ndarray]:
-    """A document labelled more than once takes the majority, and good at a tie; null labels are none."""
-    key = cols["id"]
-    votes = labels.filter(F.col(key).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(key).alias("__quarrymill_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("__quarrymill_y"))
-    some = votes.filter(common.share(F.col("__quarrymill_id"), labelled, votes.count()))
-    own = F.struct(*(F.col(c) for c in cols.values()))
-    row = docs.select(*(F.col(c).alias(k) for k, c in cols.items()), F.xxhash64(own).alias("h"), common.share(own, pool, docs.count()).alias("__quarrymill_pool"))
-    # `some` has about `labelled` rows, whatever the input: its size is bounded.
-    row = row.join(F.broadcast(some), F.col("id") == F.col("__quarrymill_id"), "left").filter("__quarrymill_pool OR __quarrymill_y IS NOT NULL")
+            self.w[k] = logistic(*self.rows[k])
+            self.cal[k] = logistic((self.held[k] @ self.w[k][:-1] + self.w[k][-1])[:, None], self.truth, 1e-2)
+
+    def quotas(self, most: int = HAND_OVER) -> dict[int, int]:
+        """Documents that a view takes in a round, by label: in proportion to the classes."""
+        base = float(self.truth.mean())
+        return {1: max(1, int(most * base)), 0: max(1, int(most * (1 - base)))}
+
+    def take(self, to: int, label: int, rows: np.ndarray) -> None:
+        if len(rows):
+            self.rows[to] = [np.concatenate([self.rows[to][0], rows]), np.concatenate([self.rows[to][1], np.full(len(rows), label)])]
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        z = [self.cal[k][0] * (self.held[k] @ self.w[k][:-1] + self.w[k][-1]) + self.cal[k][1] for k in range(2)]
+        return {"text": self.w[0], "meta": self.w[1], "text_cal": self.cal[0], "meta_cal": self.cal[1], "both": logistic(np.stack(z, 1), self.truth, 1e-2)}
+
+
+def sure_of(rows: DataFrame, m, quotas: dict[int, int], taken: list[set[int]], sure: float = SURE) -> DataFrame:
+    """(to, label, h): of all rows(text, source, lang, n_chars, h) that view 1 - `to` gives the label with probability
+    `sure` at least and that view `to` hasn't taken yet, those of the least hashes, as many as quotas tells. Equal rows
+    have the same h and count once. A task passes on so many at most; hashes alone are moved, and merged in two steps."""
 
     def run(batches):
+        best: dict[tuple[int, int], np.ndarray] = {(to, label): np.zeros(0, np.int64) for to in range(2) for label in range(2)}
+        gone = [np.array(sorted(t), np.int64) for t in taken]
         for batch in batches:
-            t = {k: batch.column(i).to_pylist() for i, k in enumerate(["text", "source", "lang", "n_chars"])}
-            if batch.num_rows:
-                x = [[r.tobytes() for r in m] for m in (content_rows(t["text"]), metadata_rows(t["source"], t["lang"], t["n_chars"]))]
-                yield pa.RecordBatch.from_arrays([pa.array(x[0], pa.binary()), pa.array(x[1], pa.binary()), batch.column(4), batch.column(5)], names=["x", "m", "y", "h"])
+            h = batch.column(4).to_numpy()
+            t = [batch.column(i).to_pylist() for i in range(4)]
+            for a, b in common.chunks(t[0]):
+                p = score(*(x[a:b] for x in t), m)[:2]
+                for (to, label), held in best.items():
+                    own = h[a:b][(p[1 - to] if label else 1 - p[1 - to]) >= sure]
+                    best[to, label] = np.unique(np.concatenate([held, own[~np.isin(own, gone[to])]]))[: quotas[label]]
+        for (to, label), held in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array([to] * len(held), pa.int32()), pa.array([label] * len(held), pa.int32()), pa.array(held)], names=["to", "label", "h"])
+
+    found = rows.select("text", "source", "lang", "n_chars", "h").mapInArrow(run, "to int, label int, h bigint").distinct()
+    most = F.when(F.col("label") == 1, quotas[1]).otherwise(quotas[0])
+    for part in (["to", "label", F.pmod(F.xxhash64("h"), F.lit(64))], ["to", "label"]):
+        first = F.row_number().over(Window.partitionBy(*part).orderBy("h"))
+        found = found.withColumn("place", first).filter((F.col("place") <= max(quotas.values())) & (F.col("place") <= most)).drop("place")
+    return found
+
+
+def features(batches):
+    """Batches of (text, source, lang, n_chars, …) -> (x, m, …): what each view sees."""
+    for batch in batches:
+        if batch.num_rows:
+            t = [batch.column(i).to_pylist() for i in range(4)]
+            x = [pa.array([r.tobytes() for r in part], pa.binary()) for part in (content_rows(t[0]), metadata_rows(*t[1:]))]
+            yield pa.RecordBatch.from_arrays([*x, *batch.columns[4:]], names=["x", "m", *batch.schema.names[4:]])
+
+
+def fit(docs: DataFrame, labels: DataFrame, cols: dict[str, str], label_col: str, labelled: int = LABELLED, rounds: int = ROUNDS, hand_over: int = HAND_OVER) -> dict[str, np.ndarray]:
+    """A document labelled more than once takes the majority, and good at a tie; null labels are none."""
+    votes = common.pick(labels, vote_id=cols["id"], y=label_col).filter("vote_id IS NOT NULL AND y IS NOT NULL").groupBy("vote_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
+    some = votes.filter(common.share(F.col("vote_id"), labelled, votes.count()))
+    own = common.pick(docs, **cols)
+    own = own.withColumn("h", F.xxhash64(*own.columns))
+    # `some` has about `labelled` rows, whatever the input: its size is bounded.
+    known = own.join(F.broadcast(some), F.col("id") == F.col("vote_id"))
+    rest = own.join(F.broadcast(some.select("vote_id")), F.col("id") == F.col("vote_id"), "left_anti")
 
-    rows = row.select("text", "source", "lang", "n_chars", F.col("__quarrymill_y").alias("y"), "h").mapInArrow(run, "x binary, m binary, y int, h bigint").collect()
+    own_columns = ["text", "source", "lang", "n_chars"]
+    rows = known.select(*own_columns, "y", "h").mapInArrow(features, "x binary, m binary, y int, h bigint").collect()
     rows.sort(key=lambda r: (r.h, r.x))
-    x, m = (np.frombuffer(b"".join(r[k] for r in rows), np.float32).reshape(len(rows), -1) if rows else np.zeros((0, 1), np.float32) for k in "xm")
-    known = np.array([r.y is not None for r in rows], bool)
-    y = np.array([r.y for r in rows if r.y is not None], float)
+    y = np.array([r.y for r in rows], float)
     hold = np.arange(len(y)) % 4 == 3
     if len(set(y[hold])) < 2 or len(set(y[~hold])) < 2:  # nothing to tell apart
         return {}
-    return cotrain(x[known], m[known], y, x[~known], m[~known])
+    x, m = (_matrix([r[k] for r in rows]) for k in "xm")
+    views = Views(x, m, y)
+    taken: list[set[int]] = [set(), set()]
+    for _ in range(rounds):
+        sent = common.Model(docs.sparkSession, "views", views.arrays())
+        found = sure_of(rest, sent, views.quotas(hand_over), taken).collect()  # at most four quotas
+        if not found:
+            break
+        wanted = F.broadcast(docs.sparkSession.createDataFrame([(r.h,) for r in found], "wanted bigint").distinct())
+        seen = rest.join(wanted, F.col("h") == F.col("wanted")).select(*own_columns, "h").mapInArrow(features, "x binary, m binary, h bigint")
+        by = {r.h: r for r in seen.dropDuplicates(["h"]).collect()}
+        for to in range(2):
+            for label in range(2):
+                views.take(to, label, _matrix([by[h]["xm"[to]] for h in sorted(r.h for r in found if (r.to, r.label) == (to, label))]))
+            taken[to] |= {r.h for r in found if r.to == to}
+        views.refit()
+    return views.arrays()
+
+
+def _matrix(rows: list) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), -1) if rows else np.zeros((0, 1), np.float32)
 
 
 def score(texts, source, lang, n_chars, m) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,31 +266,33 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     Null text counts as empty; null metadata is a value of its own. Whole texts are read. Without labels of both kinds
     nothing can be told apart: p is 1, the views' are null, all are kept. Null and repeated ids are passed on with their
-    own rows. Other columns are not read. An empty table gives none.
+    own rows. Other columns are not read, whatever their names; where id_col is called as one of the results is, that one
+    gets an underscore. An empty table gives none.
     """
     cols = _columns(id_col, text_col, source_col, lang_col, size_col)
     m = fit(docs, labels, cols, label_col)
     model = common.Model(docs.sparkSession, "quality", m)
-    ids = docs.schema[id_col].dataType.simpleString()
 
     def run(batches, model):
         for batch in batches:
             for a, b, content_p, meta_p, p in _scored([batch.column(i).to_pylist() for i in range(1, 5)], model, bool(m)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(np.round(x, 6), pa.float64(), from_pandas=True) for x in (content_p, meta_p, p)), pa.array(p >= least)], names=[id_col, "p_content", "p_metadata", "p", "keep"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(np.round(x, 6), pa.float64(), from_pandas=True) for x in (content_p, meta_p, p)), pa.array(p >= least)], names=["id", "p_content", "p_metadata", "p", "keep"])
 
-    return docs.select(*cols.values()).mapInArrow(partial(run, model=model), f"`{id_col}` {ids}, p_content double, p_metadata double, p double, keep boolean")
+    done = common.pick(docs, **cols).mapInArrow(partial(run, model=model), f"id {common.kind(docs, id_col)}, p_content double, p_metadata double, p double, keep boolean")
+    return common.named(done, id_col, "p_content", "p_metadata", "p", "keep")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", size_col: str = "n_chars", label_col: str = "quality", least: float = LEAST) -> DataFrame:
-    """The rows of docs, all columns, that score_quality() keeps."""
+    """The rows of docs, all columns, that score_quality() keeps. Null and empty texts are judged as it does, by what their
+    metadata say too; rows that occur twice stay or go alike; columns may have any names; an empty table stays empty."""
     cols = _columns(id_col, text_col, source_col, lang_col, size_col)
     m = fit(docs, labels, cols, label_col)
     model = common.Model(docs.sparkSession, "quality", m)
-    wanted = list(cols.values())[1:]
+    wanted = [common.place(docs, c) for c in list(cols.values())[1:]]
 
     def run(batches, model):
         for batch in batches:
-            keep = [p >= least for *_, p in _scored([batch.column(batch.schema.get_field_index(c)).to_pylist() for c in wanted], model, bool(m))]
+            keep = [p >= least for *_, p in _scored([batch.column(i).to_pylist() for i in wanted], model, bool(m))]
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
     return docs.mapInArrow(partial(run, model=model), docs.schema)

@@ -265,6 +265,42 @@ def test_quality_on_held_out_documents(spark):
     assert sorted(r.doc_id for r in quality.keep_good(d, labels).collect()) == sorted(i for i, r in got.items() if r.keep)
 
 
+def test_exchange_by_brute_force(spark):
+    """What views hand to each other, against scores of all documents one by one."""
+    data = labelled(700, 3)
+    d = docs(spark, [(*r[:5],) for r in data] + [(*data[650][:5],)], "doc_id bigint, text string, source string, lang string, n_chars bigint").repartition(5)
+    x, m = quality.content_rows([r[1] for r in data]), quality.metadata_rows(*zip(*((r[2], r[3], r[4]) for r in data)))
+    y = np.array([r[5] for r in data], float)
+    views = quality.Views(x[:200], m[:200], y[:200])
+    w, quotas, sure = views.arrays(), views.quotas(60), 0.6
+    own = d.filter("doc_id >= 200").select("doc_id", "text", "source", "lang", "n_chars").withColumn("h", F.xxhash64("doc_id", "text"))
+    h = {r.doc_id: r.h for r in own.collect()}
+    taken = [set(list(h.values())[:30]), set()]
+    got = {k: [] for k in itertools.product(range(2), range(2))}
+    for r in quality.sure_of(own, w, quotas, taken, sure).collect():
+        got[r.to, r.label].append(r.h)
+    p = [[quality._sigmoid(w[f"{v}_cal"][0] * (row[i].astype(float) @ w[v][:-1] + w[v][-1]) + w[f"{v}_cal"][1]) for i in range(700)] for v, row in (("text", x), ("meta", m))]
+    for (to, label), hashes in got.items():
+        want = sorted(h[i] for i in h if (p[1 - to][i] if label else 1 - p[1 - to][i]) >= sure and h[i] not in taken[to])
+        assert sorted(hashes) == want[: quotas[label]]
+    assert sum(map(len, got.values())) > 60
+
+
+def test_metadata_of_like_names():
+    a, b = quality.metadata_rows(["news.example.com", "spam.example.com"], ["en", "en"], [1, 1])
+    assert (a != b).any()
+
+
+def test_quality_ties(spark):
+    """A document that is voted good as often as bad is good; null votes are none."""
+    d = docs(spark, [(*r[:5],) for r in labelled(200, 4)], "doc_id bigint, text string, source string, lang string, n_chars bigint")
+    votes = [(r[0], r[5]) for r in labelled(200, 4)]
+    tie = [(i, 1 - y) for i, y in votes if y]  # every good one is a tie now, and stays good
+    schema = "doc_id bigint, quality int"
+    once, twice = (rows(quality.score_quality(d, spark.createDataFrame(v, schema)).orderBy("doc_id")) for v in (votes, votes + tie + [(1, None)]))
+    assert once == twice
+
+
 def test_quality_edges(spark):
     d = docs(spark, [(*r, None, None, None) for r in EDGES], "doc_id bigint, text string, source string, lang string, n_chars bigint")
     none = spark.createDataFrame([], "doc_id bigint, quality int")
