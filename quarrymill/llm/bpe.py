@@ -34,7 +34,7 @@ UNIT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 LEAST_SHARE = 1 << 20
 #: Bytes of units, and of words, that a worker remembers; bytes of distinct units that it counts before passing them on.
 #: Only speed depends on them.
-MEMO, COUNTED = 32 << 20, 24 << 20
+MEMO, COUNTED = 64 << 20, 32 << 20
 INF = np.iinfo(np.int32).max
 LONG = 256
 
@@ -286,24 +286,19 @@ def encode_words(new: list[str], m) -> list[bytes]:
     return ids
 
 
-def _bytes(word: str, ids: bytes) -> int:
-    """What a remembered word takes, with its share of the table: two to four bytes a character if not ASCII."""
-    return 240 + len(word) * (1 if word.isascii() else 4) + len(ids)
-
-
 def encode_texts(texts: list[str], m, key: str = "") -> list[bytes]:
     """Ids of each text, as int32 bytes."""
     of_unit, of_word = common.memo(key, "units", MEMO), common.memo(key, "words", MEMO)
 
     def make(new: list[str]) -> list[bytes]:
         split = [PATTERN.findall(u) for u in new]
-        late = of_word.learn(set(chain.from_iterable(split)), lambda words: encode_words(words, m), _bytes)
+        late = of_word.learn(set(chain.from_iterable(split)), lambda words: encode_words(words, m))
         out = [b"".join(map(of_word.__getitem__, x)) for x in split]
         of_word.forget(late)
         return out
 
     split = [units(t) for t in texts]
-    late = of_unit.learn(set(chain.from_iterable(split)), make, _bytes)
+    late = of_unit.learn(set(chain.from_iterable(split)), make)
     out = [b"".join(map(of_unit.__getitem__, x)) for x in split]
     of_unit.forget(late)
     return out

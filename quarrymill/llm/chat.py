@@ -8,7 +8,7 @@ insert an empty turn. The repaired sequence is then rendered with markers.
 
 from __future__ import annotations
 
-from functools import lru_cache, partial
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -103,21 +103,24 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
 
     Turns come in the order of turn_col, nulls last; of equal numbers by role, then text, and a row that occurs twice is
     two turns. Roles are compared without case and outer white space; null and unknown ones are relabelled. Null text
-    is empty. Rows with a null id make one conversation with a null id. Long texts and long conversations are rendered
-    whole. Other columns are not read. An empty table gives none.
+    is empty. A row with a null id belongs to no other: it is a conversation of its own, with a null id. Long texts and
+    long conversations are rendered whole. Other columns are not read, whatever their names; where id_col is called as one
+    of the results is, that one gets an underscore. An empty table gives none.
     """
-    one = F.struct(F.col(turn_col).isNull().alias("a"), F.col(turn_col).alias("b"), F.col(role_col).alias("r"), F.col(text_col).alias("t"))
-    whole = turns.groupBy(id_col).agg(F.array_sort(F.collect_list(one)).alias("turns"))
-    whole = whole.select(id_col, F.transform("turns", lambda x: x["r"]).alias("r"), F.transform("turns", lambda x: x["t"]).alias("t"))
+    rows = common.pick(turns, id=id_col, turn=turn_col, role=role_col, text=text_col)
+    one = F.struct(F.col("turn").isNull().alias("a"), F.col("turn").alias("b"), F.col("role").alias("r"), F.col("text").alias("t"))
+    whole = rows.filter("id IS NOT NULL").groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("turns"))
+    whole = whole.union(rows.filter("id IS NULL").select("id", F.array(one)))
+    whole = whole.select("id", F.transform("turns", lambda x: x["r"]).alias("r"), F.transform("turns", lambda x: x["t"]).alias("t"))
     names = ["turns_in", "turns_out", "cost", "merges", "relabels", "inserts"]
-    ids = turns.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             done = [render(list(zip(r, t))) for r, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d["chat"] for d in done], pa.string()), *(pa.array([d[n] for d in done], pa.int64()) for n in names)], names=[id_col, "chat", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d["chat"] for d in done], pa.string()), *(pa.array([d[n] for d in done], pa.int64()) for n in names)], names=["id", "chat", *names])
 
-    return whole.mapInArrow(partial(run), f"`{id_col}` {ids}, chat string, " + ", ".join(f"{n} bigint" for n in names))
+    done = whole.mapInArrow(run, f"id {common.kind(turns, id_col)}, chat string, " + ", ".join(f"{n} bigint" for n in names))
+    return common.named(done, id_col, "chat", *names)
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

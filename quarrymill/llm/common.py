@@ -76,27 +76,39 @@ class Model:
         return _loaded[self.key][name]
 
 
+def _ascii(key: str | bytes) -> bool:
+    return isinstance(key, bytes) or key.isascii()
+
+
 class Memo(dict):
     """What a worker remembers of one kind: results by text, up to `room` bytes in all. When it is full it keeps what came
     first, which is mostly what is frequent. Only speed depends on it."""
 
+    LONG = 1000
+
     def __init__(self, room: int):
         super().__init__()
         self.room, self.held = room, 0
 
-    def learn(self, wanted: set, make, size) -> list:
-        """Holds the results of all of `wanted`: make(list) gives those of what is new, size(key, value) their bytes. The
-        keys that are returned are beyond the room and go again by forget()."""
+    def learn(self, wanted: set, make, size=len) -> list:
+        """Holds the results of all of `wanted`: make(list) gives those of what is new. The keys that are returned are
+        beyond the room and go again by forget(); so do keys of more than LONG characters or bytes. A key takes its length, four bytes a
+        character if any of them isn't ASCII, a value size(value), both with their share of the table."""
         new = list(wanted.difference(self))
-        late = []
-        for k, v in zip(new, make(new) if new else ()):
-            self[k] = v
-            need = size(k, v)
-            if self.held + need > self.room:
-                late.append(k)
-            else:
-                self.held += need
-        return late
+        if not new:
+            return new
+        made = make(new)
+        self.update(zip(new, made))
+        long = []
+        if max(map(len, new)) > self.LONG:
+            long = [k for k in new if len(k) > self.LONG]
+            short = [(k, v) for k, v in zip(new, made) if len(k) <= self.LONG]
+            new, made = [k for k, _ in short], [v for _, v in short]
+        wide = 1 if all(map(_ascii, new)) else 4
+        need = 240 * len(new) + wide * sum(map(len, new)) + sum(map(size, made))
+        fit = len(new) if self.held + need <= self.room else len(new) * (self.room - self.held) // need
+        self.held += need * fit // max(1, len(new))
+        return new[fit:] + long
 
     def forget(self, late: list) -> None:
         for k in late:
@@ -137,6 +149,12 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return flat.select(*(F.col(f"c{place(df, c)}").alias(new) for new, c in columns.items()))
 
 
+def sift(df: DataFrame, run) -> DataFrame:
+    """df, all columns, whatever their names, through run(batches), which leaves out rows."""
+    flat = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return flat.mapInArrow(run, flat.schema).toDF(*df.columns)
+
+
 def kind(df: DataFrame, name: str) -> str:
     """A column's type as DDL."""
     return df.schema[place(df, name)].dataType.simpleString()

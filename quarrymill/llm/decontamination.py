@@ -20,6 +20,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -63,7 +64,7 @@ def overlap(part: np.ndarray, passage: np.ndarray) -> float:
     return float(np.isin(own, ngrams(passage, n)).mean())
 
 
-def build_index(items: list[tuple[int, str]], least: float = LEAST_SCORE) -> dict[str, np.ndarray]:
+def build_index(items: list[tuple[int | str, str]], least: float = LEAST_SCORE) -> dict[str, np.ndarray]:
     """Postings sorted by term and item with normalised impacts, block maxima, term maxima; words of the items' parts."""
     items = sorted((i, t) for i, t in items if t and i is not None)
     words, at = text_words([t for _, t in items])
@@ -99,7 +100,7 @@ def build_index(items: list[tuple[int, str]], least: float = LEAST_SCORE) -> dic
     a, a_at = text_words([x for _, x in qa])
     small = np.zeros(1 << 16, bool)
     small[(vocab & np.uint64(0xFFFF)).astype(np.int64)] = True
-    return {"ids": np.array([i for i, _ in items], np.int64), "vocab": vocab, "small": small, "begin": begin, "item": d.astype(np.int64), "impact": impact, "top": top,
+    return {"ids": np.array([i for i, _ in items]), "vocab": vocab, "small": small, "begin": begin, "item": d.astype(np.int64), "impact": impact, "top": top,
             "rare": rare, "given": given, "block_at": np.concatenate([[0], np.cumsum(-(-df // BLOCK))]), "block_max": np.array([impact[x:y].max() for x, y in blocks]),
             "q": q, "q_at": q_at, "a": a, "a_at": a_at, "half": np.array([max(BACK, int(length.max()))])}
 
@@ -180,28 +181,32 @@ def reachable(term: np.ndarray, start: np.ndarray, doc: np.ndarray, k: np.ndarra
     return np.unique(passage[np.add.reduceat(value[order], first) + given[item] >= least - 1e-9])
 
 
-_memo: dict[tuple, list] = {}
+#: Bytes of passages that a worker remembers. Only speed depends on it.
+MEMO = 24 << 20
 
 
 def _passage(h: np.ndarray, term: np.ndarray, m, least: float, least_overlap: float) -> list[tuple[int, tuple[float, float, float]]]:
     """The leaked items of one passage. Copies of texts have the same passages, so that results are remembered."""
-    key = (getattr(m, "key", id(m)), least, least_overlap, h.tobytes())
-    if key in _memo:
-        return _memo[key]
-    out = []
-    terms = np.unique(term)
-    for item, score in block_max_wand(terms[terms >= 0], m, least):
-        q = overlap(np.asarray(m["q"][m["q_at"][item] : m["q_at"][item + 1]]), h)
-        a = overlap(np.asarray(m["a"][m["a_at"][item] : m["a_at"][item + 1]]), h)
-        if q >= least_overlap and a >= least_overlap:
-            out.append((item, (score, q, a)))
-    if len(_memo) > 20_000:
-        _memo.clear()
-    _memo[key] = out
-    return out
-
-
-def find_leaks(texts: list[str | None], m, least: float = LEAST_SCORE, least_overlap: float = LEAST_OVERLAP) -> list[tuple[int, int, float, float, float]]:
+    memo = common.memo(getattr(m, "key", str(id(m))), f"passages {least} {least_overlap}", MEMO)
+
+    def make(_: list) -> list:
+        out = []
+        terms = np.unique(term)
+        for item, score in block_max_wand(terms[terms >= 0], m, least):
+            q = overlap(np.asarray(m["q"][m["q_at"][item] : m["q_at"][item + 1]]), h)
+            a = overlap(np.asarray(m["a"][m["a_at"][item] : m["a_at"][item + 1]]), h)
+            if q >= least_overlap and a >= least_overlap:
+                out.append((item, (score, q, a)))
+        return [out]
+
+    key = h.tobytes()
+    late = memo.learn({key}, make, lambda v: 60 + 200 * len(v))
+    found = memo[key]
+    memo.forget(late)
+    return found
+
+
+def find_leaks(texts: list[str | None], m, least: float = LEAST_SCORE, least_overlap: float = LEAST_OVERLAP) -> list[tuple[int, int | str, float, float, float]]:
     """(text, item, score, question's overlap, answer's overlap) of each text's leaked items; the best passage counts."""
     if not len(m["ids"]):
         return []
@@ -226,50 +231,60 @@ def find_leaks(texts: list[str | None], m, least: float = LEAST_SCORE, least_ove
             key = (int(doc[p]), item)
             best[key] = max(best.get(key, (0.0, 0.0, 0.0)), x)
     ids = m["ids"]
-    return [(d, int(ids[i]), *x) for (d, i), x in sorted(best.items())]
+    return [(d, ids[i].item(), *x) for (d, i), x in sorted(best.items())]
+
+
+def item_kind(benchmark: DataFrame, item_col: str) -> str:
+    """Items are named by whole numbers or else by strings."""
+    return "bigint" if common.kind(benchmark, item_col) in ("tinyint", "smallint", "int", "bigint") else "string"
 
 
 def index(benchmark: DataFrame, item_col: str, text_col: str, least: float) -> common.Model:
     """The index grows with the test items alone, never with the corpus."""
-    items = [tuple(r) for r in benchmark.select(item_col, text_col).dropna().distinct().collect()]
+    own = common.pick(benchmark, item=item_col, text=text_col).select(F.col("item").cast(item_kind(benchmark, item_col)), "text")
+    items = [tuple(r) for r in own.dropna().distinct().collect()]
     return common.Model(benchmark.sparkSession, "benchmark", build_index(items, least))
 
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """(id_col, item_col BIGINT, score DOUBLE, question DOUBLE, answer DOUBLE): a row for each test item that a row of docs leaks.
+    """(id_col, item_col, score DOUBLE, question DOUBLE, answer DOUBLE): a row for each test item that a row of docs leaks.
+    Items are BIGINT, or STRING where item_col is no whole number.
 
     Whole texts of any length are searched, in one pass without a shuffle. Null and empty texts and items leak nothing.
     Items with the same text are all reported; an item id with two texts is reported for each. Rows that occur twice
-    are reported twice, null ids with their own rows. Other columns are not read. An empty table on either side gives none.
+    are reported twice, null ids with their own rows. Other columns are not read, whatever their names; where id_col is
+    called as another of the results is, that one gets an underscore. An empty table on either side gives none.
     """
     model = index(benchmark, item_col, item_text, least)
-    ids = docs.schema[id_col].dataType.simpleString()
+    item = item_kind(benchmark, item_col)
 
     def run(batches, model):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in common.chunks(texts):
                 if found := find_leaks(texts[a:b], model, least):
-                    row, item, score, q, ans = zip(*found)
+                    row, leaked, score, q, ans = zip(*found)
                     take = batch.column(0).take(pa.array([r + a for r in row]))
-                    yield pa.RecordBatch.from_arrays([take, pa.array(item, pa.int64()), *(pa.array([round(v, 6) for v in x], pa.float64()) for x in (score, q, ans))], names=[id_col, item_col, "score", "question", "answer"])
+                    yield pa.RecordBatch.from_arrays([take, pa.array(leaked, pa.int64() if item == "bigint" else pa.string()), *(pa.array([round(v, 6) for v in x], pa.float64()) for x in (score, q, ans))], names=["id", "item", "score", "question", "answer"])
 
-    return docs.select(id_col, text_col).mapInArrow(partial(run, model=model), f"`{id_col}` {ids}, `{item_col}` bigint, score double, question double, answer double")
+    done = common.pick(docs, id=id_col, text=text_col).mapInArrow(partial(run, model=model), f"id {common.kind(docs, id_col)}, item {item}, score double, question double, answer double")
+    return common.named(done, id_col, item_col, "score", "question", "answer")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs, all columns, that leak no test item."""
-    model = index(benchmark, item_col, item_text, least)
+    """The rows of docs, all columns, that leak no test item. Null and empty texts stay; rows that occur twice stay or go
+    alike; columns may have any names; an empty table stays empty, and with no test items all rows stay."""
+    model, at = index(benchmark, item_col, item_text, least), common.place(docs, text_col)
 
     def run(batches, model):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            texts = batch.column(at).to_pylist()
             keep = np.ones(len(texts), bool)
             for a, b in common.chunks(texts):
                 keep[[r + a for r, *_ in find_leaks(texts[a:b], model, least)]] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(partial(run, model=model), docs.schema)
+    return common.sift(docs, partial(run, model=model))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,9 @@ A page is cut into leaf blocks, the runs of text between block-level tags. Each
 and its words, both hashed with signs, and a few shares and sizes. A bidirectional LSTM (numpy alone) reads the page's
 blocks in order, so that each is classified by what stands before and behind it; blocks of content make the text.
 
-It is trained here on a bounded sample of pages. Their labels come from pages that name their parts: what is inside
-<article> or <main> is content, what is inside <nav>, <aside>, <footer>, <header>, <form> or an element whose class or
-id says so is not, other blocks have no label. In training, path elements that say so are hidden at random, so that the
+It is trained here on a bounded sample of the pages that name their parts: what is inside <article> or <main> is content,
+what is inside <nav>, <aside>, <footer>, <header>, <form> or an element whose class or id says so is not, other blocks have
+no label. Pages are trained on whole, those of more than WINDOW blocks in windows. In training, path elements that say so are hidden at random, so that the
 labeller has to learn from words, sizes and neighbours as well. Pages run in lockstep: a lane is a page, a step a block.
 """
 
@@ -19,13 +19,15 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Pages in the sample that trains, at most about; and turns over them.
-SAMPLE, TURNS, HIDDEN, RATE, HIDE = 240, 24, 16, 0.02, 0.6
+#: Pages in the sample that trains, at most about; turns over them; blocks of a window; windows of the sample, at most,
+#: drawn from all over its pages where there are more.
+SAMPLE, TURNS, WINDOW, WINDOWS = 240, 24, 512, 960
+HIDDEN, RATE, HIDE = 16, 0.02, 0.6
 PATH, WORDS, SHAPE = 24, 24, 6
 WIDTH = PATH + WORDS + SHAPE
 
@@ -47,7 +49,7 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}
 def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
     """(text, path, characters within links) of each leaf block; white space is collapsed, blank blocks are left out.
 
-    Path elements are tag names, and `tag.word` for the first word of class, id or role. Broken markup is read as far
+    Path elements are tag names, with the words of class, id and role behind dots. Broken markup is read as far
     as it goes: an end tag without a start is ignored, what is left open ends with the page.
     """
     out: list[tuple[str, tuple[str, ...], int]] = []
@@ -94,9 +96,8 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
             continue
         if path and tag in CLOSES and path[-1].partition(".")[0] in CLOSES[tag]:
             path.pop()
-        if "=" in m[4] and (role := ROLE.search(m[4])):
-            words = (role[1] or role[2] or role[3] or "").lower().split()
-            path.append(f"{tag}.{words[0]}" if words else tag)
+        if "=" in m[4]:
+            path.append(".".join([tag, *(w for r in ROLE.finditer(m[4]) for w in (r[1] or r[2] or r[3] or "").lower().replace(".", "-").split())]))
         else:
             path.append(tag)
     flush()
@@ -107,8 +108,8 @@ def hints(path: tuple[str, ...]) -> list[int]:
     """Of each path element 1 if it tells content, 0 if it tells the opposite, else -1."""
     out = []
     for x in path:
-        tag, _, word = x.partition(".")
-        out.append(0 if tag in CHROME or word in CHROME or tag in HEADLESS else 1 if tag in CONTENT or word in CONTENT else -1)
+        tag, *words = x.split(".")
+        out.append(0 if tag in CHROME or tag in HEADLESS or not CHROME.isdisjoint(words) else 1 if tag in CONTENT or not CONTENT.isdisjoint(words) else -1)
     return out
 
 
@@ -117,24 +118,30 @@ def label(path: tuple[str, ...]) -> int:
     return next((h for h in reversed(hints(path)) if h >= 0), -1)
 
 
-_signs: dict[tuple[str, int], np.ndarray] = {}
+_elements: dict[str, np.ndarray] = {}
+
+
+def element_vector(x: str) -> np.ndarray:
+    """Signs by the hash of the tag with each of its words, of the tag alone if it has none."""
+    if x not in _elements:
+        if len(_elements) > 50_000:
+            _elements.clear()
+        tag, *words = x.split(".")
+        total = np.zeros(PATH, np.float32)
+        for name in [f"{tag}.{w}" for w in words] or [tag]:
+            h = xxhash.xxh64_intdigest(name.encode("utf-8", "replace"))
+            total += np.array([1.0 if h >> i & 1 else -1.0 for i in range(PATH)], np.float32)
+        _elements[x] = total / max(1.0, float(np.sqrt(len(words))))
+    return _elements[x]
 
 
 def path_vector(path: tuple[str, ...]) -> np.ndarray:
     total = np.zeros(PATH, np.float32)
     for depth, x in enumerate(reversed(path)):
-        if x not in _elements:
-            if len(_elements) > 50_000:
-                _elements.clear()
-            h = xxhash.xxh64_intdigest(x.encode("utf-8", "replace"))
-            _elements[x] = np.array([1.0 if h >> i & 1 else -1.0 for i in range(PATH)], np.float32)
-        total += _elements[x] / (1 + 0.5 * depth)
+        total += element_vector(x) / (1 + 0.5 * depth)
     return total / max(1.0, float(np.sqrt(len(path))))
 
 
-_elements: dict[str, np.ndarray] = {}
-
-
 def features(pages: list[list[tuple[str, tuple[str, ...], int]]]) -> np.ndarray:
     """(blocks, WIDTH), of all pages' blocks in a row."""
     flat = [b for p in pages for b in p]
@@ -247,7 +254,10 @@ def forward(x: np.ndarray, live: np.ndarray, p, keep: tuple[list, list] | None =
 
 def train(pages: list[list[tuple[str, tuple[str, ...], int]]], turns: int = TURNS, seed: int = 5) -> dict[str, np.ndarray]:
     """Weights fitted to the labels that the pages' paths tell; {} if none tells both kinds."""
-    pages = [p[:512] for p in pages if any(label(b[1]) >= 0 for b in p)]  # so long a piece of a page teaches enough
+    pages = [p[i : i + WINDOW] for p in pages for i in range(0, len(p), WINDOW)]
+    pages = [p for p in pages if any(label(b[1]) >= 0 for b in p)]
+    if len(pages) > WINDOWS:
+        pages = [pages[i] for i in sorted(np.random.default_rng(seed).permutation(len(pages))[:WINDOWS].tolist())]
     told = {label(b[1]) for p in pages for b in p}
     if not {0, 1} <= told:
         return {}
@@ -308,23 +318,35 @@ def classify(pages: list[list[tuple[str, tuple[str, ...], int]]], p) -> list[np.
     return out
 
 
+def _marks(html_col: str, names: frozenset[str]) -> Column:
+    """Whether the markup seems to have an element or a class, id or role of one of these names."""
+    either = "|".join(sorted(names))
+    return F.rlike(html_col, F.lit(rf"(?i)<(?:{either})[\s/>]|\b(?:class|id|role)\s*=\s*[\"']?(?:[^\"'>]*\s)?(?:{either})[\s\"'>]"))
+
+
 def fit(pages: DataFrame, html_col: str, sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """From about `sample` pages, chosen by the hash of their HTML."""
-    full = pages.filter(F.length(html_col) > 0).select(html_col)
-    some = full.filter(common.share(F.col(html_col), sample, full.count())).distinct()
-    return train([blocks(t) for t in sorted(r[0] for r in some.collect())])
+    """From about `sample` different pages among those that have marks of both kinds, or of any kind if none has both,
+    chosen by the hash of their HTML."""
+    full = common.pick(pages, html=html_col).filter(F.length("html") > 0)
+    both, any_ = _marks("html", CONTENT) & _marks("html", CHROME), _marks("html", CONTENT | CHROME)
+    for marked in (both, any_):
+        total = full.filter(marked).select(F.xxhash64("html").alias("h")).distinct().count()
+        if total:
+            some = full.filter(marked & common.share(F.col("html"), sample, total)).distinct()
+            return train([blocks(t) for t in sorted(r[0] for r in some.collect())])
+    return {}
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(id_col, text STRING, blocks, kept BIGINT): one row for each row of pages; text is the kept blocks, a line each.
 
     Null HTML has null text and 0 blocks; empty HTML and such without text have an empty text. Whole pages are read,
-    whatever their length. If the sample names no content, or nothing but content, all blocks are kept. Null and repeated
-    ids are passed on with their own rows. Other columns are not read. An empty table gives none.
+    whatever their length. If no page names content, or none anything but content, all blocks are kept. A block whose
+    log-odds are 0 goes. Null and repeated ids are passed on with their own rows. Other columns are not read, whatever
+    their names; where id_col is called as one of the results is, that one gets an underscore. An empty table gives none.
     """
     p = fit(pages, html_col)
     model = common.Model(pages.sparkSession, "blocks", p)
-    ids = pages.schema[id_col].dataType.simpleString()
 
     def run(batches, model):
         for batch in batches:
@@ -336,10 +358,11 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
                 null = np.array([t is None for t in sources[a:b]], bool)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array([None if n else t for n, t in zip(null, texts)], pa.string()), pa.array([len(x) for x in found], pa.int64()), pa.array([int((o > 0).sum()) for o in odds], pa.int64())],
-                    names=[id_col, "text", "blocks", "kept"],
+                    names=["id", "text", "blocks", "kept"],
                 )
 
-    return pages.select(id_col, html_col).mapInArrow(partial(run, model=model), f"`{id_col}` {ids}, text string, blocks bigint, kept bigint")
+    done = common.pick(pages, id=id_col, html=html_col).mapInArrow(partial(run, model=model), f"id {common.kind(pages, id_col)}, text string, blocks bigint, kept bigint")
+    return common.named(done, id_col, "text", "blocks", "kept")
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

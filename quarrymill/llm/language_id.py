@@ -262,7 +262,7 @@ def keep_known_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str
             keep = [k for a, b in common.chunks(texts, 2 * common.CHUNK) for k in judge(texts[a:b], names, model)[3]]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(partial(run, model=model), docs.schema)
+    return common.sift(docs, partial(run, model=model))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

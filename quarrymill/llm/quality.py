@@ -295,7 +295,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             keep = [p >= least for *_, p in _scored([batch.column(i).to_pylist() for i in wanted], model, bool(m))]
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
-    return docs.mapInArrow(partial(run, model=model), docs.schema)
+    return common.sift(docs, partial(run, model=model))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

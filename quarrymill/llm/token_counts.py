@@ -27,7 +27,7 @@ from . import common
 UNIT = re.compile(r" *[^ \n]+| +|\n")
 UNK_PENALTY = 10.0
 #: Bytes of units that a worker remembers. Only speed depends on it.
-MEMO = 48 << 20
+MEMO = 64 << 20
 
 
 def vocabulary(path: str = f"{common.TOKENIZERS}/piece_bpe_32k.model") -> list[tuple[str, float]]:
@@ -131,16 +131,12 @@ def count_units(units: list[str], m) -> np.ndarray:
     return out
 
 
-def _bytes(unit: str, _: int) -> int:
-    return 200 + len(unit) * (1 if unit.isascii() else 4)
-
-
 def count_texts(texts: list[str | None], model, key: str = "") -> list[int | None]:
     memo = common.memo(key, "counts", MEMO)
     out: list[int | None] = []
     for a, b in common.chunks(texts):
         split = [None if t is None else UNIT.findall(" " + t.replace("▁", " ")) if t else [] for t in texts[a:b]]
-        late = memo.learn({u for x in split if x for u in x}, lambda new: count_units(new, model).tolist(), _bytes)
+        late = memo.learn({u for x in split if x for u in x}, lambda new: count_units(new, model).tolist(), lambda n: 8)
         out += [None if x is None else sum(map(memo.__getitem__, x)) for x in split]
         memo.forget(late)
     return out

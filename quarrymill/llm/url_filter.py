@@ -30,7 +30,7 @@ SEEDS = (
 BUCKETS, SMOOTH = 1 << 18, 0.5
 #: A URL is blocked from this log-odds on.
 LEAST = 0.0
-LONGEST, NO_WORD, NO_WORD_CHAR = 20, math.log(1e-6), math.log(1e-2)
+NO_WORD, NO_WORD_CHAR = math.log(1e-6), math.log(1e-2)
 #: Hosts whose words a worker remembers. Only speed depends on it.
 MEMO = 200_000
 
@@ -45,19 +45,20 @@ def word_costs(path: str = VOCAB) -> dict[str, float]:
         found = json.load(f)["model"]["vocab"]
     ranked = sorted((i, w[:-4]) for w, i in found.items() if w.endswith("</w>") and w[:-4].isalpha() and (len(w) > 5 or w[0] in "ai"))
     total = math.log(len(ranked) or 1) + 0.5772
-    return {w: -math.log((r + 1) * total) for r, (_, w) in enumerate(ranked) if len(w) <= LONGEST}
+    return {w: -math.log((r + 1) * total) for r, (_, w) in enumerate(ranked)}
 
 
-def segment(name: str, words: dict[str, float]) -> list[str]:
+def segment(name: str, words: dict[str, float], longest: int | None = None) -> list[str]:
     """The likeliest split of a name into words and stretches that are none; of equal ones that with the fewest parts,
     then the one whose last part is longest."""
     n = len(name)
+    longest = max(map(len, words), default=0) if longest is None else longest
     best: list[tuple[float, int, int]] = [(0.0, 0, 0)]  # score, -parts, where the last part begins
     # A stretch that is no word: its start costs once, each character again. `open_` carries the best start.
     open_ = (0.0, 0, 0)
     for i in range(1, n + 1):
         top = (open_[0] + NO_WORD + NO_WORD_CHAR * i, open_[1] - 1, open_[2])
-        for j in range(max(0, i - LONGEST), i):
+        for j in range(max(0, i - longest), i):
             p = words.get(name[j:i])
             if p is not None:
                 new = (best[j][0] + p, best[j][1] - 1, j)
@@ -83,7 +84,8 @@ def split_url(url: str) -> tuple[str, str]:
 
 
 def host_words(host: str, words: dict[str, float]) -> list[str]:
-    return [w for x in NAME.findall(host) for w in ([x] if x.isdigit() else segment(x, words))]
+    longest = max(map(len, words), default=0)
+    return [w for x in NAME.findall(host) for w in ([x] if x.isdigit() else segment(x, words, longest))]
 
 
 def tokens(url: str, split) -> tuple[list[str], list[str]]:
@@ -128,7 +130,7 @@ def count_tokens(urls: DataFrame, url_col: str, seeds: list[str], vocab: str) ->
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0][some]), pa.array(total[1][some])], names=["b", "good", "bad"])
 
     out = np.zeros((2, BUCKETS + 1), np.int64)
-    for r in urls.select(url_col).mapInArrow(run, "b bigint, good bigint, bad bigint").groupBy("b").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect():
+    for r in common.pick(urls, url=url_col).mapInArrow(run, "b bigint, good bigint, bad bigint").groupBy("b").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect():
         out[:, r.b] = r.good, r.bad
     return out
 
@@ -150,11 +152,11 @@ def filter_urls(urls: DataFrame, id_col: str = "page_id", url_col: str = "url",
     score is the log-odds that the URL is unwanted. A null URL has null words and score and isn't blocked; an empty one
     has no words and the classes' odds. URLs of any length are read whole. If no URL has a seed word none is blocked.
     Null and repeated ids are passed on with their own rows, and repeated rows count as often as they occur. Other
-    columns are not read. An empty table gives none.
+    columns are not read, whatever their names; where id_col is called as one of the results is, that one gets an
+    underscore. An empty table gives none.
     """
     weight, prior = bayes(count_tokens(urls, url_col, list(seeds), vocab))
     model = common.Model(urls.sparkSession, "urls", {"weight": weight})
-    ids = urls.schema[id_col].dataType.simpleString()
 
     def run(batches, model):
         split, w = splitter(vocab), np.asarray(model["weight"])
@@ -170,9 +172,10 @@ def filter_urls(urls: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 names.append(" ".join(words))
                 score.append(round(prior + float(w[list(map(bucket, t))].sum()), 6))
             blocked = [s is not None and s >= least for s in score]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(blocked, pa.bool_())], names=[id_col, "host_words", "score", "blocked"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(blocked, pa.bool_())], names=["id", "host_words", "score", "blocked"])
 
-    return urls.select(id_col, url_col).mapInArrow(partial(run, model=model), f"`{id_col}` {ids}, host_words string, score double, blocked boolean")
+    done = common.pick(urls, id=id_col, url=url_col).mapInArrow(partial(run, model=model), f"id {common.kind(urls, id_col)}, host_words string, score double, blocked boolean")
+    return common.named(done, id_col, "host_words", "score", "blocked")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

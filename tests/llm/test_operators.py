@@ -4,6 +4,7 @@ import base64
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -117,21 +118,41 @@ def test_best_bin_first_yields_all_leaves_in_order():
 
 
 def slow_leaks(texts, items, least, least_overlap):
-    m = decontamination.build_index(items, least)
-    vocab = {v: i for i, v in enumerate(m["vocab"].tolist())}
-    half, out = int(m["half"][0]), {}
+    """By words as strings and BM25 written out; none of the operator's code."""
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
+    own = {i: words(t) for i, t in items}
+    own = {i: w for i, w in own.items() if w}
+    mean, n = np.mean([len(w) for w in own.values()]), len(own)
+
+    def weight(word, w):
+        df = sum(word in x for x in own.values())
+        tf = w.count(word)
+        return math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+
+    impact = {i: {x: weight(x, w) for x in set(w)} for i, w in own.items()}
+    impact = {i: {x: v / sum(ws.values()) for x, v in ws.items()} for i, ws in impact.items()}
+
+    def parts(text):
+        p = [x for x in re.split(r"(?<=[.!?])\s+|\n+", text) if re.search(r"\w", x)]
+        return words(" ".join(p[:-1])), words(p[-1])
+
+    def share(part, passage):
+        k = min(3, len(part))
+        grams = lambda w: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}
+        return len(grams(part) & grams(passage)) / len(grams(part))
+
+    half, out = max(64, *(len(w) for w in own.values())), {}
+    qa = {i: parts(t) for i, t in items}
     for d, text in enumerate(texts):
-        h, _ = decontamination.text_words([text])
-        for lo in range(0, max(1, len(h) - half), half):
-            part = h[lo : lo + 2 * half]
-            have = {vocab[w] for w in part.tolist() if w in vocab}
-            for i, item in enumerate(m["ids"].tolist()):
-                score = sum(m["impact"][p] for t in have for p in range(m["begin"][t], m["begin"][t + 1]) if m["item"][p] == i)
+        w = words(text)
+        for lo in range(0, max(1, len(w) - half), half):
+            passage = w[lo : lo + 2 * half]
+            for i in own:
+                score = sum(v for x, v in impact[i].items() if x in set(passage))
                 if score >= least - 1e-9:
-                    q = decontamination.overlap(m["q"][m["q_at"][i] : m["q_at"][i + 1]], part)
-                    a = decontamination.overlap(m["a"][m["a_at"][i] : m["a_at"][i + 1]], part)
+                    q, a = (share(x, passage) for x in qa[i])
                     if q >= least_overlap and a >= least_overlap:
-                        out[d, item] = max(out.get((d, item), (0, 0, 0)), (score, q, a))
+                        out[d, i] = max(out.get((d, i), (0, 0, 0)), (score, q, a))
     return out
 
 
@@ -201,10 +222,12 @@ def test_chat_repair_by_brute_force(n):
 
 
 def test_chat_edges(spark):
-    data = [(1, 2, "assistant", "yes <|im_end|>"), (1, 1, " USER ", "hi"), (2, 1, "user", None), (2, 2, "user", "b"), (2, None, "assistant", LONG), (None, 1, None, "x"), (3, 1, "user", "q"), (3, 1, "user", "q"), (3, 2, "assistant", "z")]
+    data = [(1, 2, "assistant", "yes <|im_end|>"), (1, 1, " USER ", "hi"), (2, 1, "user", None), (2, 2, "user", "b"), (2, None, "assistant", LONG), (None, 1, None, "x"), (3, 1, "user", "q"), (3, 1, "user", "q"), (3, 2, "assistant", "z"), (None, 1, "assistant", "y")]
     got = {r.conv_id: r for r in chat.format_chats(docs(spark, data, "conv_id bigint, turn bigint, role string, text string")).collect()}
     assert got[1].chat == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyes < |im_end|><|im_end|>\n" and got[1].cost == 0
-    assert got[2].merges == 1 and len(got[2].chat) > len(LONG) and got[None].turns_out == 2 and got[3].merges == 1 and "q\nq" in got[3].chat
+    assert got[2].merges == 1 and len(got[2].chat) > len(LONG) and got[3].merges == 1 and "q\nq" in got[3].chat
+    alone = [r for r in chat.format_chats(docs(spark, data, "conv_id bigint, turn bigint, role string, text string")).collect() if r.conv_id is None]
+    assert sorted((r.turns_in, r.turns_out) for r in alone) == [(1, 2), (1, 2)]  # each by itself
     assert rows(chat.format_chats(docs(spark, [], "conv_id bigint, turn bigint, role string, text string"))) == []
 
 
@@ -543,6 +566,54 @@ def test_url_filter_finds_company_of_seeds(spark):
     assert not any(r[3] for r in plain) and rows(url_filter.filter_urls(d.limit(0))) == []
 
 
+def test_bayes_by_brute_force(spark):
+    """Scores of all URLs, with counts and logarithms written out over plain dictionaries of tokens."""
+    rng = random.Random(14)
+    hosts = ["casino-win.example.com", "poker-win.example.net", "bestwin.example.org", "news-paper.example.com", "catalog.example.org", "win-forum.example.com"]
+    urls = [(i, f"https://{rng.choice(hosts)}/{rng.choice(['a', 'play', 'read'])}/{rng.randint(1, 999)}") for i in range(300)]
+    split = url_filter.splitter(url_filter.VOCAB)
+    seeds, seen = {"casino", "poker"}, {}
+    count = {True: {}, False: {}}
+    n = {True: 0, False: 0}
+    for i, u in urls:
+        words, t = url_filter.tokens(u, split)
+        seen[i], bad = t, bool(seeds & set(words))
+        n[bad] += 1
+        for x in t:
+            count[bad][x] = count[bad].get(x, 0) + 1
+    kinds = len(set(count[True]) | set(count[False]))
+    odds = lambda t: math.log(n[True] / n[False]) + sum(math.log((count[True].get(x, 0) + 0.5) / (sum(count[True].values()) + 0.5 * kinds)) - math.log((count[False].get(x, 0) + 0.5) / (sum(count[False].values()) + 0.5 * kinds)) for x in t)
+    got = {r.page_id: r for r in url_filter.filter_urls(docs(spark, urls, "page_id bigint, url string"), seeds=list(seeds)).collect()}
+    assert all(abs(got[i].score - odds(t)) < 1e-5 and got[i].blocked == (got[i].score >= 0) for i, t in seen.items())
+
+
+def test_hidden_seeds_are_found_by_their_company(spark):
+    """Half of the seed words are hidden: of the farms' hosts that have only hidden ones most are found, of others none."""
+    rng = random.Random(15)
+    seeds = sorted(url_filter.SEEDS)
+    shown = seeds[::2]
+    farm, plain = ["win", "free", "bonus", "deal", "click", "instant"], ["garden", "music", "river", "school", "city", "paper", "train", "stone"]
+    urls, hidden = [], set()
+    for i in range(2000):
+        if i % 5 == 0:
+            word = rng.choice(seeds)
+            urls.append((i, f"http://{rng.choice(farm)}{word}{rng.choice(farm)}.example.com/{rng.choice(farm)}/{i}"))
+            if word not in shown:
+                hidden.add(i)
+        else:
+            urls.append((i, f"http://{rng.choice(plain)}{rng.choice(plain)}.example.com/{rng.choice(plain)}/{i}"))
+    got = {r.page_id: r.blocked for r in url_filter.filter_urls(docs(spark, urls, "page_id bigint, url string"), seeds=shown).collect()}
+    assert len(hidden) > 150 and np.mean([got[i] for i in hidden]) > 0.9 and not any(b for i, b in got.items() if i % 5)
+
+
+def test_segmentation_ties():
+    """Of equal scores the split of fewest parts, then that whose last part is longest."""
+    words = {"ab": -2.0, "cd": -2.0, "a": -1.0, "b": -1.0, "abcd": -4.0, "abc": -2.0, "d": -2.0}
+    assert url_filter.segment("abcd", words) == ["abcd"]
+    del words["abcd"]
+    assert url_filter.segment("abcd", words) == ["ab", "cd"]
+
+
 # 10
 
 PAGE = "<html><head><title>t</title><style>x</style></head><body><nav><ul><li><a href=/a>home</a></ul></nav><div class=ad>buy now</div><article><h1>Head</h1><p>A long <b>text</b> of words &amp; more.<br>Another line.</article><!-- c --><script>no()</script><footer>&copy; foot</footer></body>"
@@ -598,3 +669,94 @@ def test_chunks_cover_all():
     texts = ["a" * 10, None, "", "b" * 50, "c"]
     parts = list(common.chunks(texts, 20))
     assert parts[0][0] == 0 and parts[-1][1] == 5 and all(a[1] == b[0] for a, b in zip(parts, parts[1:])) and list(common.chunks([])) == []
+
+
+def test_forward_pass_by_brute_force():
+    """The labeller's log-odds against a bidirectional LSTM written out for one block at a time."""
+    rng = np.random.default_rng(16)
+    p = {k: (v + 0.1 * rng.normal(size=v.shape)).astype(np.float32) for k, v in html_blocks.initial().items()}
+    pages = [[(f"some words {i} here {'and more ' * (i % 4)}.", ("html", "div.a.b" if i % 2 else "nav", "p"), i % 3) for i in range(n)] for n in (1, 7, 3, 12)]
+    hidden, sig = html_blocks.HIDDEN, lambda z: 1 / (1 + np.exp(-z))
+
+    def run(x, w, c0):
+        h, c, out = np.zeros(hidden), np.zeros(hidden), []
+        for row in x:
+            z = np.concatenate([row, h]) @ w + c0
+            c = sig(z[hidden : 2 * hidden]) * c + sig(z[:hidden]) * np.tanh(z[2 * hidden : 3 * hidden])
+            h = sig(z[3 * hidden :]) * np.tanh(c)
+            out.append(h)
+        return np.array(out)
+
+    for page, got in zip(pages, html_blocks.classify(pages, p)):
+        x = html_blocks.features([page]).astype(float)
+        seen = np.concatenate([run(x, p["wf"], p["cf"]), run(x[::-1], p["wb"], p["cb"])[::-1], x], 1)
+        assert np.allclose(got, seen @ p["out"] + p["bias"][0], atol=1e-4)
+
+
+def test_all_words_of_all_roles_count():
+    found = html_blocks.blocks("<div id=x class='big sidebar'><p>one</p></div><div class='a.b main'>two</div>")
+    assert found[0][1] == ("div.x.big.sidebar", "p") and [html_blocks.label(b[1]) for b in found] == [0, 1]
+
+
+def test_rare_marks_train(spark):
+    """Pages of plain divs by the thousand, and copies of one, don't keep the few marked ones from training."""
+    marked = [(i, f"<nav><p>menu {i}</p></nav><article><p>{'a long story of many words. ' * 5}{i}</p></article>") for i in range(12)]
+    plain = [(100 + i, f"<div><p>text {i % 300}</p></div>") for i in range(1500)] + [(5000 + i, marked[0][1]) for i in range(500)]
+    got = {r.page_id: r for r in html_blocks.extract_text(docs(spark, marked + plain, "page_id bigint, html string")).collect()}
+    assert all(got[i].kept == 1 and "story" in got[i].text for i in range(12))
+
+
+# all
+
+
+def test_one_memo_of_a_worker():
+    m = bpe.merge_tables(bpe.read_ranks())
+    m |= bpe.transducer({})
+    for key in ("one", "two", "three"):
+        bpe.encode_texts(["some text of words " + "x" * 5000, "and others"], m, key)
+    assert common._memo_key == "three" and set(common._memos) == {"units", "words"}
+    assert all(0 < memo.held < 10_000 and not any(len(k) > 1000 for k in memo) for memo in common._memos.values())
+    small = common.memo("four", "x", 2000)
+    late = small.learn({f"key{i}" for i in range(50)}, lambda new: [b"v"] * len(new))
+    assert len(small) == 50 and len(late) >= 40 and small.held <= 2000
+    small.forget(late)
+    assert len(small) == 50 - len(late) and set(common._memos) == {"x"}
+
+
+OPERATORS = {
+    "op1": lambda d, i: token_counts.token_counts(d, i),
+    "op3": lambda d, i: decontamination.benchmark_leaks(d, d.sparkSession.createDataFrame([("q1", "word and more words word and more words. word and")], "doc_id string, text string"), i, item_col="doc_id"),
+    "op5": lambda d, i: bpe.bpe_encode(d, i),
+    "op6": lambda d, i: quality.score_quality(d, d.sparkSession.createDataFrame([(1, 0), (2, 1)], f"`{i}` bigint, quality int"), i),
+    "op7": lambda d, i: language_id.identify_language(d, i),
+    "op8": lambda d, i: near_dedup.near_duplicates(d, i),
+    "op9": lambda d, i: url_filter.filter_urls(d, i, "text"),
+    "op10": lambda d, i: html_blocks.extract_text(d, i, "text"),
+    "op4": lambda d, i: chat.format_chats(d, i, "n_chars", "lang", "source"),
+    "op2": lambda d, i: neighbours.nearest_neighbours(d, i),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+@pytest.mark.parametrize("id_col", ["tokens", "sig", "n_tokens", "rank", "keep", "group_id", "text_"])
+def test_clashing_names(spark, name, id_col):
+    """Ids called as results or inner columns are, and columns that differ from others by case alone or look like inner ones."""
+    d = spark.createDataFrame([(1, "word and more words " * 20, "en", "s", 3), (2, "word and more words " * 20, "en", "s", 3), (3, None, None, None, None)], f"`{id_col}` bigint, text string, lang string, source string, n_chars bigint")
+    clash = d.columns + ["TEXT", id_col.upper(), "__quarrymill_place", "__quarrymill_n", "__quarrymill_id", "c0", "c1", "rid", "times", "id", "item", "h"]
+    d = d.select("*", *(F.lit("clash") for _ in clash[5:])).toDF(*clash)
+    if name == "op2":
+        d = d.toDF(*(f"c{i}" for i in range(len(clash)))).withColumn("v", F.array(F.lit(1.0), F.col("c0").cast("double"))).toDF(*clash, "embedding")
+    out = OPERATORS[name](d, id_col)
+    assert out.columns[0] == id_col and len({c.lower() for c in out.columns}) == len(out.columns)
+    assert {r[0] for r in out.collect()} <= {1, 2, 3, None}
+
+
+@pytest.mark.parametrize("keep", ["good", "known", "one", "leaks"])
+def test_filters_with_clashing_names(spark, keep):
+    d = spark.createDataFrame([(1, "word and more words " * 20, "en", "s", 3), (2, "word and more words " * 20, "en", "s", 3), (3, None, None, None, None)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    names = d.columns + ["TEXT", "DOC_ID", "__quarrymill_place", "c0", "rid", "keep", "times"]
+    d = d.select("*", *(F.lit("clash") for _ in names[5:])).toDF(*names)
+    one = d.sparkSession.createDataFrame([(1, "word and more words word and more words. word and")], "item_id bigint, text string")
+    labels = d.sparkSession.createDataFrame([(1, 1)], "doc_id bigint, quality int")
+    out = {"good": lambda: quality.keep_good(d, labels), "known": lambda: language_id.keep_known_languages(d), "one": lambda: near_dedup.drop_near_duplicates(d), "leaks": lambda: decontamination.drop_leaks(d, one)}[keep]()
+    assert out.columns == names and {"good": 3, "known": 2, "one": 2, "leaks": 1}[keep] == len(rows(out))
