@@ -6,40 +6,21 @@ events as a log of visits. All run over whole tables; a limit is a search's pool
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import chunking, content, embedding, html, robots, text, urls
 from .functions.text import Query
-from .operators import fulltext, graph, jobs, knn, maintain
+from .operators import fulltext, graph, knn, maintain
 from .operators.rank import Settings
 from .plans import search
+from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 PHRASE, WORD_PAIR, SITE = "of the", "that was", "src1.example"
 SETTINGS = Settings(max_distance=0.95)
 RULES = ["https://ththin.example.com", "ththan.example.net", "http://blog.ththth.example.org:80"]
 ROBOTS = "User-agent: *\nDisallow: /en/\nAllow: /en/1\nDisallow: /*.html$\nDisallow: /de/*?page=\n"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
     both = docs.join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
@@ -232,11 +213,6 @@ def _analysed(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url", html.analysis(F.col("html").cast("binary"), F.lit("utf-8"), F.col("url"), none, []).alias("a"))
 
 
-@query()
-def html_analysis(spark, sf_dir):
-    return _analysed(spark, sf_dir).select("page_id", "a.title", "a.headings", "a.text", "a.noindex", "a.nofollow", "a.canonical", F.size("a.outlinks").alias("outlinks"))
-
-
 @query()
 def chunk_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.chunks(F.col("text"))).alias("ord", "chunk"))
@@ -334,12 +310,4 @@ def frontier_bfs(spark, sf_dir):
     return graph.levels(edges, spark.createDataFrame([(1,)], "node bigint"), None)
 
 
-@query()
-def crawl_jobs(spark, sf_dir):
-    none = F.lit(None).cast("string")
-    fetched = table(spark, sf_dir, "pages").select(
-        urls.normalise(F.col("url")).alias("url"), none.alias("final_url"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), none.alias("charset"), none.alias("etag"),
-        none.alias("last_modified"), none.alias("x_robots_tag"), F.col("html").cast("binary").alias("body"), F.col("page_id").alias("ord"))
-    state = spark.createDataFrame([], "url string, content_hash string")
-    done = jobs.decide(fetched, state, spark.createDataFrame([], "url string"), [])
-    return done.select("ord", "url", "job", "status", "title", "content_hash", "follow")
+from . import crawl_queries  # noqa: E402, F401  (they register themselves)
