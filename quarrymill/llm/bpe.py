@@ -286,14 +286,28 @@ def encode_words(new: list[str], m) -> list[bytes]:
     return ids
 
 
+def split_unit(unit: str) -> list[str]:
+    """PATTERN.findall(unit). Letters, with a space before or marks behind, are most of all units and told apart without it."""
+    bare = unit[1:] if unit[:1] == " " else unit
+    if bare.isalpha():
+        return [unit]
+    stem = bare.rstrip(".,;:!?%$#*&-")
+    if stem.isalpha():
+        at = len(stem) - len(bare)
+        return [unit[:at], unit[at:]]
+    return PATTERN.findall(unit)
+
+
 def encode_texts(texts: list[str], m, key: str = "") -> list[bytes]:
     """Ids of each text, as int32 bytes."""
-    of_unit, of_word = common.memo(key, "units", MEMO), common.memo(key, "words", MEMO)
+    of_unit, of_word = common.memo(key, "units", MEMO), common.memo(key, "words", MEMO // 2)
 
     def make(new: list[str]) -> list[bytes]:
-        split = [PATTERN.findall(u) for u in new]
-        late = of_word.learn(set(chain.from_iterable(split)), lambda words: encode_words(words, m))
-        out = [b"".join(map(of_word.__getitem__, x)) for x in split]
+        split = list(map(split_unit, new))
+        single = [x[0] for x in split if len(x) == 1]  # a unit of one word is remembered as a unit alone
+        own = dict(zip(single, encode_words(single, m)))
+        late = of_word.learn({w for x in split if len(x) != 1 for w in x}, lambda words: encode_words(words, m))
+        out = [own[x[0]] if len(x) == 1 else b"".join(map(of_word.__getitem__, x)) for x in split]
         of_word.forget(late)
         return out
 
@@ -321,7 +335,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         def flush():
             words: dict[str, int] = {}
             for unit, n in counter.items():
-                for w in PATTERN.findall(unit):
+                for w in split_unit(unit):
                     words[w] = words.get(w, 0) + n
             counter.clear()
             return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
