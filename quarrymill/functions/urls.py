@@ -1,7 +1,7 @@
 """URL columns: parts, origin, canonical form, scope rules, site filter. All stay in the JVM.
 
 Only URLs of the form scheme://host… count as absolute; anything else gives null (or false for predicates). Hosts and
-schemes compare without case. Dot segments and percent escapes of paths are left as they are.
+schemes compare without case. Dot segments of paths are resolved, percent escapes are left as they are.
 """
 
 from __future__ import annotations
@@ -27,45 +27,67 @@ def is_absolute(url: Column) -> Column:
     return F.coalesce(F.regexp_like(url, F.lit(PARTS)), F.lit(False))
 
 
+_HIT, _CUT = "\x02", "\x01"
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value made once however often the body has it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _of(url: Column, body) -> Column:
+    """body(parts) of an absolute URL: scheme, user, host, port, path, query with its ?, each '' if it is missing. Null for
+    what is no absolute URL. One match makes all parts: expressions that matched anew for each grew beyond what compiles."""
+    whole = F.regexp_replace(url, PARTS, _HIT + _CUT.join(f"${i}" for i in range(1, 7)))
+    ready = lambda s: F.startswith(s, F.lit(_HIT)) & (F.length(F.translate(s, _CUT, "")) == F.length(s) - 5)
+    return _let(whole, lambda s: F.when(ready(s), _let(F.split(F.substring(s, 2, 1 << 30), _CUT, -1), body)))
+
+
+def _port(p: Column) -> Column:
+    known = reduce(lambda c, kv: c.when(F.lower(p[0]) == kv[0], kv[1]), DEFAULT_PORTS.items(), F.when(F.lit(False), None))
+    return F.coalesce(F.when(p[3] != "", p[3]).try_cast("int"), known)
+
+
+def _shown_port(p: Column) -> Column:
+    """:port, '' for a scheme's default one."""
+    default = reduce(lambda c, kv: c.when(F.lower(p[0]) == kv[0], kv[1]), DEFAULT_PORTS.items(), F.when(F.lit(False), None))
+    return F.when((p[3] == "") | F.coalesce(p[3].try_cast("int") == default, F.lit(False)), F.lit("")).otherwise(F.concat(F.lit(":"), p[3]))
+
+
+def _path(p: Column) -> Column:
+    return F.when(p[4] == "", F.lit("/")).otherwise(p[4])
+
+
 def scheme(url: Column) -> Column:
-    return F.nullif(F.lower(part(url, 1)), F.lit(""))
+    return _of(url, lambda p: F.lower(p[0]))
 
 
 def host(url: Column) -> Column:
-    return F.nullif(F.lower(part(url, 3)), F.lit(""))
+    return _of(url, lambda p: F.lower(p[2]))
 
 
 def port(url: Column) -> Column:
     """The port, a scheme's default one if none is named; null for schemes without one."""
-    kind, named = scheme(url), F.nullif(part(url, 4), F.lit(""))
-    known = reduce(lambda c, kv: c.when(kind == kv[0], kv[1]), DEFAULT_PORTS.items(), F.when(kind.isNull(), None))
-    return F.coalesce(named.cast("int"), known)
+    return _of(url, _port)
 
 
 def path(url: Column) -> Column:
     """The path, / if it is empty; null for what is no absolute URL."""
-    p = part(url, 5)
-    return F.when(is_absolute(url), F.when(p == "", F.lit("/")).otherwise(p))
+    return _of(url, _path)
 
 
 def path_and_query(url: Column) -> Column:
-    return F.concat(path(url), part(url, 6))
+    return _of(url, lambda p: F.concat(_path(p), p[5]))
 
 
 def origin(url: Column) -> Column:
     """scheme://host:port with the default port filled in."""
-    return F.concat(scheme(url), F.lit("://"), host(url), F.lit(":"), F.coalesce(port(url).cast("string"), F.lit("-1")))
+    return _of(url, lambda p: F.concat(F.lower(p[0]), F.lit("://"), F.lower(p[2]), F.lit(":"), F.coalesce(_port(p).cast("string"), F.lit("-1"))))
 
 
 def base(url: Column) -> Column:
     """The URL's root, without a default port."""
-    shown = F.when((part(url, 4) == "") | (part(url, 4).cast("int") == default_port(url)), F.lit("")).otherwise(F.concat(F.lit(":"), part(url, 4)))
-    return F.concat(scheme(url), F.lit("://"), host(url), shown)
-
-
-def default_port(url: Column) -> Column:
-    kind = scheme(url)
-    return F.coalesce(*(F.when(kind == k, F.lit(v)) for k, v in DEFAULT_PORTS.items()), F.lit(-1))
+    return _of(url, lambda p: F.concat(F.lower(p[0]), F.lit("://"), F.lower(p[2]), _shown_port(p)))
 
 
 def strip_tracking(query: Column) -> Column:
@@ -79,22 +101,34 @@ def strip_tracking(query: Column) -> Column:
 
 
 def normalise(url: Column) -> Column:
-    """Lower-case scheme and host, no default port, no fragment, no slashes at the path's end, no tracking; null for
-    null and for what is no absolute URL."""
-    user = F.when(part(url, 2) == "", F.lit("")).otherwise(F.concat(part(url, 2), F.lit("@")))
-    shown = F.when((part(url, 4) == "") | (part(url, 4).cast("int") == default_port(url)), F.lit("")).otherwise(F.concat(F.lit(":"), part(url, 4)))
-    trimmed = F.regexp_replace(path(url), "/+$", "")
-    whole = F.when(trimmed == "", F.lit("/")).otherwise(trimmed)
-    query = strip_tracking(F.regexp_replace(part(url, 6), r"^\?", ""))
-    return F.when(is_absolute(url), F.concat(scheme(url), F.lit("://"), user, host(url), shown, whole, F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query))))
+    """Lower-case scheme and host, no default port, no fragment, no slashes at the path's end, no tracking; dot segments
+    resolved; null for null and for what is no absolute URL."""
+
+    def whole(p: Column) -> Column:
+        user = F.when(p[1] == "", F.lit("")).otherwise(F.concat(p[1], F.lit("@")))
+        trimmed = F.rtrim(_dotless(_path(p)), F.lit("/"))
+        query = _let(strip_tracking(F.substring(p[5], 2, 1 << 30)), lambda q: F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q)))
+        return F.concat(F.lower(p[0]), F.lit("://"), user, F.lower(p[2]), _shown_port(p), _let(trimmed, lambda t: F.when(t == "", F.lit("/")).otherwise(t)), query)
+
+    return _of(url, whole)
+
+
+def _dotless(path: Column) -> Column:
+    """A path without . and .. segments; a .. takes the segment before it along."""
+
+    def step(done: Column, segment: Column) -> Column:
+        return F.when(segment == ".", done).when(segment == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(segment)))
+
+    folded = F.aggregate(F.slice(F.split(path, "/", -1), 2, 1 << 30), F.array(F.lit("")), step)
+    return F.when(F.contains(path, F.lit("/.")), F.array_join(folded, "/")).otherwise(path)
 
 
 def matches_site(url: Column, sites: list[str]) -> Column:
     """Whether the host is one of the sites or below one. No sites: true."""
     if not sites:
         return F.lit(True)
-    h = host(url)
-    return F.coalesce(reduce(lambda a, b: a | b, [(h == s.lower()) | h.endswith("." + s.lower()) for s in sites]), F.lit(False))
+    one = lambda p, s: (F.lower(p[2]) == s.lower()) | F.endswith(F.lower(p[2]), F.lit("." + s.lower()))
+    return F.coalesce(_of(url, lambda p: reduce(lambda a, b: a | b, [one(p, s) for s in sites])), F.lit(False))
 
 
 def file_name(url: Column) -> Column:
@@ -136,9 +170,14 @@ def origin_rule(url: str) -> HostRule | None:
 
 def in_scope(url: Column, rules: list[HostRule]) -> Column:
     """Whether any rule allows the URL, which has to be http or https. No rules: false."""
-    one = [(host(url) == r.host) & (F.lit(True) if r.scheme is None else scheme(url) == r.scheme) & (F.lit(True) if r.port is None else port(url) == r.port) for r in rules]
-    web = scheme(url).isin("http", "https")
-    return F.coalesce(web & reduce(lambda a, b: a | b, one, F.lit(False)), F.lit(False))
+    if not rules:
+        return F.lit(False)
+
+    def any_rule(p: Column) -> Column:
+        one = [(F.lower(p[2]) == r.host) & (F.lit(True) if r.scheme is None else F.lower(p[0]) == r.scheme) & (F.lit(True) if r.port is None else _port(p) == r.port) for r in rules]
+        return F.lower(p[0]).isin("http", "https") & reduce(lambda a, b: a | b, one)
+
+    return F.coalesce(_of(url, any_rule), F.lit(False))
 
 
 # The same on the driver and in workers that parse pages.
@@ -151,7 +190,13 @@ def normalise_text(url: str | None) -> str | None:
     s, h = m[1].lower(), m[3].lower()
     shown = "" if not m[4] or int(m[4]) == DEFAULT_PORTS.get(s) else f":{m[4]}"
     pairs = [p for p in (m[6] or "")[1:].split("&") if p and not p.split("=")[0].lower().startswith("utm_") and p.split("=")[0].lower() not in TRACKING]
-    return f"{s}://{m[2] + '@' if m[2] else ''}{h}{shown}{m[5].rstrip('/') or '/'}" + ("?" + "&".join(pairs) if pairs else "")
+    path = m[5]
+    if "/." in path:
+        done = [""]
+        for x in path.split("/")[1:]:
+            done = done if x == "." else done[: max(1, len(done) - 1)] if x == ".." else [*done, x]
+        path = "/".join(done)
+    return f"{s}://{m[2] + '@' if m[2] else ''}{h}{shown}{path.rstrip('/') or '/'}" + ("?" + "&".join(pairs) if pairs else "")
 
 
 def origin_text(url: str | None) -> str | None:

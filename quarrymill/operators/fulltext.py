@@ -1,7 +1,7 @@
 """Full text over chunks: phrases, all-terms, and BM25 order.
 
 A chunk's tokens are an array made once, when it is indexed. A query is a conjunction of phrases; what it matches is
-found by a scan with array functions that stay in the JVM, or by the postings, whose Parquet is sorted by term, where
+found by one scan with array functions that stay in the JVM, or by the postings, whose Parquet is sorted by term, where
 they exist. Ranks are BM25 with k1 1.2 and b 0.75, a phrase counting as one term; the idf has a floor of 1e-6.
 """
 
@@ -10,10 +10,11 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.shared import shared_dir
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 _TERM = re.compile(r"\w+")
@@ -73,18 +74,36 @@ def _rank(n_phrases: int, length: Column, digits: int | None) -> Column:
     return rank if digits is None else F.round(rank, digits)
 
 
-def top_k(chunks: DataFrame, phrases: list[list[str]], k: int, id_col: str = "id", tokens_col: str = "tokens", digits: int | None = None) -> DataFrame:
-    """The k best of matches() by `rank` (less is better), then id; without tokens and tf.
+def counted(chunks: DataFrame, phrases: list[list[str]], id_col: str = "id", tokens_col: str = "tokens") -> tuple[DataFrame, int, float | None]:
+    """(id, length, tf0, tf1, …) of chunks that have any of the phrases, how many chunks there are, and their mean length.
 
-    One pass counts documents, lengths and each phrase's documents; a second one ranks. The counts are a single row.
+    One pass, in which the tokens are made once: numbers alone go to the shared folder, and the totals are observed on the way.
     """
+    shared_dir(chunks.sparkSession)
+    toks, seen = F.col(tokens_col), Observation()
+    rows = chunks.select(F.col(id_col), tokens_col).select(id_col, F.size(toks).alias("own"), toks.isNotNull().alias("there"), *(F.coalesce(count_phrase(toks, p), F.lit(0)).alias(f"tf{i}") for i, p in enumerate(phrases)))
+    rows = rows.observe(seen, F.count_if("there").alias("n"), F.avg(F.when(F.col("there"), F.col("own")).cast("double")).alias("length"))
+    hits = rows.filter(reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(phrases))])).drop("there").checkpoint()
+    return hits, seen.get["n"], seen.get["length"]
+
+
+def ranked(hits: DataFrame, n: int, length: float | None, which: list[int], k: int, id_col: str = "id", digits: int | None = None) -> DataFrame:
+    """(id, rank): the k best of counted() that have all the phrases of these numbers. The phrases' counts are a single row."""
+    both = hits.select(id_col, "own", F.array(*(F.col(f"tf{i}") for i in which)).alias("tf"))
+    stats = both.agg(F.lit(n).alias("n"), F.lit(length).cast("double").alias("length"), *(F.count_if(F.element_at("tf", j + 1) > 0).alias(f"n{j}") for j in range(len(which))))
+    scored = both.filter(F.forall("tf", lambda t: t > 0)).crossJoin(F.broadcast(stats)).select(id_col, _rank(len(which), F.col("own"), digits).alias("rank"))
+    return scored.orderBy("rank", id_col).limit(k)
+
+
+def top_k(chunks: DataFrame, phrases: list[list[str]], k: int, id_col: str = "id", tokens_col: str = "tokens", digits: int | None = None) -> DataFrame:
+    """The k best of matches() by `rank` (less is better), then id; without tokens and tf. Ids are unique."""
+    rest = [c for c in chunks.columns if c != tokens_col]
     if not phrases:
-        return chunks.drop(tokens_col).filter(F.lit(False)).withColumn("rank", F.lit(0.0))
-    toks = F.col(tokens_col)
-    has = [F.count_if(count_phrase(toks, p) > 0).alias(f"n{i}") for i, p in enumerate(phrases)]
-    stats = chunks.agg(F.count(toks).alias("n"), F.avg(F.size(toks).cast("double")).alias("length"), *has)
-    scored = matches(chunks, phrases, tokens_col).crossJoin(F.broadcast(stats)).withColumn("rank", _rank(len(phrases), F.size(toks), digits))
-    return scored.select(*(c for c in chunks.columns if c != tokens_col), "rank").orderBy("rank", id_col).limit(k)
+        return chunks.select(rest).filter(F.lit(False)).withColumn("rank", F.lit(0.0))
+    best = ranked(*counted(chunks, phrases, id_col, tokens_col), list(range(len(phrases))), k, id_col, digits)
+    if rest == [id_col]:
+        return best
+    return chunks.select(rest).join(F.broadcast(best), id_col).select(*rest, "rank").orderBy("rank", id_col)  # k rows
 
 
 def postings(chunks: DataFrame, id_col: str = "id", tokens_col: str = "tokens", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -95,6 +114,12 @@ def postings(chunks: DataFrame, id_col: str = "id", tokens_col: str = "tokens",
     return grouped.select("term", id_col, *keep, "positions", "n_tokens")
 
 
+def dictionary(chunks: DataFrame, id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:
+    """(term, documents, occurrences). Counts by term and chunk are added up before anything moves; no list is made."""
+    each = chunks.select(id_col, F.explode(tokens_col).alias("term")).groupBy("term", id_col).agg(F.count("*").alias("n"))
+    return each.groupBy("term").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences"))
+
+
 def _lists(index: DataFrame, words: list[str], id_col: str) -> DataFrame:
     """(id, n_tokens, at MAP<term, positions>) of what has any of the words; the filter reaches the scan."""
     return index.filter(F.col("term").isin(words)).groupBy(id_col).agg(F.first("n_tokens").alias("n_tokens"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))

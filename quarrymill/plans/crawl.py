@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,16 +28,23 @@ class Outcome:
     host_cap_hit: bool = False
 
 
-def robots_table(web: DataFrame, origins: DataFrame, agent: str, limit: int) -> DataFrame:
-    """(origin, rules, unavailable, sitemaps, delay) of origins(origin)."""
+def robots_table(web: DataFrame, origins: DataFrame | None, agent: str, limit: int) -> DataFrame:
+    """(origin, rules, unavailable, sitemaps, delay) of origins(origin), or of those that have a robots.txt if it is None:
+    others allow everything."""
 
-    @F.udf(f"struct<rules: {robots.RULES}, delay: double, sitemaps: array<string>, unavailable: boolean>")
-    def parse(status, body):  # a few bytes for each origin
-        found, down = robots.from_response(status, bytes(body) if body is not None else None, agent, limit)
-        return {"rules": [{"len": n, "allow": a, "pattern": p} for n, a, p in found.rules], "delay": found.delay, "sitemaps": list(found.sitemaps), "unavailable": down}
+    kind = pa.struct([("rules", pa.list_(pa.struct([("len", pa.int32()), ("allow", pa.bool_()), ("pattern", pa.string())]))), ("delay", pa.float64()), ("sitemaps", pa.list_(pa.string())), ("unavailable", pa.bool_())])
+
+    @F.arrow_udf(f"struct<rules: {robots.RULES}, delay: double, sitemaps: array<string>, unavailable: boolean>")
+    def parse(status: pa.Array, body: pa.Array) -> pa.Array:
+        out = []
+        for s, b in zip(status.to_pylist(), body.to_pylist()):
+            found, down = robots.from_response(s, b, agent, limit)
+            out.append({"rules": [{"len": n, "allow": a, "pattern": p} for n, a, p in found.rules], "delay": found.delay, "sitemaps": list(found.sitemaps), "unavailable": down})
+        return pa.array(out, kind)
 
     files = web.filter(urls.path(F.col("url")) == "/robots.txt").select(urls.origin(F.col("url")).alias("origin"), "status", "body").dropDuplicates(["origin"])
-    return origins.join(files, "origin", "left").select("origin", parse("status", "body").alias("r")).select("origin", "r.*")
+    joined = files if origins is None else origins.join(files, "origin", "left")
+    return joined.select("origin", parse("status", "body").alias("r")).select("origin", "r.*")
 
 
 def _capped(rows, host_limit: int | None, room: int | None, per_host: Counter) -> tuple[list[int], bool]:
@@ -76,12 +84,14 @@ def crawl(store: Store, web: DataFrame, seed: str, now, max_pages: int | None =
     redirect = web.filter(F.col("__key") == start.lower()).select(urls.normalise(F.col("final_url"))).first()
     if redirect and redirect[0] and not urls.in_scope_text(redirect[0], rules):  # the seed takes its new place along
         rules.append(urls.origin_rule(redirect[0]))
+    table = robots_table(web, None, agent, limit).checkpoint()  # once a crawl
+    down = table.filter("unavailable").select("origin")
     first = robots_table(web, spark.createDataFrame([(urls.origin_text(start),)], "origin string"), agent, limit).first()
     own = robots.Robots(tuple((r.len, r.allow, r.pattern) for r in first.rules), first.delay, tuple(first.sitemaps))
     listed = [u for u in sitemap_urls(web.select("url", "status", "body"), start, own, limit) if u.lower() != start.lower()]
     frontier = spark.createDataFrame([(u, i) for i, u in enumerate([*listed, start])], "url string, ord bigint")
     visited = frontier.select("url")
-    result, per_host, down = Outcome(), Counter(), None
+    result, per_host = Outcome(), Counter()
     drained = True
     while not frontier.isEmpty():
         if result.levels == most_levels or max_pages is not None and result.indexed >= max_pages:
@@ -89,18 +99,17 @@ def crawl(store: Store, web: DataFrame, seed: str, now, max_pages: int | None =
             break
         result.levels += 1
         state, chunks, links = (store.read(t) for t in ("state", "chunks", "links"))
-        table = robots_table(web, web.select(urls.origin(F.col("url")).alias("origin")).filter("origin IS NOT NULL").distinct(), agent, limit)
         fetched = frontier.withColumn("__key", F.lower("url")).join(web.withColumnRenamed("url", "__asked"), "__key", "left").withColumn("status", F.when(F.col("__asked").isNull(), 404).otherwise(F.col("status"))).drop("__key", "__asked")
         decide = lambda some: jobs.decide(some, state, chunks, rules, table, visited, agent, limit)  # noqa: B023, E731
-        if max_pages is None and max_per_host is None:
-            done = decide(fetched).checkpoint()
-        else:
-            alone = decide(fetched).select("ord", urls.host(F.col("url")).alias("final_host"), "job", "content_hash", "follow")
+        done = decide(fetched).checkpoint()
+        if max_pages is not None or max_per_host is not None:
+            alone = done.select("ord", urls.host(F.col("url")).alias("final_host"), "job", "content_hash", "follow")
             rows = frontier.select("ord", urls.host(F.col("url")).alias("host")).join(alone, "ord", "left").withColumn("alone", F.col("job")).orderBy("ord").collect()
             taken, skipped = _capped(rows, max_per_host, None if max_pages is None else max_pages - result.indexed, per_host)
             result.host_cap_hit |= skipped
             drained &= len(taken) == len(rows) or skipped
-            done = decide(fetched.join(spark.createDataFrame([(t,) for t in taken], "ord bigint"), "ord", "left_semi")).checkpoint()
+            if len(taken) < len(rows):  # what isn't fetched owns no content
+                done = decide(fetched.join(spark.createDataFrame([(t,) for t in taken], "ord bigint"), "ord", "left_semi")).checkpoint()
         counts = done.agg(F.count("*").alias("n"), F.count_if(F.col("job") == "index").alias("indexed")).first()
         result.jobs += counts.n
         result.indexed += counts.indexed
@@ -116,7 +125,6 @@ def crawl(store: Store, web: DataFrame, seed: str, now, max_pages: int | None =
         base = (frontier.agg(F.max("ord")).first()[0] or 0) + 1
         frontier = _number(ordered, base).checkpoint()
         visited = visited.union(done.select("url")).union(frontier.select("url")).distinct().checkpoint()
-        down = table.filter("unavailable").select("origin")
     if drained and not result.host_cap_hit and result.jobs:
         result.pruned = prune(store, now, rules, down)
     store.compact()

@@ -101,8 +101,7 @@ def fts_postings_phrase(spark, sf_dir):
 
 @query(f"WITH {CHUNKS} SELECT term, count(*) AS documents, sum(times)::BIGINT AS occurrences FROM (SELECT id, term, count(*) AS times FROM (SELECT id, unnest(tokens) AS term FROM chunks) GROUP BY ALL) GROUP BY term")
 def fts_dictionary(spark, sf_dir):
-    index = fulltext.postings(chunks(spark, sf_dir).select("id", "tokens"))
-    return index.groupBy("term").agg(F.count("*").alias("documents"), F.sum(F.size("positions")).alias("occurrences"))
+    return fulltext.dictionary(chunks(spark, sf_dir).select("id", "tokens"))
 
 
 def _hybrid(sites: str) -> str:
@@ -148,6 +147,14 @@ def url_normalize(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.normalise(F.col("url")).alias("normal"))
 
 
+@query(f"SELECT page_id, lower({_p(1)}) || '://' || lower({_p(3)}) || CASE WHEN page_id % 3 = 0 THEN '/b/' || page_id WHEN page_id % 3 = 1 THEN '/' ELSE '/a/..b/.c' END || CASE WHEN page_id % 2 = 0 THEN '?q=../x' ELSE '' END AS normal FROM pages")
+def url_dot_segments(spark, sf_dir):
+    i = F.col("page_id").cast("string")
+    path = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/./a/../../b/"), i, F.lit("/c/.."))).when(F.col("page_id") % 3 == 1, F.lit("/x/y/../..")).otherwise(F.lit("/a/..b/./.c/"))
+    whole = F.concat(urls.base(F.col("url")), F.lit(":0443"), path, F.when(F.col("page_id") % 2 == 0, F.lit("?utm_x=1&q=../x&gclid=2")).otherwise(F.lit("?&")), F.lit("#f"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.normalise(F.regexp_replace(whole, "^(http://.*?):0443", "$1:80")).alias("normal"))
+
+
 @query(f"SELECT page_id, lower({_p(1)}) || '://' || lower({_p(3)}) || ':' || ({_PORT}) AS origin, lower({_p(1)}) || '://' || lower({_p(3)}) AS base FROM pages")
 def url_origin(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.origin(F.col("url")).alias("origin"), urls.base(F.col("url")).alias("base"))
@@ -213,23 +220,6 @@ def _analysed(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url", html.analysis(F.col("html").cast("binary"), F.lit("utf-8"), F.col("url"), none, []).alias("a"))
 
 
-@query()
-def chunk_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.chunks(F.col("text"))).alias("ord", "chunk"))
-
-
-@query()
-def fts_stemmed(spark, sf_dir):
-    c = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.token_array(F.col("text")).alias("tokens"))
-    return fulltext.top_k(c, [["the"], ["of"]], 500)
-
-
-@query()
-def embed_search(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", embedding.embed(F.col("text")).alias("embedding"))
-    return knn.top_k(docs, embedding.embed_query("of the"), 50, "doc_id")
-
-
 @query("SELECT doc_id, regexp_replace(text, '(there|those)', '<mark>\\1</mark>', 'gi') AS marked FROM documents")
 def highlight(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.highlight(F.col("text"), "There those a").alias("marked"))
@@ -310,4 +300,4 @@ def frontier_bfs(spark, sf_dir):
     return graph.levels(edges, spark.createDataFrame([(1,)], "node bigint"), None)
 
 
-from . import crawl_queries  # noqa: E402, F401  (they register themselves)
+from . import crawl_queries, index_queries, site_queries  # noqa: E402, F401  (they register themselves)
