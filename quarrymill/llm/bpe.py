@@ -13,7 +13,8 @@ import heapq
 import re
 from collections import Counter
 from functools import partial
-from itertools import chain
+from itertools import chain, compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ UNIT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 LEAST_SHARE = 1 << 20
 #: Bytes of units, and of words, that a worker remembers; bytes of distinct units that it counts before passing them on.
 #: Only speed depends on them.
-MEMO, COUNTED = 64 << 20, 32 << 20
+MEMO, COUNTED = 64 << 20, 64 << 20
 INF = np.iinfo(np.int32).max
 LONG = 256
 
@@ -286,35 +287,56 @@ def encode_words(new: list[str], m) -> list[bytes]:
     return ids
 
 
-def split_unit(unit: str) -> list[str]:
-    """PATTERN.findall(unit). Letters, with a space before or marks behind, are most of all units and told apart without it."""
-    bare = unit[1:] if unit[:1] == " " else unit
-    if bare.isalpha():
-        return [unit]
-    stem = bare.rstrip(".,;:!?%$#*&-")
-    if stem.isalpha():
-        at = len(stem) - len(bare)
-        return [unit[:at], unit[at:]]
-    return PATTERN.findall(unit)
+#: White space that no unit has which is split with others; between units the pattern takes it for a word of its own.
+GAP, _GAP_IDS = "\u2029", np.array([-1], np.int32).tobytes()
+_ODD = re.compile(f"^$|[{_SPACE}{GAP}]$|^[{_SPACE}](?:[{_SPACE}]|$)|{GAP}")
+
+
+def split_units(some: list[str]) -> tuple[list[str], list[list[str]]]:
+    """The words of all units but odd ones in a row, with a GAP before and between units, by one call of the pattern; and the
+    words of each odd one, which begins or ends with white space that GAP would join."""
+    odd = [PATTERN.findall(u) for u in some if _ODD.search(u)]
+    rest = [u for u in some if not _ODD.search(u)] if odd else some
+    return PATTERN.findall(GAP + GAP.join(rest)) if rest else [], odd
+
+
+def encode_units(new: list[str], m, of_word: common.Memo) -> list[bytes]:
+    """Ids of different units."""
+    plain, odd = split_units(new)
+    words = set(plain)
+    words.discard(GAP)
+    late = of_word.learn(words.union(chain.from_iterable(odd)), lambda x: encode_words(x, m))
+    flat = b"".join([_GAP_IDS if w == GAP else of_word[w] for w in plain])
+    ends = (np.append(np.flatnonzero(np.frombuffer(flat, np.int32) == -1)[1:], len(flat) // 4) * 4).tolist() if flat else []
+    begin, out = 4, []
+    for end in ends:
+        out.append(flat[begin:end])
+        begin = end + 4
+    own = iter([b"".join(map(of_word.__getitem__, x)) for x in odd])
+    of_word.forget(late)
+    if odd:
+        rest = iter(out)
+        out = [next(own) if _ODD.search(u) else next(rest) for u in new]
+    return out
 
 
 def encode_texts(texts: list[str], m, key: str = "") -> list[bytes]:
     """Ids of each text, as int32 bytes."""
     of_unit, of_word = common.memo(key, "units", MEMO), common.memo(key, "words", MEMO // 2)
-
-    def make(new: list[str]) -> list[bytes]:
-        split = list(map(split_unit, new))
-        single = [x[0] for x in split if len(x) == 1]  # a unit of one word is remembered as a unit alone
-        own = dict(zip(single, encode_words(single, m)))
-        late = of_word.learn({w for x in split if len(x) != 1 for w in x}, lambda words: encode_words(words, m))
-        out = [own[x[0]] if len(x) == 1 else b"".join(map(of_word.__getitem__, x)) for x in split]
-        of_word.forget(late)
-        return out
-
     split = [units(t) for t in texts]
-    late = of_unit.learn(set(chain.from_iterable(split)), make)
-    out = [b"".join(map(of_unit.__getitem__, x)) for x in split]
-    of_unit.forget(late)
+    flat = list(chain.from_iterable(split))
+    got = list(map(of_unit.get, flat))
+    todo = list(compress(range(len(flat)), map(not_, got)))
+    if todo:
+        new = list(set(map(flat.__getitem__, todo)))
+        made = dict(zip(new, encode_units(new, m, of_word)))
+        for i in todo:
+            got[i] = made[flat[i]]
+        of_unit.keep(made)
+    out, at = [], 0
+    for x in split:
+        out.append(b"".join(got[at : at + len(x)]))
+        at += len(x)
     return out
 
 
@@ -329,24 +351,41 @@ def decode_ids(ids: np.ndarray, m) -> bytes:
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n): how often the tokenizer's pattern yields each word, over all texts."""
 
+    @common.tidied
     def run(batches):
-        counter: Counter = Counter()
+        counter: Counter = Counter()  # whole units, and what stands behind a single space
+        spaced: Counter = Counter()
 
         def flush():
             words: dict[str, int] = {}
-            for unit, n in counter.items():
-                for w in split_unit(unit):
+            some, times = [*counter, *map(" ".__add__, spaced)], [*counter.values(), *spaced.values()]
+            plain, odd = split_units(some)
+            strange = [bool(odd) and _ODD.search(u) is not None for u in some]
+            n, rest = 0, iter([n for n, x in zip(times, strange) if not x])
+            for w in plain:
+                if w == GAP:
+                    n = next(rest)
+                else:
+                    words[w] = words.get(w, 0) + n
+            for x, n in zip(odd, [n for n, x in zip(times, strange) if x]):
+                for w in x:
                     words[w] = words.get(w, 0) + n
             counter.clear()
+            spaced.clear()
             return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
 
         held = 0
         for batch in batches:
             for text in batch.column(0):
-                before, found = len(counter), units(text.as_py() or "")
-                counter.update(found)
-                if (new := len(counter) - before):  # of a text with new units all its length counts: an upper bound
-                    held += 160 * new + sum(map(len, found))
+                text, before = text.as_py() or "", len(counter) + len(spaced)
+                if RUN.search(text):
+                    counter.update(UNIT.findall(text))
+                else:
+                    first, *rest = text.split(" ")
+                    counter[first] += 1
+                    spaced.update(rest)
+                if (new := len(counter) + len(spaced) - before):  # all the text's length counts: an upper bound
+                    held += 160 * new + len(text)
                 if held > COUNTED:
                     yield flush()
                     held = 0
@@ -376,6 +415,7 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tables = merge_tables(read_ranks(vocab))
     model = common.Model(spark, "bpe", tables | transducer(lexicon(docs, text_col, tables, least_share)))
 
+    @common.tidied
     def run(batches, model):
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -403,6 +443,7 @@ def bpe_decode(encoded: DataFrame, id_col: str = "doc_id", tokens_col: str = "to
     spark = encoded.sparkSession
     model = common.Model(spark, "bpe-decoder", {k: v for k, v in merge_tables(read_ranks(vocab)).items() if k.startswith("blob")})
 
+    @common.tidied
     def run(batches, model):
         for batch in batches:
             texts = [None if x is None else decode_ids(np.array(x, np.int64), model).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]

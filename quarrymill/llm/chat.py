@@ -114,6 +114,7 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     whole = whole.select("id", F.transform("turns", lambda x: x["r"]).alias("r"), F.transform("turns", lambda x: x["t"]).alias("t"))
     names = ["turns_in", "turns_out", "cost", "merges", "relabels", "inserts"]
 
+    @common.tidied
     def run(batches):
         for batch in batches:
             done = [render(list(zip(r, t))) for r, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]

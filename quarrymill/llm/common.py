@@ -10,9 +10,11 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import wraps
 from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,7 @@ class Model:
         if self.key not in _loaded:
             if len(_loaded) > 8:  # workers are used again by later queries
                 _loaded.clear()
+            forget_others(self.key)
             _loaded[self.key] = self.sent.value if self.folder is None else {
                 k: np.load(os.path.join(self.folder, f"{k}.npy"), mmap_mode="r") for k in self.names
             }
@@ -97,7 +100,7 @@ class Memo(dict):
         new = list(wanted.difference(self))
         if not new:
             return new
-        made = make(new)
+        made = list(make(new))
         self.update(zip(new, made))
         long = []
         if max(map(len, new)) > self.LONG:
@@ -110,11 +113,36 @@ class Memo(dict):
         self.held += need * fit // max(1, len(new))
         return new[fit:] + long
 
+    def keep(self, made: dict, size=len) -> None:
+        """Holds these new results as far as there is room."""
+        for k in self.learn(set(made), lambda new: map(made.__getitem__, new), size):
+            del self[k]
+
     def forget(self, late: list) -> None:
         for k in late:
             del self[k]
 
 
+def tidy() -> None:
+    """Gives memory that is free back to the system, as workers are kept for other tasks beside a large JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(run):
+    """run(batches, …), with tidy() at the end of a task."""
+
+    @wraps(run)
+    def whole(batches, **more):
+        try:
+            yield from run(batches, **more)
+        finally:
+            tidy()
+
+    return whole
+
+
 _memos: dict[str, Memo] = {}
 _memo_key = ""
 
@@ -122,15 +150,18 @@ _memo_key = ""
 def memo(key: str, kind: str, room: int) -> Memo:
     """The memo of one model. A worker has those of one model at a time: another key drops all that was remembered, so
     that what a worker holds doesn't grow with the queries that it has served."""
+    forget_others(key)
+    if kind not in _memos:
+        _memos[kind] = Memo(room)
+    return _memos[kind]
+
+
+def forget_others(key: str) -> None:
     global _memo_key
     if key != _memo_key:
         _memos.clear()
         _memo_key = key
-        with contextlib.suppress(OSError, AttributeError):  # gives freed memory back, where the C library can
-            ctypes.CDLL(None).malloc_trim(0)
-    if kind not in _memos:
-        _memos[kind] = Memo(room)
-    return _memos[kind]
+        tidy()
 
 
 def place(df: DataFrame, name: str) -> int:

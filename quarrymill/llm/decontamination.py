@@ -258,6 +258,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     model = index(benchmark, item_col, item_text, least)
     item = item_kind(benchmark, item_col)
 
+    @common.tidied
     def run(batches, model):
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -276,6 +277,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     alike; columns may have any names; an empty table stays empty, and with no test items all rows stay."""
     model, at = index(benchmark, item_col, item_text, least), common.place(docs, text_col)
 
+    @common.tidied
     def run(batches, model):
         for batch in batches:
             texts = batch.column(at).to_pylist()

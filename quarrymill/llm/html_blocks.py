@@ -348,6 +348,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     p = fit(pages, html_col)
     model = common.Model(pages.sparkSession, "blocks", p)
 
+    @common.tidied
     def run(batches, model):
         for batch in batches:
             sources = batch.column(1).to_pylist()

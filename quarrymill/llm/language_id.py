@@ -238,6 +238,7 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     names, m = fit(docs, id_col, text_col, lang_col)
     model = common.Model(docs.sparkSession, "languages", m)
 
+    @common.tidied
     def run(batches, model):
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -256,6 +257,7 @@ def keep_known_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str
     names, m = fit(docs, id_col, text_col, lang_col)
     model, at = common.Model(docs.sparkSession, "languages", m), common.place(docs, text_col)
 
+    @common.tidied
     def run(batches, model):
         for batch in batches:
             texts = batch.column(at).to_pylist()

@@ -23,6 +23,7 @@ about n comparisons, one of n rows that are not about n^2/2, by tasks of HOT^2.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -191,6 +192,7 @@ def region_edges(keys: np.ndarray, least: int, region: int = REGION) -> list[tup
     return edges
 
 
+@common.tidied
 def edges_of_regions(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Batches of (region, key, id) in order of region and key -> (a, b). Holds back the region that is not complete."""
     held: list[tuple[np.ndarray, ...]] = []
@@ -232,6 +234,7 @@ def row_key(id_col: Column, text_col: Column) -> Column:
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(rid, id, k1, k2, sig) of every text that has a word; k1 and k2 are the hash of its values."""
 
+    @common.tidied
     def run(batches):
         for batch in batches:
             texts = batch.column(2).to_pylist()
@@ -279,7 +282,7 @@ def forest_edges(texts: DataFrame, least: int, hot: int = HOT) -> DataFrame:
     turned = F.concat(F.expr(f"substring(low, 1 + t * {step})"), F.expr(f"substring(low, 1, t * {step})"))
     rows = spread.select("rid", "t", task.alias("task")).join(texts.select("rid", low.alias("low")), "rid").select("task", turned.alias("key"), "rid")
     ordered = rows.repartition("task").sortWithinPartitions("task", "key", "rid")
-    return ordered.mapInArrow(lambda x: edges_of_regions(x, least), "a bigint, b bigint")
+    return ordered.mapInArrow(partial(edges_of_regions, least=least), "a bigint, b bigint")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:

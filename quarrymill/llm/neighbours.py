@@ -188,6 +188,7 @@ def calibrate(points: DataFrame, queries: DataFrame, tree: dict[str, np.ndarray]
     own = np.array([r.h for r in asked])
     sent = common.Model(points.sparkSession, "probes", {"q": q, "own": own})
 
+    @common.tidied
     def exact(batches):
         held = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(asked)
         for batch in batches:
@@ -239,6 +240,7 @@ def cells_of(tree: dict[str, np.ndarray], sizes: dict[int, int], most: int) -> n
 def route(queries: DataFrame, model: common.Model, dim: int, visits: int, shares: int) -> DataFrame:
     """(cell, share, h, vec, leaves): every cell that a query of queries(h, vec) has to visit leaves of, and which."""
 
+    @common.tidied
     def walk(batches):
         t, cell = Tree(model), np.asarray(model["cell"])
         for batch in batches:

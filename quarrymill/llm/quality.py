@@ -169,6 +169,7 @@ def sure_of(rows: DataFrame, m, quotas: dict[int, int], taken: list[set[int]], s
     `sure` at least and that view `to` hasn't taken yet, those of the least hashes, as many as quotas tells. Equal rows
     have the same h and count once. A task passes on so many at most; hashes alone are moved, and merged in two steps."""
 
+    @common.tidied
     def run(batches):
         best: dict[tuple[int, int], np.ndarray] = {(to, label): np.zeros(0, np.int64) for to in range(2) for label in range(2)}
         gone = [np.array(sorted(t), np.int64) for t in taken]
@@ -191,6 +192,7 @@ def sure_of(rows: DataFrame, m, quotas: dict[int, int], taken: list[set[int]], s
     return found
 
 
+@common.tidied
 def features(batches):
     """Batches of (text, source, lang, n_chars, …) -> (x, m, …): what each view sees."""
     for batch in batches:
@@ -273,6 +275,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     m = fit(docs, labels, cols, label_col)
     model = common.Model(docs.sparkSession, "quality", m)
 
+    @common.tidied
     def run(batches, model):
         for batch in batches:
             for a, b, content_p, meta_p, p in _scored([batch.column(i).to_pylist() for i in range(1, 5)], model, bool(m)):
@@ -290,6 +293,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     model = common.Model(docs.sparkSession, "quality", m)
     wanted = [common.place(docs, c) for c in list(cols.values())[1:]]
 
+    @common.tidied
     def run(batches, model):
         for batch in batches:
             keep = [p >= least for *_, p in _scored([batch.column(i).to_pylist() for i in wanted], model, bool(m))]

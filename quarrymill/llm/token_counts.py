@@ -152,6 +152,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     model = common.Model(spark, "unigram", automaton(vocabulary(vocab)))
 
+    @common.tidied
     def run(batches, model):
         for batch in batches:
             counts = count_texts(batch.column(1).to_pylist(), model, model.key)

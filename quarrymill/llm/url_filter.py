@@ -116,6 +116,7 @@ def count_tokens(urls: DataFrame, url_col: str, seeds: list[str], vocab: str) ->
     """(2, BUCKETS + 1): counts of tokens by class, and last of URLs, over all rows. The result's size is fixed."""
     marks = frozenset(s.lower() for s in seeds)
 
+    @common.tidied
     def run(batches):
         split, total = splitter(vocab), np.zeros((2, BUCKETS + 1), np.int64)
         for batch in batches:
@@ -158,6 +159,7 @@ def filter_urls(urls: DataFrame, id_col: str = "page_id", url_col: str = "url",
     weight, prior = bayes(count_tokens(urls, url_col, list(seeds), vocab))
     model = common.Model(urls.sparkSession, "urls", {"weight": weight})
 
+    @common.tidied
     def run(batches, model):
         split, w = splitter(vocab), np.asarray(model["weight"])
         for batch in batches:

@@ -481,7 +481,7 @@ def test_regions_over_batches():
     rng = np.random.default_rng(12)
     region, sig = np.sort(rng.integers(0, 40, 400)), rng.integers(0, 2, (400, near_dedup.VALUES), np.uint8)
     batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(region[a:b]), pa.array([x.tobytes() for x in sig[a:b]]), pa.array(np.arange(a, b))], names=["region", "sig", "rid"])
-    pairs = lambda batches: sorted(p for x in near_dedup.edges_of_regions(iter(batches), 70) for p in zip(*(c.to_pylist() for c in x.columns)))
+    pairs = lambda batches: sorted(p for x in near_dedup.edges_of_regions(iter(batches), least=70) for p in zip(*(c.to_pylist() for c in x.columns)))
     whole = pairs([batch(0, 400)])
     assert len(whole) > 50 and all(pairs([batch(i, min(i + n, 400)) for i in range(0, 400, n)]) == whole for n in (1, 3, 7, 150))
 
