@@ -340,6 +340,121 @@ def encode_texts(texts: list[str], m, key: str = "") -> list[bytes]:
     return out
 
 
+class Known:
+    """Units by their hash, as arrays: an open table of hashes, and the ids of each unit in a row. It takes units until it
+    has SLOTS / 2 of them or as many ids as twice SLOTS; later ones aren't held."""
+
+    SLOTS = 1 << 21
+
+    def __init__(self):
+        self.hashes, self.index = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32)
+        self.at, self.ids, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32), 0
+        self.shift = np.uint64(65 - self.SLOTS.bit_length())
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash' unit, or -1."""
+        place = (h >> self.shift).astype(np.int64)
+        seen = self.hashes[place]
+        out = np.where(seen == h, self.index[place], -1)
+        todo = np.flatnonzero((seen != h) & (seen != 0))
+        while len(todo):
+            place[todo] = (place[todo] + 1) & (self.SLOTS - 1)
+            seen = self.hashes[place[todo]]
+            hit = seen == h[todo]
+            out[todo[hit]] = self.index[place[todo[hit]]]
+            todo = todo[~hit & (seen != 0)]
+        return out
+
+    def add(self, h: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Takes new units of different hashes, as many as there is room for; ends: of each one's ids."""
+        room = min(self.SLOTS // 2 - self.n, int(np.searchsorted(ends, 2 * self.SLOTS - self.at[self.n], "right")))
+        h, ends = h[: max(0, room)], ends[: max(0, room)]
+        if not len(h):
+            return
+        begin = int(self.at[self.n])
+        more = int(ends[-1])
+        while len(self.at) <= self.n + len(h):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        while len(self.ids) < begin + more:
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[begin : begin + more] = ids[:more]
+        self.at[self.n + 1 : self.n + 1 + len(h)] = begin + ends
+        number = np.arange(self.n, self.n + len(h), dtype=np.int32)
+        self.n += len(h)
+        place, todo = (h >> self.shift).astype(np.int64), np.arange(len(h))
+        while len(todo):
+            free = todo[self.hashes[place[todo]] == 0]
+            self.hashes[place[free]] = h[free]  # of two at one place the last stays
+            mine = self.hashes[place[free]] == h[free]
+            self.index[place[free[mine]]] = number[free[mine]]
+            done = np.zeros(len(h), bool)
+            done[free[mine]] = True
+            todo = todo[~done[todo]]
+            place[todo] = (place[todo] + 1) & (self.SLOTS - 1)
+
+
+def unit_starts(texts: list[str], raw: list[bytes], buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where units() begin in the texts' bytes, which stand in a row from `at` on."""
+    new = buf == 32
+    new[at[:-1][np.diff(at) > 0]] = True
+    for i, t in enumerate(texts):
+        if RUN.search(t):
+            new[at[i] : at[i + 1]] = False
+            sizes = [len(u) for u in UNIT.findall(t)] if len(raw[i]) == len(t) else [len(u.encode("utf-8", "replace")) for u in UNIT.findall(t)]
+            new[at[i] + np.cumsum([0, *sizes[:-1]])] = True
+    return np.flatnonzero(new)
+
+
+#: Bytes up to which a chunk is hashed at once; longer ones, of one text, are split into units as strings.
+HASHED = 8 << 20
+
+
+def encode_chunk(texts: list[str], m, key: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, how many each text has, and whether they decode to its bytes.
+
+    Units are told apart by hashes of 64 bits. If two that differ had the same, the text would not decode to itself: such
+    a text is encoded once more without hashes.
+    """
+    raw = [t.encode("utf-8", "replace") for t in texts]
+    whole = b"".join(raw)
+    at = np.cumsum([0, *map(len, raw)])
+    if len(whole) > HASHED:
+        each = encode_texts(texts, m, key)
+        flat, size = np.frombuffer(b"".join(each), np.int32), np.array([len(x) // 4 for x in each], np.int64)
+    else:
+        known = common.kept(key, "known", Known)
+        buf = np.frombuffer(whole, np.uint8)
+        start = unit_starts(texts, raw, buf, at)
+        end = np.append(start[1:], len(whole)) if len(start) else start
+        h = common.word_hashes(buf, start, end) | np.uint64(1)
+        found = known.find(h)
+        begin, count = known.at[found], known.at[found + 1] - known.at[found]
+        pool = known.ids
+        miss = np.flatnonzero(found < 0)
+        if len(miss):
+            fresh, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
+            new = [whole[a:b].decode("utf-8") for a, b in zip(start[miss[first]].tolist(), end[miss[first]].tolist())]
+            made = encode_units(new, m, common.memo(key, "words", MEMO))
+            ids, ends = np.frombuffer(b"".join(made), np.int32), np.cumsum([len(x) // 4 for x in made])
+            begin[miss] = len(pool) + ends[which] - np.diff(ends, prepend=0)[which]
+            count[miss] = np.diff(ends, prepend=0)[which]
+            pool = np.concatenate([pool, ids])
+            known.add(fresh, ids, ends)
+        ends = np.cumsum(count)
+        flat = pool[np.repeat(begin - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
+        size = np.diff(np.concatenate([[0], ends])[np.searchsorted(start, at)])
+    same = np.ones(len(texts), bool)
+    if decode_ids(flat, m) != whole:
+        to = np.concatenate([[0], np.cumsum(size)])
+        parts = [flat[to[i] : to[i + 1]] for i in range(len(texts))]
+        for i, r in enumerate(raw):
+            if decode_ids(parts[i], m) != r:
+                parts[i] = np.frombuffer(encode_texts([texts[i]], m, key)[0], np.int32)
+                same[i] = decode_ids(parts[i], m) == r
+        flat, size = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+    return flat, size, same
+
+
 def decode_ids(ids: np.ndarray, m) -> bytes:
     at = np.asarray(m["blob_at"])
     begin = at[ids]
@@ -421,13 +536,9 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             texts = batch.column(1).to_pylist()
             for a, b in common.chunks(texts):
                 part = texts[a:b]
-                raw = encode_texts([t or "" for t in part], model, model.key)
-                flat = np.frombuffer(b"".join(raw), np.int32)
-                size = np.array([len(r) // 4 for r in raw], np.int64)
+                flat, size, same = encode_chunk([t or "" for t in part], model, model.key)
                 null = np.array([t is None for t in part])
                 at = np.concatenate([[0], np.cumsum(size)])
-                same = decode_ids(flat, model) == "".join(t or "" for t in part).encode("utf-8", "replace")
-                same = [same or decode_ids(flat[at[i] : at[i + 1]], model) == (t or "").encode("utf-8", "replace") for i, t in enumerate(part)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(size, mask=null), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat), mask=pa.array(null)), pa.array(same, mask=null)],
                     names=["id", "n", "tokens", "lossless"],

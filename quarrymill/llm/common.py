@@ -143,7 +143,7 @@ def tidied(run):
     return whole
 
 
-_memos: dict[str, Memo] = {}
+_memos: dict[str, object] = {}
 _memo_key = ""
 
 
@@ -156,6 +156,14 @@ def memo(key: str, kind: str, room: int) -> Memo:
     return _memos[kind]
 
 
+def kept(key: str, kind: str, make):
+    """What a worker keeps for one model, made at first; it goes as memos do."""
+    forget_others(key)
+    if kind not in _memos:
+        _memos[kind] = make()
+    return _memos[kind]
+
+
 def forget_others(key: str) -> None:
     global _memo_key
     if key != _memo_key:
