@@ -129,12 +129,21 @@ def chunk(text: str | None, size: int = 150, overlap: int = 30, header: str | No
     return [_narrow(c) for c in found] if own else found
 
 
-def chunks(text: Column, size: int = 150, overlap: int = 30) -> Column:
+def markdown_lines(text: str, most: int, tokens: Counter = count) -> list[str]:
+    """Trimmed pieces of markdown, in which a line's end is the last place to cut at."""
+    return split_lines(text, most, True, MARKDOWN, tokens)
+
+
+def markdown_paragraphs(lines: list[str], most: int, overlap: int = 0, header: str | None = None, tokens: Counter = count) -> list[str]:
+    return paragraphs(lines, most, overlap, header, MARKDOWN, tokens)
+
+
+def chunks(text: Column, size: int = 150, overlap: int = 30, header: str | None = None, separators: tuple[str | None, ...] = PLAIN) -> Column:
     """chunk() of a column, an array; sizes are checked when the plan is made."""
     chunk("x", size, overlap)
 
     @F.arrow_udf(ArrayType(StringType()))
     def run(x: pa.Array) -> pa.Array:
-        return pa.array([chunk(t, size, overlap) for t in x.to_pylist()], pa.list_(pa.string()))
+        return pa.array([chunk(t, size, overlap, header, separators) for t in x.to_pylist()], pa.list_(pa.string()))
 
     return run(text)

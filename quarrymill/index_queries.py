@@ -206,48 +206,60 @@ def embed_search(spark, sf_dir):
 # The chunker in SQL: pieces are halved at the separator next to their middle, lines become paragraphs, paragraphs overlap.
 
 
-def _cut(piece: str, kind: str) -> str:
+def _cut(piece: str, kind: str, separators: tuple[str | None, ...]) -> str:
     """How many characters stand before the cut; -1 without one."""
-    seps = "[" + ", ".join("NULL" if s is None else "'" + s.replace("'", "''") + "'" for s in chunking.PLAIN) + f"][{kind}]"
+    seps = "[" + ", ".join("NULL" if s is None else "'" + s.replace("'", "''") + "'" for s in separators) + f"][{kind}]"
     half = f"length({piece}) // 2"
     places = f"list_filter(list_transform(string_split({piece}, ''), lambda c, i: CASE WHEN contains({seps}, c) AND i < length({piece}) THEN i - 1 END), lambda i: i IS NOT NULL)"
     best = f"list_reduce({places}, lambda best, i: CASE WHEN abs({half} - i) < abs({half} - best) THEN i + 1 ELSE best END, -1::BIGINT)"
-    return f"CASE WHEN {kind} = {len(chunking.PLAIN)} THEN {half} WHEN length({piece}) > 2 THEN {best} ELSE -1 END"
+    return f"CASE WHEN {kind} = {len(separators)} THEN {half} WHEN length({piece}) > 2 THEN {best} ELSE -1 END"
 
 
 def _strip(x: str) -> str:
     return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 
-_MOST, _OVER = int(150 * chunking.TOKENS_A_WORD), int(30 * chunking.TOKENS_A_WORD)
-_ROOM = _MOST - _OVER
-_CHUNKED = f"""cut(id, path, kind, done, piece, cutat) AS (
-  SELECT doc_id, '', 1, length(text) // 4 <= {chunking.LINE_TOKENS}, text, {_cut("text", "1")} FROM documents WHERE text IS NOT NULL AND {_strip("text")} <> ''
-  UNION ALL SELECT id, path, kind, length(piece) // 4 <= {chunking.LINE_TOKENS}, piece, {_cut("piece", "kind")} FROM (
+def _chunked(separators: tuple[str | None, ...] = chunking.PLAIN, header: str = "", size: int = 150, overlap: int = 30) -> str:
+    """CTEs down to chunks(id, para, chunk) of all documents."""
+    over = int(overlap * chunking.TOKENS_A_WORD)
+    room = int(size * chunking.TOKENS_A_WORD) - over - len(header) // 4
+    cut = lambda piece, kind: _cut(piece, kind, separators)
+    return f"""cut(id, path, kind, done, piece, cutat) AS (
+  SELECT doc_id, '', 1, length(text) // 4 <= {chunking.LINE_TOKENS}, text, {cut("text", "1")} FROM documents WHERE text IS NOT NULL AND {_strip("text")} <> ''
+  UNION ALL SELECT id, path, kind, length(piece) // 4 <= {chunking.LINE_TOKENS}, piece, {cut("piece", "kind")} FROM (
     SELECT id, path || side AS path, CASE WHEN cutat > 0 THEN kind ELSE kind + 1 END AS kind, {_strip("CASE WHEN cutat <= 0 THEN piece WHEN side = '0' THEN left(piece, cutat) ELSE substr(piece, cutat + 1) END")} AS piece
     FROM cut, (VALUES ('0'), ('1')) AS s(side) WHERE NOT done AND (cutat > 0 OR side = '0'))),
 lines AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY path) AS n, {_strip("piece")} AS line FROM cut WHERE done),
 fold(id, n, held, para) AS (
   SELECT id, n, length(line) + 1, 1 FROM lines WHERE n = 1
   UNION ALL SELECT l.id, l.n, CASE WHEN stop THEN 0 ELSE held END + length(line) + 1, para + stop::INT FROM (
-    SELECT l.*, held, para, length(line) // 4 + 1 >= {_ROOM} OR length(line) // 4 + 1 + held // 4 >= {_ROOM} AS stop FROM fold f JOIN lines l ON l.id = f.id AND l.n = f.n + 1) l),
+    SELECT l.*, held, para, length(line) // 4 + 1 >= {room} OR length(line) // 4 + 1 + held // 4 >= {room} AS stop FROM fold f JOIN lines l ON l.id = f.id AND l.n = f.n + 1) l),
 paras AS (SELECT id, para, {_strip("string_agg(line, chr(10) ORDER BY n)")} AS p FROM lines JOIN fold USING (id, n) GROUP BY ALL),
 tail AS (SELECT id, max(para) AS last, arg_max(p, para) AS b, arg_max(p, para) FILTER (para < m) AS a FROM (SELECT *, max(para) OVER (PARTITION BY id) AS m FROM paras) GROUP BY id),
-words AS (SELECT id, last, list_filter(string_split(a, ' '), lambda w: w <> '') || list_filter(string_split(b, ' '), lambda w: w <> '') AS w FROM tail WHERE last > 1 AND length(b) // 4 < {_ROOM // 4}),
-joined AS (SELECT id, last, array_to_string(w, ' ') AS p FROM words WHERE len(w) <= {_ROOM}),
+words AS (SELECT id, last, list_filter(string_split(a, ' '), lambda w: w <> '') || list_filter(string_split(b, ' '), lambda w: w <> '') AS w FROM tail WHERE last > 1 AND length(b) // 4 < {room // 4}),
+joined AS (SELECT id, last, array_to_string(w, ' ') AS p FROM words WHERE len(w) <= {room}),
 whole AS (SELECT p.id, p.para, CASE WHEN p.para = j.last - 1 THEN j.p ELSE p.p END AS p FROM paras p LEFT JOIN joined j ON j.id = p.id WHERE j.id IS NULL OR p.para < j.last),
 head(id, para, kind, done, piece, cutat) AS (
-  SELECT id, para, 1, length(p) // 4 <= {_OVER}, p, {_cut("p", "1")} FROM whole WHERE para > 1
-  UNION ALL SELECT id, para, kind, length(piece) // 4 <= {_OVER}, piece, {_cut("piece", "kind")} FROM (
+  SELECT id, para, 1, length(p) // 4 <= {over}, p, {cut("p", "1")} FROM whole WHERE para > 1
+  UNION ALL SELECT id, para, kind, length(piece) // 4 <= {over}, piece, {cut("piece", "kind")} FROM (
     SELECT id, para, CASE WHEN cutat > 0 THEN kind ELSE kind + 1 END AS kind, CASE WHEN cutat > 0 THEN left(piece, cutat) ELSE piece END AS piece FROM head WHERE NOT done)),
-chunks AS (SELECT w.id, w.para, w.p || coalesce(' ' || h.piece, '') AS chunk FROM whole w LEFT JOIN head h ON h.id = w.id AND h.para = w.para + 1 AND h.done)"""
+chunks AS (SELECT w.id, w.para, '{header}' || w.p || coalesce(' ' || h.piece, '') AS chunk FROM whole w LEFT JOIN head h ON h.id = w.id AND h.para = w.para + 1 AND h.done)"""
 
 
-@query(f"WITH RECURSIVE {_CHUNKED} SELECT id AS doc_id, (para - 1)::INT AS ord, chunk FROM chunks")
+@query(f"WITH RECURSIVE {_chunked()} SELECT id AS doc_id, (para - 1)::INT AS ord, chunk FROM chunks")
 def chunk_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.chunks(F.col("text"))).alias("ord", "chunk"))
 
 
+HEADER = "From a file: "
+
+
+@query(f"WITH RECURSIVE {_chunked(chunking.MARKDOWN, HEADER, 60, 20)} SELECT id AS doc_id, (para - 1)::INT AS ord, chunk FROM chunks")
+def chunk_markdown(spark, sf_dir):
+    """Markdown's separators, smaller chunks, and a header before each."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.chunks(F.col("text"), 60, 20, HEADER, chunking.MARKDOWN)).alias("ord", "chunk"))
+
+
 @query("""SELECT doc_id, length(t) // 4 AS tokens, 2 * length(text) // 4 AS wide FROM (SELECT doc_id, text, text || 'é' AS t FROM documents)""")
 def chunk_sizes(spark, sf_dir):
     """Tokens are four UTF-16 units each: a character beyond 16 bits is two of them."""

@@ -2,13 +2,15 @@
 
 A commit writes, for each table, the new rows and the URLs whose older rows they replace; then one new manifest makes it
 visible, so readers see whole commits and a failed one leaves nothing. So a commit costs what it changes, not what
-the index holds. A reader drops rows of a URL that a later commit touched. compact() writes one version again.
+the index holds. A reader drops rows of a URL that a later commit touched. compact() writes one version again, vacuum()
+deletes what it replaced.
 """
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,18 +93,12 @@ class Store:
         if not parts:
             return self.spark.createDataFrame([], StructType.fromDDL(schema))
         read = lambda v, kind, s: self.spark.read.schema(s).parquet(f"{self.root}/{table}/{v['number']:012d}/{kind}")
-        touched = [read(v, "touched", "url string").select("url", F.lit(v["number"]).alias("at")) for v in versions if v["touched"]]
-        out = None
-        for v in parts:
-            rows = read(v, "rows", schema)
-            later = [t for t, w in zip(touched, [w for w in versions if w["touched"]]) if w["number"] > v["number"]]
-            if later:
-                gone = later[0]
-                for t in later[1:]:
-                    gone = gone.union(t)
-                rows = rows.join(gone.select(F.col("url").alias(key)), key, "left_anti").select(*rows.columns)
-            out = rows if out is None else out.unionByName(rows)
-        return out
+        out = reduce(DataFrame.unionByName, [read(v, "rows", schema).withColumn("__at", F.lit(v["number"])) for v in parts])
+        touched = [v for v in versions if v["touched"] and v["number"] > parts[0]["number"]]
+        if touched:  # one join, however many versions there are
+            each = reduce(DataFrame.union, [read(v, "touched", "url string").select(F.col("url").alias(key), F.lit(v["number"]).alias("n")) for v in touched])
+            out = out.join(each.groupBy(key).agg(F.max("n").alias("__last")), key, "left").filter(F.coalesce("__last", F.lit(0)) <= F.col("__at"))
+        return out.select(*StructType.fromDDL(schema).fieldNames())
 
     def commit(self, changes: dict[str, Change]) -> int:
         now = self.manifest()
@@ -138,6 +134,18 @@ class Store:
         self._publish({"number": number, "tables": now["tables"] | {t: [{"number": number, "rows": True, "touched": False}] for t in big}})
         return True
 
+    def vacuum(self) -> int:
+        """Deletes what the newest manifest doesn't name: replaced versions, those of commits that failed, older manifests.
+        Returns how many. Not while another writer commits; readers of older versions lose them."""
+        now, gone = self.manifest(), 0
+        kept = {t: {f"{v['number']:012d}" for v in versions} for t, versions in now["tables"].items()} | {"_manifests": {f"{now['number']:012d}.json"}}
+        for folder, names in kept.items():
+            if self._fs.exists(self._path(folder)):
+                for s in self._fs.listStatus(self._path(folder)):
+                    if s.getPath().getName() not in names and now["number"]:
+                        gone += bool(self._fs.delete(s.getPath(), True))
+        return gone
+
     def bytes(self) -> int:
         """Of the files that the newest manifest names."""
         total = 0

@@ -132,6 +132,7 @@ def test_store(spark, tmp_path):
     assert before == [("https://a.com/1", "something else"), ("https://a.com/3", "lazy dogs sleep")]
     assert store.compact(force=True) and sorted(rows(store.read("chunks").select("url", "text"))) == before
     assert rows(search.stats(store))[0][:3] == (2, 2, 0) and store.bytes() > 0
+    assert store.vacuum() > 3 and store.vacuum() == 0 and sorted(rows(store.read("chunks").select("url", "text"))) == before
     with pytest.raises(RuntimeError):
         now = store.manifest()
         store._publish(now)
@@ -250,3 +251,72 @@ def test_a_blank_query_finds_nothing(spark):
     chunks = spark.createDataFrame([], "id string, url string, text string, is_heading boolean, tokens array<string>, embedding array<float>")
     assert rows(search.hybrid(chunks, Query("", ("a.com",)), None)) == []
     assert rows(search.hybrid(chunks, Query("a b", ()), None)) == []
+
+
+def test_fetch_is_conditional_polite_and_tries_again(spark):
+    import gzip
+    import threading
+    import time
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from quarrymill.sources import fetch
+
+    seen = []
+
+    class Site(BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen.append((self.path, self.headers.get("If-None-Match"), time.monotonic()))
+            if self.path == "/moved":
+                self.send_response(301)
+                self.send_header("Location", "/page")
+                return self.end_headers()
+            if self.headers.get("If-None-Match") == "tag":
+                self.send_response(304)
+                return self.end_headers()
+            if self.path == "/busy" and sum(p == "/busy" for p, *_ in seen) < 3:
+                self.send_response(503)
+                return self.end_headers()
+            self.send_response(404 if self.path == "/gone" else 200)
+            for k, v in (("Content-Type", "text/html; charset=utf-8"), ("ETag", "tag"), ("X-Robots-Tag", "noindex"), ("Content-Encoding", "gzip")):
+                self.send_header(k, v)
+            self.end_headers()
+            self.wfile.write(gzip.compress(b"x" * 5000 if self.path == "/large" else b"<p>hello</p>"))
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    wanted = [(f"{base}/page", None), (f"{base}/moved", None), (f"{base}/old", "tag"), (f"{base}/busy", None), (f"{base}/gone", None), (f"{base}/large", None), ("http://127.0.0.1:1/none", None), (None, None)]
+    got = {r.url.removeprefix(base): r for r in fetch.fetch(spark.createDataFrame(wanted, "url string, etag string"), limit=1000, least_delay=0.1, waits=(0.05, 0.05)).collect()}
+    server.shutdown()
+    page = got["/page"]
+    assert (page.status, page.content_type, page.charset, page.etag, page.x_robots_tag, bytes(page.body)) == (200, "text/html", "utf-8", "tag", "noindex", b"<p>hello</p>")
+    assert got["/moved"].final_url == f"{base}/page" and got["/old"].status == 304 and got["/busy"].status == 200 and got["/gone"].status == 404
+    assert len(got["/large"].body) == 1001 and got["http://127.0.0.1:1/none"].status is None and len(got) == 7
+    own = sorted(t for p, _, t in seen if p in ("/page", "/old", "/gone", "/large"))
+    assert min(b - a for a, b in zip(own, own[1:])) >= 0.09
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quarrymill.__main__ import answer, main, parser
+
+    web = spark.createDataFrame([("https://e.example/a", None, 200, "text/html", None, None, None, None, b"<title>Hello</title><p>some words here")], WEB)
+    web.write.parquet(f"{tmp_path}/web")
+    store = f"file://{tmp_path}/index"
+    assert answer(spark, "search", Store(spark, store), "words")[0] == 503 and answer(spark, "search", Store(spark, store), " ")[0] == 400
+    assert main(["crawl", store, f"{tmp_path}/web", "https://e.example/a", "--max-pages", "5", "--allowed-server", "x.example"], spark) == 0
+    assert main(["search", store, "words"], spark) == 0 and main(["stats", store], spark) == 0 and main(["search", store, ""], spark) == 1
+    out = capsys.readouterr().out
+    assert '"indexed": 1' in out and '"totalMatches": 1' in out and '"title": "Hello"' in out and '"known_urls": 1' in out
+    for bad in (["crawl", "s", "w", "u", "--max-pages", "0"], ["nothing"], ["search", "s", "q", "--x"]):
+        with pytest.raises(SystemExit):
+            parser().parse_args(bad)
+
+
+def test_many_queries_go_in_blocks(spark):
+    e = spark.createDataFrame([(i, [float(i % 7), float(i % 5) + 0.5]) for i in range(60)], "id int, embedding array<float>")
+    q = e.filter("id % 3 = 0").select(F.col("id").alias("query_id"), "embedding")
+    one, many = (sorted(rows(knn.top_k_of_each(e, q, 4, digits=5, block=b))) for b in (1000, 6))
+    assert one == many and len(one) == 80
