@@ -149,6 +149,7 @@ class Views:
         for k in range(2):
             self.w[k] = logistic(*self.rows[k])
             self.cal[k] = logistic((self.held[k] @ self.w[k][:-1] + self.w[k][-1])[:, None], self.truth, 1e-2)
+        common.tidy()
 
     def quotas(self, most: int = HAND_OVER) -> dict[int, int]:
         """Documents that a view takes in a round, by label: in proportion to the classes."""
