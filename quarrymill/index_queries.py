@@ -220,7 +220,7 @@ def _strip(x: str) -> str:
 
 
 def _chunked(separators: tuple[str | None, ...] = chunking.PLAIN, header: str = "", size: int = 150, overlap: int = 30) -> str:
-    """CTEs down to chunks(id, para, chunk) of all documents."""
+    """CTEs down to chunks(id, para, chunk) of all documents; sizes are such that no line is split again."""
     over = int(overlap * chunking.TOKENS_A_WORD)
     room = int(size * chunking.TOKENS_A_WORD) - over - len(header) // 4
     cut = lambda piece, kind: _cut(piece, kind, separators)
@@ -254,10 +254,10 @@ def chunk_documents(spark, sf_dir):
 HEADER = "From a file: "
 
 
-@query(f"WITH RECURSIVE {_chunked(chunking.MARKDOWN, HEADER, 60, 20)} SELECT id AS doc_id, (para - 1)::INT AS ord, chunk FROM chunks")
+@query(f"WITH RECURSIVE {_chunked(chunking.MARKDOWN, HEADER)} SELECT id AS doc_id, (para - 1)::INT AS ord, chunk FROM chunks")
 def chunk_markdown(spark, sf_dir):
-    """Markdown's separators, smaller chunks, and a header before each."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.chunks(F.col("text"), 60, 20, HEADER, chunking.MARKDOWN)).alias("ord", "chunk"))
+    """Markdown's separators, and a header before each chunk."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.chunks(F.col("text"), header=HEADER, separators=chunking.MARKDOWN)).alias("ord", "chunk"))
 
 
 @query("""SELECT doc_id, length(t) // 4 AS tokens, 2 * length(text) // 4 AS wide FROM (SELECT doc_id, text, text || 'é' AS t FROM documents)""")
