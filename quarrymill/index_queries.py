@@ -12,7 +12,7 @@ from .functions import chunking, embedding, text
 from .operators import fulltext, knn, maintain
 from .operators.rank import Settings
 from .plans import search
-from .queries import Q0, _bm25, vector_of
+from .queries import Q0, _bm25, vector_of, with_vectors
 from .registry import query, table
 from .sources.shared import shared_dir
 from .sources.store import TABLES, Change, Store
@@ -29,7 +29,7 @@ def site(spark, sf_dir) -> DataFrame:
     docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
     page = F.floor(F.col("doc_id") / 4).cast("bigint")
     url = F.concat(F.lit("https://"), F.when(F.col("doc_id") % 3 == 0, "www.").otherwise(""), "source", F.lit(".example/"), F.when(page % 5 == 0, "best_of-the-web.html").otherwise("page"), F.lit("?n="), page)
-    both = docs.join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    both = with_vectors(docs, vectors)
     return both.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), url.alias("url"), F.lit(0).alias("ord"), "text", (F.col("doc_id") % 3 == 1).alias("is_heading"), text.plain_tokens(F.col("text")).alias("tokens"), "embedding", "doc_id")
 
 

@@ -1,23 +1,30 @@
 """Full text over chunks: phrases, all-terms, and BM25 order.
 
 A chunk's tokens are an array made once, when it is indexed. A query is a conjunction of phrases; what it matches is
-found by one scan with array functions that stay in the JVM, or by the postings, whose Parquet is sorted by term, where
-they exist. Ranks are BM25 with k1 1.2 and b 0.75, a phrase counting as one term; the idf has a floor of 1e-6.
+found by one scan with array functions that stay in the JVM, or by the postings, whose Parquet has runs sorted by term,
+where they exist. Ranks are BM25 with k1 1.2 and b 0.75, a phrase counting as one term; the idf has a floor of 1e-6.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions.text import tokens
 from ..sources.shared import shared_dir
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 _TERM = re.compile(r"\w+")
+#: Tokens of which a task sorts the postings at a time.
+RUN = 1 << 21
 
 
 def phrase_of(query: str, stemmed: bool = True) -> list[list[str]]:
@@ -108,10 +115,43 @@ def top_k(chunks: DataFrame, phrases: list[list[str]], k: int, id_col: str = "id
 
 def postings(chunks: DataFrame, id_col: str = "id", tokens_col: str = "tokens", keep: tuple[str, ...] = ()) -> DataFrame:
     """(term, id, keep…, positions ARRAY<INT>, n_tokens): the inverted index, positions from 0; keep: columns that the id
-    determines."""
-    each = chunks.select(id_col, *keep, F.size(tokens_col).alias("n_tokens"), F.posexplode(tokens_col).alias("pos", "term"))
-    grouped = each.groupBy("term", id_col).agg(*(F.first(c).alias(c) for c in keep), F.first("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    return grouped.select("term", id_col, *keep, "positions", "n_tokens")
+    determines. Ids are unique. A chunk's rows are made where it is, nothing is shuffled: runs of chunks of about RUN tokens, each
+    sorted by term."""
+    fields = {f.name: f for f in chunks.schema.fields}
+    kind = StructType([StructField("term", StringType()), fields[id_col], *(fields[c] for c in keep), StructField("positions", ArrayType(IntegerType())), StructField("n_tokens", IntegerType())])
+    return chunks.select(id_col, *keep, tokens_col).mapInArrow(_runs(kind.names), kind)
+
+
+def _runs(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.fill_null(pc.list_value_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = np.searchsorted(np.cumsum(size), np.arange(0, size.sum(), RUN), "right")
+            for i, j in zip(at, [*at[1:], len(size)]):
+                if j > i:
+                    found = _run(batch.slice(i, j - i), size[i:j], names)
+                    for k in range(0, found.num_rows, 1 << 16):
+                        yield found.slice(k, 1 << 16)
+
+    return run
+
+
+def _run(batch: pa.RecordBatch, size: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    coded = batch.column(batch.num_columns - 1).flatten().dictionary_encode()
+    by = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(by) + 1, np.int64)
+    place[by], place[-1] = np.arange(len(by)), len(by)
+    row = np.repeat(np.arange(len(size)), size)
+    pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    key = place[coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)] * len(size) + row
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    term, row = np.divmod(key[first], max(1, len(size)))
+    terms = coded.dictionary.take(pa.array(by)).take(pa.array(term, mask=term == len(by)))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(pos[order], pa.int32()))
+    at = pa.array(row)
+    return pa.RecordBatch.from_arrays([terms, *(batch.column(c).take(at) for c in range(batch.num_columns - 1)), lists, pa.array(size[row], pa.int32())], names=names)
 
 
 def dictionary(chunks: DataFrame, id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:
@@ -122,7 +162,9 @@ def dictionary(chunks: DataFrame, id_col: str = "id", tokens_col: str = "tokens"
 
 def _lists(index: DataFrame, words: list[str], id_col: str) -> DataFrame:
     """(id, n_tokens, at MAP<term, positions>) of what has any of the words; the filter reaches the scan."""
-    return index.filter(F.col("term").isin(words)).groupBy(id_col).agg(F.first("n_tokens").alias("n_tokens"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+    lists = [x for w in words for x in (F.lit(w), F.array_sort(F.flatten(F.collect_list(F.when(F.col("term") == w, F.col("positions"))))))]
+    found = index.filter(F.col("term").isin(words)).groupBy(id_col).agg(F.first("n_tokens").alias("n_tokens"), F.create_map(*lists).alias("at"))
+    return found.withColumn("at", F.map_filter("at", lambda _, p: F.size(p) > 0))
 
 
 def _times(phrase: list[str]) -> Column:
