@@ -155,9 +155,22 @@ def _run(batch: pa.RecordBatch, size: np.ndarray, names: list[str]) -> pa.Record
 
 
 def dictionary(chunks: DataFrame, id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:
-    """(term, documents, occurrences). Counts by term and chunk are added up before anything moves; no list is made."""
-    each = chunks.select(id_col, F.explode(tokens_col).alias("term")).groupBy("term", id_col).agg(F.count("*").alias("n"))
-    return each.groupBy("term").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences"))
+    """(term, documents, occurrences). Each chunk's tokens and different tokens are counted where they are, by term alone. Chunks
+    whose id occurs more than once (they are looked for first) are put together by id."""
+    ids = chunks.groupBy(id_col).agg(F.count("*").alias("__n")).filter("__n > 1").select(F.col(id_col).alias("__id"))
+
+    def each(some: DataFrame) -> DataFrame:
+        toks = F.col(tokens_col)
+        both = some.select(F.explode(F.array(F.struct(F.array_distinct(toks).alias("x"), F.lit(1).alias("d")), F.struct(toks.alias("x"), F.lit(0).alias("d")))).alias("s"))
+        return both.select("s.d", F.explode("s.x").alias("term"))
+
+    if ids.isEmpty():
+        counted = each(chunks)
+    else:
+        again = F.col(id_col).eqNullSafe(F.col("__id"))
+        whole = chunks.join(ids, again, "left_semi").groupBy(id_col).agg(F.flatten(F.collect_list(tokens_col)).alias(tokens_col))
+        counted = each(chunks.join(ids, again, "left_anti")).union(each(whole))
+    return counted.groupBy("term").agg(F.sum("d").alias("documents"), F.sum(1 - F.col("d")).alias("occurrences"))
 
 
 def _lists(index: DataFrame, words: list[str], id_col: str) -> DataFrame:
