@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from .batches import by_parts
+
 DIM, QUERY_PREFIX = 384, "query: "
 Embedder = Callable[[list[str]], np.ndarray]
 _MASK = (1 << 64) - 1
@@ -34,14 +36,18 @@ def hash_embed(texts: list[str], dim: int = DIM) -> np.ndarray:
 
 
 def embed(text: Column, embedder: Embedder = hash_embed) -> Column:
-    """Vectors of a column of texts; null for null. A worker sees a batch at a time."""
+    """Vectors of a column of texts; null for null. The embedder sees part of a batch at a time."""
+    kind = pa.list_(pa.float32())
 
-    @F.arrow_udf(ArrayType(FloatType()))
-    def run(x: pa.Array) -> pa.Array:
+    def part(x: pa.Array) -> pa.Array:
         texts = x.to_pylist()
         some = [t for t in texts if t is not None]
         vectors = iter(embedder(some) if some else [])
-        return pa.array([None if t is None else next(vectors) for t in texts], pa.list_(pa.float32()))
+        return pa.array([None if t is None else next(vectors) for t in texts], kind)
+
+    @F.arrow_udf(ArrayType(FloatType()))
+    def run(x: pa.Array) -> pa.Array:
+        return by_parts(part, kind, x)
 
     return run(text)
 

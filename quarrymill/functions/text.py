@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from .batches import by_parts, parts, tidy
+
 SITE = r"(^|\s)[sS][iI][tT][eE]:(\S+)"
 
 
@@ -155,6 +159,8 @@ def _stem(w: str) -> str:
 
 
 _ASCII = re.compile(r"[0-9a-z]+")
+#: Letters and digits of any kind, and characters of private use.
+_WORD = re.compile("(?:[^\\W_]|[\ue000-\uf8ff\U000f0000-\U000ffffd\U00100000-\U0010fffd])+")
 
 
 def tokens(text: str | None, stemmed: bool = True) -> list[str]:
@@ -164,24 +170,39 @@ def tokens(text: str | None, stemmed: bool = True) -> list[str]:
     if text.isascii():
         found = _ASCII.findall(text.lower())
     else:
-        found = []
-        flat = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
-        at = None
-        for i, c in enumerate(flat):
-            if c.isalnum() or unicodedata.category(c) in ("Co", "No", "Nl"):
-                at = i if at is None else at
-            elif at is not None:
-                found.append(flat[at:i])
-                at = None
-        if at is not None:
-            found.append(flat[at:])
+        flat = unicodedata.normalize("NFD", text.lower())
+        if marks := "".join(sorted(c for c in set(flat) if unicodedata.category(c) == "Mn")):
+            flat = re.sub(f"[{marks}]", "", flat)
+        found = _WORD.findall(flat)
     return [stem(t) for t in found] if stemmed else found
 
 
 @F.arrow_udf(ArrayType(StringType()))
 def token_array(text: pa.Array) -> pa.Array:
     """tokens() of a column; null for null."""
-    return pa.array([None if t is None else tokens(t) for t in text.to_pylist()], pa.list_(pa.string()))
+    kind = pa.list_(pa.string())
+    return by_parts(lambda x: pa.array([None if t is None else tokens(t) for t in x.to_pylist()], kind), kind, text)
+
+
+def stem_counts(texts: DataFrame) -> DataFrame:
+    """(stem, times) of a column of texts. A worker counts the words of some texts before it stems each of them once."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            for i in range(0, batch.num_rows, 2048):
+                words: Counter[str] = Counter()
+                for (x,) in parts(batch.column(0).slice(i, 2048)):
+                    for t in x.to_pylist():
+                        words.update(tokens(t, False))
+                stems: dict[str, int] = {}
+                for w, n in words.items():
+                    s = stem(w)
+                    stems[s] = stems.get(s, 0) + n
+                yield pa.RecordBatch.from_arrays([pa.array(list(stems), pa.string()), pa.array(list(stems.values()), pa.int64())], names=["stem", "n"])
+                del words, stems
+            tidy()
+
+    return texts.mapInArrow(run, "stem string, n bigint").groupBy("stem").agg(F.sum("n").alias("times"))
 
 
 def plain_tokens(text: Column) -> Column:
