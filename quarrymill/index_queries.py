@@ -177,8 +177,7 @@ _STEMS = f"words AS (SELECT DISTINCT unnest({_FOLDED}) AS word FROM documents),\
 @query(f"WITH {_STEMS} SELECT stem, count(*) AS times FROM (SELECT unnest({_FOLDED}) AS word FROM documents) JOIN stems USING (word) GROUP BY stem")
 def stems(spark, sf_dir):
     """How often each stem occurs in all documents."""
-    tokens = table(spark, sf_dir, "documents").select(F.explode(text.token_array(F.col("text"))).alias("stem"))
-    return tokens.groupBy("stem").agg(F.count("*").alias("times"))
+    return text.stem_counts(table(spark, sf_dir, "documents").select("text"))
 
 
 @query(f"""WITH {_STEMS}, chunks AS (SELECT doc_id AS id, '' AS url, '' AS text, list(stem ORDER BY pos) AS tokens FROM (SELECT doc_id, unnest({_FOLDED}) AS word, generate_subscripts({_FOLDED}, 1) AS pos FROM documents) JOIN stems USING (word) GROUP BY doc_id
